@@ -99,10 +99,10 @@ def metric_value(metric: str) -> Column:
     """The plotted value of a metric; one decimal except for temperatures."""
     used = F.try_divide(F.col("memory_used_mb"), F.col("memory_total_mb")) * 100
     return {
-        "gpu_memory": F.bround(used, 1),
+        "gpu_memory": F.round(used, 1),
         "gpu_temp": F.col("temperature_c"),
-        "cpu": F.bround(F.coalesce(F.col("cpu_percent"), F.lit(0.0)), 1),
-        "ram": F.bround(F.coalesce(F.col("ram_percent"), F.lit(0.0)), 1),
+        "cpu": F.round(F.coalesce(F.col("cpu_percent"), F.lit(0.0)), 1),
+        "ram": F.round(F.coalesce(F.col("ram_percent"), F.lit(0.0)), 1),
     }[metric]
 
 

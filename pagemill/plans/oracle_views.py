@@ -79,7 +79,7 @@ SELECT event_id, user_id AS job_id, ts AS timestamp,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS page_number, value AS page_duration_s,
   CAST(round(value * 100) AS BIGINT) % 10000 / 100.0::DOUBLE AS cpu_percent,
   CAST(round(value * 200) AS BIGINT) % 10000 / 100.0::DOUBLE AS ram_percent,
-  CAST(event_id % 2 AS INTEGER) AS gpu_id, value AS memory_used_mb, 500.0::DOUBLE AS memory_total_mb,
+  CAST(event_id % 2 AS INTEGER) AS gpu_id, value AS memory_used_mb, 512.0::DOUBLE AS memory_total_mb,
   CAST(round(value * 100) AS BIGINT) % 10000 / 100.0::DOUBLE AS progress_pct
 FROM events""",
     "v_blocks": """
@@ -92,6 +92,18 @@ FROM (SELECT job_id, CAST((page_num - 1) // 40 + 1 AS INTEGER) AS page_num,
   CASE WHEN length(text) < 100 THEN 10 ELSE 50 END AS x0, (page_num - 1) % 40 * 25 AS y0,
   CASE WHEN length(text) < 100 THEN CAST(length(text) % 30 AS VARCHAR) ELSE text END AS text,
   CASE WHEN length(text) % 7 = 0 THEN 18 ELSE 12 END AS font_size FROM v_lines)""",
+    "v_line_chunks": """
+SELECT job_id, page_num AS chunk_sequence, text AS chunk_text,
+  TIMESTAMP '2024-01-01' + to_milliseconds(page_num * 30 + length(text) % 50) AS created_at,
+  page_num = max(page_num) OVER (PARTITION BY job_id) AS is_final FROM v_lines""",
+    "v_commands": """
+SELECT user_id AS job_id, CAST(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 25) AS INTEGER) AS page_num,
+  event_id AS order_no, CASE event_type WHEN 'click' THEN 'snapshot' WHEN 'view' THEN 'stage' WHEN 'signup' THEN 'stage'
+    WHEN 'purchase' THEN 'complete' ELSE 'failed' END AS kind,
+  CASE event_type WHEN 'click' THEN 'merge' WHEN 'view' THEN 'ocr' WHEN 'signup' THEN 'merge' END AS stage,
+  CASE WHEN event_type IN ('click', 'purchase') THEN 'text ' || event_id END AS snapshot_text,
+  CASE WHEN event_type = 'click' THEN value > 100 END AS is_final,
+  CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, ts AS updated_at FROM events""",
     "v_prompts": "SELECT 'prompt ' || item_id AS name, text FROM benchmark",
 }
 
@@ -110,6 +122,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

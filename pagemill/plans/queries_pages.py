@@ -217,7 +217,7 @@ def assembled_documents(spark, sf_dir):
 
 @query("""
 SELECT job_id, CAST((page_num - 1) // 512 AS BIGINT) AS part,
-  CASE WHEN (page_num - 1) // 512 > 0 THEN chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN min(page_num) > 512 THEN chr(10) || chr(10) ELSE '' END ||
   string_agg('--- Page ' || page_num || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page_num)
     AS ocr_content FROM v_lines GROUP BY 1, 2""")
 def stage1_text(spark, sf_dir):

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"),
@@ -119,10 +125,10 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_changes(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Line items as page writes: repeated keys and null fields are intended."""
     flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(
+    return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("job_id"),
         F.col("l_linenumber").alias("page_num"),
         F.when(flag == "A", "ocr").when(flag == "N", "hybrid").otherwise("embedded").alias("method"),
@@ -143,9 +149,9 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(None, page_changes(spark, sf_dir), ["job_id", "page_num"], F.col("version"), PAGE_COLUMNS)
 
 
-def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_pages(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Lines of the documents as pages of text."""
-    return table(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("job_id"),
         "source",
         "lang",
@@ -178,12 +184,12 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as monitoring log rows."""
     kind = F.col("event_type")
     value = F.col("value")
     pct = F.round(value * 100).cast("bigint") % 10000 / 100.0
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").alias("job_id"),
         F.col("ts").alias("timestamp"),
@@ -199,14 +205,14 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.round(value * 200).cast("bigint") % 10000 / 100.0).alias("ram_percent"),
         (F.col("event_id") % 2).cast("int").alias("gpu_id"),
         value.alias("memory_used_mb"),
-        F.lit(500.0).alias("memory_total_mb"),
+        F.lit(512.0).alias("memory_total_mb"),
         pct.alias("progress_pct"),
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Conversation turns as text chunks of one page per conversation."""
-    return table(spark, sf_dir, "conversations").select(
+    return read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("job_id"),
         F.lit(1).alias("page_num"),
         F.col("turn").alias("chunk_sequence"),
@@ -244,3 +250,42 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n < 100, (n % 30).cast("string")).otherwise(F.col("text")).alias("text"),
         F.when(n % 7 == 0, 18.0).otherwise(12.0).alias("font_size"),
     )
+
+
+def line_chunks(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """Document lines as text chunks that arrive 0 to 79 ms apart; the last line is final."""
+    n = F.length("text")
+    offset_ms = F.col("page_num") * 30 + n % 50
+    lines = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"),
+        F.size(F.split("text", "\n", -1)).alias("lines"),
+        F.posexplode(F.split("text", "\n", -1)).alias("__pos", "text"),
+    )
+    return lines.withColumn("page_num", F.col("__pos") + 1).select(
+        "job_id",
+        F.lit(1).alias("page_num"),
+        F.col("page_num").cast("bigint").alias("chunk_sequence"),
+        F.col("text").alias("chunk_text"),
+        (moment(EPOCH) + F.make_dt_interval(secs=(offset_ms / 1000).cast("decimal(18,6)"))).alias("created_at"),
+        (F.col("page_num") == F.col("lines")).alias("is_final"),
+    )
+
+
+def stream_commands(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """Events as commands on stream rows: one page per device and tens digit."""
+    kind = F.col("event_type")
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"),
+        F.floor(F.get_json_object("props", "$.k").cast("int") / 25).cast("int").alias("page_num"),
+        F.col("event_id").alias("order_no"),
+        F.when(kind == "click", "snapshot")
+        .when(kind.isin("view", "signup"), "stage")
+        .when(kind == "purchase", "complete")
+        .otherwise("failed")
+        .alias("kind"),
+        F.when(kind == "click", "merge").when(kind == "view", "ocr").when(kind == "signup", "merge").alias("stage"),
+        F.when(kind.isin("click", "purchase"), F.concat(F.lit("text "), "event_id")).alias("snapshot_text"),
+        F.when(kind == "click", F.col("value") > 100).alias("is_final"),
+        F.when(kind == "error", F.concat(F.lit("error "), "event_id")).alias("error"),
+        F.col("ts").alias("updated_at"),
+    )
