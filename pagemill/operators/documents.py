@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as ft
-from pagemill.functions.layout import block_type
+from pagemill.functions.layout import block_type, in_reading_order
 from pagemill.operators.blocked import page_block, row_numbers, running_sum
 
 # A document is delivered as numbered parts of at most this many pages, so no
@@ -228,6 +228,11 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def blocks_in_reading_order(pages: DataFrame) -> DataFrame:
+    """Adds ``ordered_blocks``: the page's ``blocks`` by its ``reading_order``."""
+    return pages.withColumn("ordered_blocks", in_reading_order(F.col("blocks"), F.col("reading_order")))
+
+
 def page_structure(blocks: DataFrame) -> DataFrame:
     """Structure flags and block counts per page, from classified blocks."""
     kind = F.col("block_type")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import layout as fl
 from pagemill.functions import text as ft
+from pagemill.operators import catalog as oc
 from pagemill.operators import documents as od
 from pagemill.operators import jobs as oj
 from pagemill.operators import mutations as om
 from pagemill.plans.registry import query
+from pagemill.session import scratch_dir
+from pagemill.sources import documents as sd
+from pagemill.sources import files as sf
 from pagemill.sources import standins as s
 
 
@@ -390,3 +396,63 @@ def page_result_validity(spark, sf_dir):
     ok, rejects = om.split_valid_page_results(s.page_changes(spark, sf_dir).select("job_id", "page_num"))
     none = F.lit(None).cast("string")
     return ok.withColumn("reject", none).unionByName(rejects.withColumn("reject", F.lit("page_num missing")))
+
+
+@query("""
+SELECT p_partkey AS image_id, CASE WHEN least(w, h) < 100 THEN 'Image too small: ' || w || 'x' || h || '. Minimum size is 100x100'
+  WHEN greatest(w, h) > 1500 THEN 'Image too large: ' || w || 'x' || h || '. Maximum size is 1500x1500'
+  WHEN mode NOT IN ('RGB', 'RGBA', 'L', 'P') THEN 'Unsupported image mode: ' || mode || '. Allowed modes: (''RGB'', ''RGBA'', ''L'', ''P'')'
+  END AS error, round_even(w / 64.0::DOUBLE, 2) AS aspect
+FROM (SELECT p_partkey, p_size * 40 + 1 AS w, CAST(p_retailprice AS INTEGER) + 1 AS h,
+  CASE WHEN p_size < 10 THEN 'CMYK' WHEN p_size < 30 THEN 'RGB' ELSE 'L' END AS mode FROM part)""")
+def image_validity(spark, sf_dir):
+    """F9, X9 on part sizes as image sizes."""
+    size = F.col("p_size")
+    images = s.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("image_id"),
+        (size * 40 + 1).alias("width"),
+        (F.bround("p_retailprice").cast("int") + 1).alias("height"),
+        F.when(size < 10, "CMYK").when(size < 30, "RGB").otherwise("L").alias("mode"),
+    )
+    checked = oc.image_errors(images, min_size=100, max_size=1500)
+    return checked.select("image_id", "error", fl.aspect_ratio(F.col("width"), F.lit(64)).alias("aspect"))
+
+
+@query("""
+SELECT job_id, CAST((page_num - 1) // 40 + 1 AS INTEGER) AS page_num, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY page_num DESC) AS lengths
+FROM v_lines GROUP BY 1, 2""")
+def blocks_in_reading_order(spark, sf_dir):
+    """The blocks of each page read from the bottom up; a page holds at most 40."""
+    line = F.col("page_num") - 1
+    pages = (
+        s.document_pages(spark, sf_dir)
+        .groupBy("job_id", (F.floor(line / 40) + 1).cast("int").alias("page_num"))
+        .agg(F.array_sort(F.collect_list(F.struct(line.alias("pos"), F.length("text").alias("n")))).alias("blocks"))
+    )
+    order = F.reverse(F.sequence(F.lit(0), F.size("blocks") - 1))
+    read = od.blocks_in_reading_order(pages.withColumn("reading_order", order))
+    return read.select(
+        "job_id", "page_num", F.array_join(F.transform("ordered_blocks", lambda b: b["n"].cast("string")), ",").alias("lengths")
+    )
+
+
+@query("SELECT source AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1")
+def registered_files(spark, sf_dir):
+    """Texts written as files by Spark, then registered; sizes summed per folder."""
+    path = scratch_dir(spark, "uploads")
+    s.table(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    files = sf.register_files(spark, path, "user", datetime(2024, 1, 1))
+    folder = F.regexp_extract("storage_path", "source=([^/]*)/", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query("""
+SELECT job_id, CAST((page_num - 1) // 512 AS BIGINT) AS part, count(*) AS pages,
+  string_agg('<!-- Page ' || page_num || ' | Method: ' || upper(method) || ' | Time: ' || printf('%.2f', processing_time)
+    || 's | Chars: ' || length(text) || ' -->' || chr(10) || text || chr(10) || chr(10), '' ORDER BY page_num) AS content
+FROM v_text_pages GROUP BY 1, 2""")
+def delivered_documents(spark, sf_dir):
+    """The documents written as a table and read back."""
+    path = scratch_dir(spark, "documents")
+    sd.write_document(s.text_pages(spark, sf_dir), path, "parquet")
+    return spark.read.parquet(path)
