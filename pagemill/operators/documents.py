@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as ft
+from pagemill.functions.binding import let
 from pagemill.functions.layout import block_type, in_reading_order
 from pagemill.operators.blocked import page_block, row_numbers, running_sum
 
@@ -204,12 +205,27 @@ def rule_merge(embedded: Column, ocr: Column) -> Column:
     def normal(line: Column) -> Column:
         return F.lower(F.trim(F.regexp_replace(line, ft.SPACE_RUN, " ")))
 
-    base = F.split(F.coalesce(embedded, F.lit("")), "\n", -1)
-    extra = F.split(F.coalesce(ocr, F.lit("")), "\n", -1)
-    known = F.transform(base, normal)
-    added = F.filter(extra, lambda line: (normal(line) != "") & ~F.array_contains(known, normal(line)))
+    def lines(text: Column) -> Column:
+        return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
     has_base = F.coalesce(ft.strip(embedded) != "", F.lit(False))
-    return F.array_join(F.when(has_base, F.concat(base, added)).otherwise(added), "\n")
+    base = F.when(has_base, lines(embedded)).otherwise(F.array().cast("array<string>"))
+    extra = lines(ocr)
+    # Bound once per row: an expression used inside a lambda is evaluated per element.
+    norms = let(
+        F.struct(F.transform(extra, normal).alias("extra"), F.transform(base, normal).alias("base")),
+        lambda v: F.struct(
+            v["extra"].alias("extra"),
+            F.array_except(v["extra"], F.array_append(v["base"], F.lit(""))).alias("fresh"),
+        ),
+    )
+    added = let(
+        F.struct(norms.alias("norms"), extra.alias("lines")),
+        lambda v: F.filter(
+            v["lines"], lambda line, i: F.array_contains(v["norms"]["fresh"], F.get(v["norms"]["extra"], i))
+        ),
+    )
+    return F.array_join(F.concat(base, added), "\n")
 
 
 def merge_texts(pages: DataFrame, embedded: str = "embedded_text", ocr: str = "ocr_text") -> DataFrame:

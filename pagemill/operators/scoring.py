@@ -118,31 +118,32 @@ def score_batches(pages: DataFrame, load_fn: Callable[[], Callable], size: int =
         scorer = load_fn()
         held: list[dict] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> list[dict]:
             results = run(scorer, held)
             ok = all(bool(r.get("success", False)) for r in results)
-            return pd.DataFrame(
-                [
-                    {
-                        **row,
-                        "text": r.get("text") or "",
-                        "success": bool(r.get("success", False)),
-                        "error": r.get("error"),
-                        "batch_size": len(held),
-                        "batch_success": ok,
-                    }
-                    for row, r in zip(held, results)
-                ]
-            )
+            return [
+                {
+                    **row,
+                    "text": r.get("text") or "",
+                    "success": bool(r.get("success", False)),
+                    "error": r.get("error"),
+                    "batch_size": len(held),
+                    "batch_success": ok,
+                }
+                for row, r in zip(held, results)
+            ]
 
         for pdf in frames:
+            out: list[dict] = []
             for row in pdf.to_dict("records"):
                 if held and any(held[0][k] != row[k] for k in keys):
-                    yield flush()
+                    out += flush()
                     held = []
                 held.append(row)
+            if out:
+                yield pd.DataFrame(out)
         if held:
-            yield flush()
+            yield pd.DataFrame(flush())
 
     together = batched.repartition(*keys).sortWithinPartitions(*keys, "batch_index")
     return together.mapInPandas(score, schema)

@@ -154,21 +154,52 @@ def throttle_marks(
     )
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, [*keys, "__b"]):
-            b, start, t, f = split(pdf)
-            n = len(t)
-            nxt = _next_marks(t, f, max_count, wait)
-            flags = np.zeros(n, dtype=bool)
-            if b == 0:
-                at = _first_mark(t, f, max_count, wait, arm_first)
-            else:
-                at = nxt[start - 1 - int(pdf["__entry"].iat[0])]
-            while at < n:
-                flags[at] = True
-                at = nxt[at]
-            own = pdf.iloc[start:]
-            if len(own):
-                yield own[[*keys, "__n"]].assign(__mark=flags[start:])
+        # One pass over sorted rows with the state of the open block; nothing is held back.
+        held_key, count, last, resume_at, own_from = None, 0, 0, 0, 1
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            names = [*keys, "__b"]
+            opens = np.ones(len(pdf), dtype=bool)
+            opens[1:] = False
+            for c in names:
+                col = pdf[c].to_numpy()
+                opens[1:] |= col[1:] != col[:-1]
+            first_key = tuple(pdf[c].iat[0] for c in names)
+            if first_key == held_key:
+                opens[0] = False
+            held_key = tuple(pdf[c].iat[-1] for c in names)
+            out, own = [], []
+            rows = zip(
+                opens.tolist(),
+                pdf["__b"].tolist(),
+                pdf["__n"].tolist(),
+                pdf["__ts"].tolist(),
+                pdf["__force"].tolist(),
+                pdf["__entry"].tolist(),
+            )
+            for opened, b, n, t, forced, entry in rows:
+                if opened:
+                    own_from = b * rows_per_block + 1
+                    resume_at = own_from - 1 - entry
+                    count, last = (entry, t) if b else (0, t)
+                if n < own_from:
+                    # A row of the block before: one of them is where the last mark was.
+                    if n == resume_at:
+                        last = t
+                    own.append(False)
+                    continue
+                count += 1
+                due = forced or count >= max_count or t - last >= wait
+                if due and not (arm_first and n == 1):
+                    count, last = 0, t
+                    out.append(True)
+                else:
+                    out.append(False)
+                own.append(True)
+            if out:
+                mine = pdf.loc[np.array(own), [*keys, "__n"]]
+                yield mine.assign(__mark=out)
 
     flagged = (
         sorted_halo.join(entries, [*keys, "__b"], "left")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,29 +59,27 @@ class ChunkAssembler(StatefulProcessor):
         self.chunks = handle.getMapState("chunks", "seq bigint", "text string, at bigint", self.ttl_ms)
         self.arrived = handle.getValueState("arrived", "n bigint", self.ttl_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         seen = self.arrived.get()[0] if self.arrived.exists() else 0
-        for pdf in rows:
-            seen += len(pdf)
-            newest = pdf.sort_values(["chunk_sequence", "at", "chunk_text"]).drop_duplicates(
-                "chunk_sequence", keep="last"
-            )
-            for seq, text, at in newest[["chunk_sequence", "chunk_text", "at"]].itertuples(index=False, name=None):
-                seq, at = int(seq), int(at)
-                held = self.chunks.getValue((seq,)) if self.chunks.containsKey((seq,)) else None
-                if held is None or (held[1], held[0]) <= (at, text):
-                    self.chunks.updateValue((seq,), (text, at))
+        newest: dict[int, tuple[int, str]] = {}
+        for row in rows:
+            seen += 1
+            found = (row.at, row.chunk_text)
+            if row.chunk_sequence not in newest or newest[row.chunk_sequence] <= found:
+                newest[row.chunk_sequence] = found
+        held = {k[0]: (v[1], v[0]) for k, v in self.chunks.iterator()}
+        for seq, found in newest.items():
+            if seq not in held or held[seq] <= found:
+                held[seq] = found
+                self.chunks.updateValue((seq,), (found[1], found[0]))
         self.arrived.update((seen,))
-        held = sorted((k[0], v[0]) for k, v in self.chunks.iterator())
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "page_num": [key[1]],
-                "part": [key[2]],
-                "text": ["".join(t for _, t in held)],
-                "chunks": [len(held)],
-                "tokens": [seen],
-            }
+        yield Row(
+            job_id=key[0],
+            page_num=key[1],
+            part=key[2],
+            text="".join(held[seq][1] for seq in sorted(held)),
+            chunks=len(held),
+            tokens=seen,
         )
 
     def close(self) -> None:
@@ -112,7 +109,7 @@ def reassemble_chunks(
         F.coalesce("chunk_text", F.lit("")).alias("chunk_text"),
         micros(F.col("created_at")).alias("at"),
     )
-    return rows.groupBy(*KEYS).transformWithStateInPandas(
+    return rows.groupBy(*KEYS).transformWithState(
         statefulProcessor=ChunkAssembler(ttl_ms),
         outputStructType=schema,
         outputMode="Update",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,29 +24,31 @@ class SnapshotThrottle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "buffer string, n int, last bigint, no bigint, part_text string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         buffer, n, last, no, part_text = self.state.get() if self.state.exists() else ("", 0, None, 0, "")
         held = [buffer]
-        batch = pd.concat(list(rows)).sort_values(["at", "chunk_sequence"])
-        out = []
-        for text, at, final in batch[["chunk_text", "at", "is_final"]].itertuples(index=False, name=None):
-            last = at if last is None else last
-            held.append(text)
+        for row in sorted(rows, key=lambda r: (r.at, r.chunk_sequence)):
+            last = row.at if last is None else last
+            held.append(row.chunk_text)
             n += 1
-            if final or n >= self.tokens or at - last >= self.wait_us:
+            if row.is_final or n >= self.tokens or row.at - last >= self.wait_us:
                 delta = "".join(held)
                 if no % self.per_part == 0:
                     part_text = ""
                 no += 1
                 part_text = part_text + delta if self.cumulative else ""
-                shown = part_text if self.cumulative else delta
-                out.append((key[0], key[1], no, (no - 1) // self.per_part, n, at, bool(final), shown))
-                held, n, last = [], 0, at
-        self.state.update(("".join(held), int(n), int(last), int(no), part_text))
-        yield pd.DataFrame(
-            out,
-            columns=["job_id", "page_num", "snapshot_no", "part", "tokens", "flushed_us", "is_final", "snapshot_text"],
-        )
+                yield Row(
+                    job_id=key[0],
+                    page_num=key[1],
+                    snapshot_no=no,
+                    part=(no - 1) // self.per_part,
+                    tokens=n,
+                    flushed_us=row.at,
+                    is_final=row.is_final,
+                    snapshot_text=part_text if self.cumulative else delta,
+                )
+                held, n, last = [], 0, row.at
+        self.state.update(("".join(held), n, last, no, part_text))
 
     def close(self) -> None:
         pass
@@ -81,7 +82,7 @@ def throttle_snapshot_stream(
         micros(F.col("created_at")).alias("at"),
         F.coalesce("is_final", F.lit(False)).alias("is_final"),
     )
-    snapshots = rows.groupBy("job_id", "page_num").transformWithStateInPandas(
+    snapshots = rows.groupBy("job_id", "page_num").transformWithState(
         statefulProcessor=SnapshotThrottle(ms * 1000, tokens, cumulative, snapshots_per_part),
         outputStructType=schema,
         outputMode="Append",

@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -154,21 +153,18 @@ class StreamRow(StatefulProcessor):
             "row", "stage string, text string, seq bigint, is_final boolean, error string, at bigint"
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         row = list(self.row.get()) if self.row.exists() else None
         before = row[2] if row else None
-        fields = ["kind", "stage", "snapshot_text", "is_final", "error", "at"]
-        batch = pd.concat(list(rows)).sort_values("order_no")
-        for kind, stage, text, final, error, at in batch[fields].itertuples(index=False, name=None):
-            error = None if pd.isna(error) else error
-            if kind == "snapshot":
-                row = [stage, text, row[2] + 1 if row else 1, bool(final), error, at]
-            elif kind == "stage":
-                row = [stage, row[1], row[2] + 1, row[3], row[4], at] if row else [stage, "", 0, False, None, at]
-            elif row and kind == "complete":
-                row = ["complete", text, row[2] + 1, True, row[4], at]
-            elif row and kind == "failed":
-                row = ["failed", row[1], row[2] + 1, True, error, at]
+        for c in sorted(rows, key=lambda r: r.order_no):
+            if c.kind == "snapshot":
+                row = [c.stage, c.snapshot_text, row[2] + 1 if row else 1, c.is_final, c.error, c.at]
+            elif c.kind == "stage":
+                row = [c.stage, row[1], row[2] + 1, row[3], row[4], c.at] if row else [c.stage, "", 0, False, None, c.at]
+            elif row and c.kind == "complete":
+                row = ["complete", c.snapshot_text, row[2] + 1, True, row[4], c.at]
+            elif row and c.kind == "failed":
+                row = ["failed", row[1], row[2] + 1, True, c.error, c.at]
         if row is None or row[2] == before:
             return
         if self.clear_when_final and row[3]:
@@ -176,7 +172,7 @@ class StreamRow(StatefulProcessor):
         else:
             self.row.update(tuple(row))
         names = ["stage", "snapshot_text", "seq", "is_final", "error", "at"]
-        yield pd.DataFrame([[key[0], key[1], *row]], columns=[*KEYS, *names])
+        yield Row(**dict(zip([*KEYS, *names], [key[0], key[1], *row])))
 
     def close(self) -> None:
         pass
@@ -199,7 +195,7 @@ def current_stream_rows(commands: DataFrame, clear_when_final: bool = False) ->
         *KEYS, "order_no", "kind", "stage", "snapshot_text", F.coalesce("is_final", F.lit(False)).alias("is_final"),
         "error", micros(F.col("updated_at")).alias("at"),
     )
-    out = rows.groupBy(*KEYS).transformWithStateInPandas(
+    out = rows.groupBy(*KEYS).transformWithState(
         statefulProcessor=StreamRow(clear_when_final),
         outputStructType=schema,
         outputMode="Update",
