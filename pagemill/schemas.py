@@ -1,8 +1,4 @@
-"""Spark schemas of the stored entities. ``page_num`` is 1-based everywhere."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
+"""Schemas of the stored entities as DDL. ``page_num`` is 1-based everywhere."""
 
 JOB_STATUSES = ("queued", "processing", "completed", "failed", "cancelled")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled")
@@ -10,19 +6,15 @@ STREAM_STAGES = ("ocr", "merge", "complete", "failed")
 CHECKPOINT_STAGES = ("ocr", "merge", "completed")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-USERS = _struct("user_id string, email string, api_key string, created_at timestamp, is_active boolean")
+USERS = ("user_id string, email string, api_key string, created_at timestamp, is_active boolean")
 
-FILES = _struct(
+FILES = (
     "file_id string, user_id string, filename string, content_type string, size_bytes bigint,"
     " page_count int, storage_bucket string, storage_path string, uploaded_at timestamp,"
     " expires_at timestamp, deleted_at timestamp, metadata string"
 )
 
-BATCHES = _struct(
+BATCHES = (
     "batch_job_id string, user_id string, status string, total_documents int,"
     " documents_completed int, overall_progress_pct double, created_at timestamp,"
     " started_at timestamp, completed_at timestamp, model string, prompt_type string,"
@@ -30,7 +22,7 @@ BATCHES = _struct(
     " error_message string"
 )
 
-JOBS = _struct(
+JOBS = (
     "job_id string, user_id string, file_id string, status string, total_pages int,"
     " pages_completed int, current_stage string, progress_pct double, created_at timestamp,"
     " started_at timestamp, completed_at timestamp, model string, prompt_type string,"
@@ -39,35 +31,35 @@ JOBS = _struct(
     " parent_batch_id string"
 )
 
-PAGES = _struct(
+PAGES = (
     "job_id string, page_num int, embedded_text string, width double, height double,"
     " has_text boolean"
 )
 
-PAGE_RESULTS = _struct(
+PAGE_RESULTS = (
     "job_id string, page_num int, ocr_text string, ocr_completed_at timestamp,"
     " ocr_processing_time double, merge_text string, merge_completed_at timestamp,"
     " merge_processing_time double, metadata string"
 )
 
-OCR_CACHE = _struct(
+OCR_CACHE = (
     "job_id string, page_num int, ocr_text string, method string, processing_time double,"
     " metadata map<string,string>"
 )
 
-JOB_EVENTS = _struct("event_id bigint, job_id string, event_type string, event_data string, created_at timestamp")
+JOB_EVENTS = ("event_id bigint, job_id string, event_type string, event_data string, created_at timestamp")
 
-DIRECTORIES = _struct("directory_id string, name string, total_size bigint, uploaded_at timestamp")
-DIRECTORY_FILES = _struct("directory_id string, file_id string, sequence_num bigint")
+DIRECTORIES = ("directory_id string, name string, total_size bigint, uploaded_at timestamp")
+DIRECTORY_FILES = ("directory_id string, file_id string, sequence_num bigint")
 
-CHUNKS = _struct("job_id string, page_num int, chunk_sequence bigint, chunk_text string, created_at timestamp")
+CHUNKS = ("job_id string, page_num int, chunk_sequence bigint, chunk_text string, created_at timestamp")
 
-STREAM_ROWS = _struct(
+STREAM_ROWS = (
     "job_id string, page_num int, stage string, snapshot_text string, seq bigint,"
     " is_final boolean, error string, updated_at timestamp"
 )
 
-TEXT_BLOCKS = _struct(
+TEXT_BLOCKS = (
     "job_id string, page_num int, text_blocks array<struct<text:string,"
     "bbox:struct<x0:double,y0:double,x1:double,y1:double,page_width:double,page_height:double>,"
     "font_size:double,font_name:string,block_type:string>>, has_tables boolean,"
@@ -75,7 +67,7 @@ TEXT_BLOCKS = _struct(
 )
 
 # One wide nullable record covers both metric samples and log events.
-METRICS_LOG = _struct(
+METRICS_LOG = (
     "timestamp string, job_id string, event_type string, active_stage string, stage_page int,"
     " stage_total_pages int, stage_progress_pct double, overall_progress_pct double,"
     " loaded_models array<string>, model_type string, model_id string, is_sharded boolean,"

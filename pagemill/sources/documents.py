@@ -22,7 +22,7 @@ def write_document(pages: DataFrame, path: str, fmt: str = "markdown") -> None:
         docs.write.mode("overwrite").format(fmt).save(path)
         return
     # The text writer ends each row with one line feed of its own.
-    body = F.regexp_replace("content", r"\n$", "")
+    body = F.regexp_replace("content", r"\n\z", "")
     (
         docs.select("job_id", "part", body.alias("value"))
         .repartition("job_id", "part")

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.functions.times import moment
 from pagemill.operators.monitoring import dashboard_averages
@@ -16,7 +15,7 @@ LOG_SUFFIX = r"([^/]*)\.syslog\.jsonl$"
 
 
 def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(METRICS_LOG.fields + [T.StructField("_bad", T.StringType())])
+    schema = f"{METRICS_LOG}, _bad string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(
