@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 PAGES_PER_BLOCK = 1024
 SECONDS_PER_BLOCK = 3600
@@ -33,6 +34,18 @@ def time_block(ts: str | Column, seconds: int = SECONDS_PER_BLOCK) -> Column:
     return F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
 
 
+def id_block(df: DataFrame, name: str, size: int = 4096) -> Column:
+    """Block number of an id column, growing with its sort order.
+
+    Integers fall into ranges of ``size``; texts are cut by their first three
+    bytes, which spreads random ids such as UUIDs evenly.
+    """
+    if isinstance(df.schema[name].dataType, IntegralType):
+        return F.floor(F.col(name) / size)
+    head = F.substring(F.encode(F.col(name), "utf-8"), 1, 3)
+    return F.conv(F.rpad(F.hex(head), 6, "0"), 16, 10).cast("bigint")
+
+
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 

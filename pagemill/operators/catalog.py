@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.times import moment
 from pagemill.functions import files as ff
-from pagemill.operators.blocked import previous, row_numbers, time_block
+from pagemill.operators.blocked import id_block, previous, row_numbers, time_block
 from pagemill.session import ensure_checkpoint_dir
 
 
@@ -263,18 +263,13 @@ def ingest_directories(files: DataFrame, group: str, now: datetime) -> tuple[Dat
     numbered = row_numbers(
         good.select("directory_id", "file_id"),
         ["directory_id"],
-        _id_block(F.col("file_id")),
+        id_block(good, "file_id"),
         ["file_id"],
         "sequence_num",
     )
     return directories, numbered
 
 
-def _id_block(file_id: Column, size: int = 4096) -> Column:
-    """Block of a numeric id; text ids fall into order-preserving prefixes."""
-    return F.coalesce(F.floor(file_id.cast("bigint") / size), F.lit(0))
-
-
 def directory_totals(files: DataFrame, group: str) -> DataFrame:
     """Number and size of the files of each directory."""
     return files.groupBy(group).agg(

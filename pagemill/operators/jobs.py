@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.times import moment
 from pagemill.functions import progress as fp
-from pagemill.operators.blocked import row_numbers
+from pagemill.operators.blocked import id_block, row_numbers
 from pagemill.schemas import JOB_STATUSES, TERMINAL_STATUSES
 
 
@@ -174,9 +174,7 @@ def batch_results(jobs: DataFrame, list_size: int = 256) -> DataFrame:
     ended = jobs.where(F.col("status").isin("completed", "failed")).select(
         "parent_batch_id", "job_id", "filename", "status", "error_message"
     )
-    numbered = row_numbers(
-        ended, ["parent_batch_id"], F.floor(F.col("job_id") / 4096), ["job_id"], "__n"
-    )
+    numbered = row_numbers(ended, ["parent_batch_id"], id_block(ended, "job_id"), ["job_id"], "__n")
     entry = F.struct(
         "job_id",
         "filename",

@@ -33,12 +33,11 @@ def upsert(
     """
     rows = changes if current is None else current.unionByName(changes, allowMissingColumns=True)
     rows = rows.withColumn("__version", version)
-    return rows.groupBy(*keys).agg(
-        *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__version"))).alias(c)
-            for c in columns
-        ]
-    )
+    # The greatest (version, value) pair is cheaper than max_by, which keeps and compares both apart.
+    newest = [
+        F.max(F.when(F.col(c).isNotNull(), F.struct("__version", F.col(c).alias("v")))).alias(c) for c in columns
+    ]
+    return rows.groupBy(*keys).agg(*newest).select(*keys, *[F.col(f"{c}.v").alias(c) for c in columns])
 
 
 def upsert_page_results(

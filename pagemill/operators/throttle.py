@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,53 +85,52 @@ def throttle_marks(
 
     A row is marked when ``force`` holds, when ``max_count`` rows have come
     since the last mark, or when ``max_wait_ms`` have passed since it. With
-    ``arm_first`` the first row only starts the clock. Keys are not null.
+    ``arm_first`` the first row only starts the clock. Keys are not null, and
+    ``block`` is made of the keys, the order columns or ``ts``.
     """
     if rows_per_block < max_count:
         raise ValueError("rows_per_block must not be below max_count")
     keys = list(keys)
     wait = int(max_wait_ms) * 1000
-    numbered = row_numbers(df, keys, block, order, "__n")
-    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
-    steps = numbered.select(
-        *keys, "__n", micros(F.col(ts)).alias("__ts"), forced.alias("__force")
-    ).withColumn("__b", F.floor((F.col("__n") - 1) / rows_per_block))
-
+    clock = {
+        "__ts": micros(F.col(ts)),
+        "__force": F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False),
+        "__b": F.floor((F.col("__n") - 1) / rows_per_block),
+    }
     # A block also gets the last rows of the block before, to time its first mark.
     in_tail = (F.col("__n") - 1) % rows_per_block >= rows_per_block - max_count
     spread = F.when(in_tail, F.array(F.col("__b"), F.col("__b") + 1)).otherwise(F.array("__b"))
-    with_halo = steps.withColumn("__b", F.explode(spread))
-    sorted_halo = with_halo.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "__n")
 
-    def split(pdf: pd.DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-        n = pdf["__n"].to_numpy()
-        b = int(pdf["__b"].iat[0])
-        start = int(np.searchsorted(n, b * rows_per_block + 1))
-        return b, start, pdf["__ts"].to_numpy(), pdf["__force"].to_numpy().astype(bool)
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        numbered = row_numbers(rows, keys, block, order, "__n")
+        return numbered.withColumns(clock).withColumn("__b", F.explode(spread))
 
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.select(*keys).schema)
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pending on exit for each pending on entry, of every block that another one follows."""
         for pdf in _groups(batches, [*keys, "__b"]):
-            b, start, t, f = split(pdf)
-            if len(t) - start < rows_per_block:
-                continue  # The last block of its key: nothing follows it.
-            nxt = _next_marks(t, f, max_count, wait)
+            b = int(pdf["__b"].iat[0])
+            start = int(np.searchsorted(pdf["__n"].to_numpy(), b * rows_per_block + 1))
+            t, f = pdf["__ts"].to_numpy(), pdf["__force"].to_numpy().astype(bool)
             n = len(t)
+            if n - start < rows_per_block:
+                continue
+            nxt = _next_marks(t, f, max_count, wait)
             leaves = np.arange(n)
             for i in range(n - 1, -1, -1):
                 if nxt[i] < n:
                     leaves[i] = leaves[nxt[i]]
             pending = n - 1 - leaves
             if b == 0:
-                first = _first_mark(t, f, max_count, wait, arm_first)
-                out = [int(pending[first])]
+                out = [int(pending[_first_mark(t, f, max_count, wait, arm_first)])]
             else:
                 out = [int(pending[start - 1 - c]) for c in range(max_count)]
             row = {k: [pdf[k].iat[0]] for k in keys}
             yield pd.DataFrame({**row, "__b": [b], "__table": [out]})
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows pending on entry to each later block, from the tables of a key in order."""
         last_key, pending = None, 0
         for pdf in batches:
             out = []
@@ -140,76 +140,61 @@ def throttle_marks(
                 out.append(pending)
             yield pdf[keys].assign(__b=pdf["__b"] + 1, __entry=out)
 
-    long_keys = steps.where(F.col("__n") == rows_per_block).select(*keys)
-    long_rows = (
-        with_halo.join(long_keys, keys, "left_semi")
+    # Only keys of more than one block need the tables; there are few of them.
+    long_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") >= rows_per_block)
+    narrow = df.select(*dict.fromkeys([*keys, *order, ts, *([force] if force else [])]))
+    entries = (
+        in_blocks(narrow.join(long_keys.select(*keys), keys, "left_semi"))
+        .select(*keys, "__b", "__n", "__ts", "__force")
         .repartition(*keys, "__b")
         .sortWithinPartitions(*keys, "__b", "__n")
-    )
-    entries = (
-        long_rows.mapInPandas(tables, f"{key_ddl}, __b bigint, __table array<int>")
+        .mapInPandas(tables, f"{key_ddl}, __b bigint, __table array<int>")
         .repartition(*keys)
         .sortWithinPartitions(*keys, "__b")
         .mapInPandas(chained, f"{key_ddl}, __b bigint, __entry int")
     )
 
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One pass over sorted rows with the state of the open block; nothing is held back.
-        held_key, count, last, resume_at, own_from = None, 0, 0, 0, 1
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            names = [*keys, "__b"]
-            opens = np.ones(len(pdf), dtype=bool)
-            opens[1:] = False
-            for c in names:
-                col = pdf[c].to_numpy()
-                opens[1:] |= col[1:] != col[:-1]
-            first_key = tuple(pdf[c].iat[0] for c in names)
-            if first_key == held_key:
-                opens[0] = False
-            held_key = tuple(pdf[c].iat[-1] for c in names)
+    # The entry states join the rows as markers that sort first in their block.
+    rows = in_blocks(df).withColumn("__entry", F.lit(-1)).unionByName(
+        entries.withColumn("__n", F.lit(0).cast("bigint")), allowMissingColumns=True
+    )
+    kept = [*df.columns, "__n"]
+    kept_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass over sorted rows with the state of the open block; nothing is held back."""
+        held, count, last, resume_at, own_from = None, 0, 0, 0, 1
+        names = [*keys, "__b", "__n", "__ts", "__force", "__entry"]
+        for batch in batches:
             out, own = [], []
-            rows = zip(
-                opens.tolist(),
-                pdf["__b"].tolist(),
-                pdf["__n"].tolist(),
-                pdf["__ts"].tolist(),
-                pdf["__force"].tolist(),
-                pdf["__entry"].tolist(),
-            )
-            for opened, b, n, t, forced, entry in rows:
-                if opened:
-                    own_from = b * rows_per_block + 1
-                    resume_at = own_from - 1 - entry
-                    count, last = (entry, t) if b else (0, t)
-                if n < own_from:
+            for *key, n, t, forced, entry in zip(*[batch.column(c).to_pylist() for c in names]):
+                if key != held:
+                    held, count, own_from = key, 0, key[-1] * rows_per_block + 1
+                    last, resume_at = t, own_from - 1
+                if entry >= 0:
+                    count, resume_at = entry, own_from - 1 - entry
+                elif n < own_from:
                     # A row of the block before: one of them is where the last mark was.
                     if n == resume_at:
                         last = t
-                    own.append(False)
-                    continue
-                count += 1
-                due = forced or count >= max_count or t - last >= wait
-                if due and not (arm_first and n == 1):
-                    count, last = 0, t
-                    out.append(True)
                 else:
-                    out.append(False)
-                own.append(True)
-            if out:
-                mine = pdf.loc[np.array(own), [*keys, "__n"]]
-                yield mine.assign(__mark=out)
+                    count += 1
+                    due = forced or count >= max_count or t - last >= wait
+                    mark = bool(due and not (arm_first and n == 1))
+                    if mark:
+                        count, last = 0, t
+                    out.append(mark)
+                    own.append(True)
+                    continue
+                own.append(False)
+            mine = batch.select(kept).filter(pa.array(own, pa.bool_()))
+            yield mine.append_column(name, pa.array(out, pa.bool_()))
 
-    flagged = (
-        sorted_halo.join(entries, [*keys, "__b"], "left")
-        .withColumn("__entry", F.coalesce("__entry", F.lit(0)))
-        .select(*keys, "__b", "__n", "__ts", "__force", "__entry")
-        .repartition(*keys, "__b")
+    return (
+        rows.repartition(*keys, "__b")
         .sortWithinPartitions(*keys, "__b", "__n")
-        .mapInPandas(marks, f"{key_ddl}, __n bigint, __mark boolean")
+        .mapInArrow(marks, f"{kept_ddl}, `{name}` boolean")
     )
-    return numbered.join(flagged, [*keys, "__n"]).withColumnRenamed("__mark", name)
 
 
 def checkpoint_marks(pages: DataFrame, every_pages: int = 5, every_s: int = 30, **blocks) -> DataFrame:

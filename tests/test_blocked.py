@@ -69,3 +69,13 @@ def test_last_n_limits_before_the_shuffle(spark, rows):
     df = monitoring.last_n(log, "job_id", ["event_id"], 5)
     assert [r.event_id for r in df.collect()] == [45, 46, 47, 48, 49]
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_ids_keep_their_order_over_blocks(rows):
+    ids = ["", "a", "aa", "aab", "aac", "ab", "b", "zz-9", "é", "日本"]
+    df = rows([(1, i) for i in ids], "k int, file_id string")
+    got = blocked.row_numbers(df, ["k"], blocked.id_block(df, "file_id"), ["file_id"]).collect()
+    assert [r.file_id for r in sorted(got, key=lambda r: r.seq)] == sorted(ids, key=lambda i: i.encode())
+    numbers = rows([(1, i) for i in range(0, 20000, 999)], "k int, file_id bigint")
+    got = blocked.row_numbers(numbers, ["k"], blocked.id_block(numbers, "file_id"), ["file_id"]).collect()
+    assert all(r.file_id == (r.seq - 1) * 999 for r in got)
