@@ -142,11 +142,14 @@ def assemble_documents(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -
     block = ft.page_block(F.col("page_num"), F.col("method"), F.col("processing_time"), F.col("text"))
     return (
         pages.groupBy("job_id", _part(pages_per_part).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("page_num", block.alias("block")))).alias("__pages"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("page_num", block.alias("block")))).alias("__pages"),
+            F.count(F.lit(1)).alias("pages"),
+        )
         .select(
             "job_id",
             "part",
-            F.size("__pages").cast("bigint").alias("pages"),
+            "pages",
             F.array_join(F.transform("__pages", lambda p: p["block"]), "").alias("content"),
         )
     )
