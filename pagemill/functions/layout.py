@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
 
-# Fixed values.
+# Fixed values; X8 is the two ladders of scales and resolutions, consumed by the retry scorer.
 DPI_STEPS = (300, 200, 150, 100, 72)
 SCALE_STEPS = (1.0, 0.75, 0.5, 0.35, 0.25)
 RESOLUTION_STEPS = (1024, 768, 512)

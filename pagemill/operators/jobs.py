@@ -54,6 +54,28 @@ def _status_counts() -> list[Column]:
     ]
 
 
+def _with_final_status(counts: DataFrame, is_cancelled: Column) -> DataFrame:
+    """Adds status, is_partial and error_message to status counts."""
+    total, done, failed = F.col("total"), F.col("completed"), F.col("failed")
+    status = (
+        F.when(is_cancelled, "cancelled")
+        .when(done == total, "completed")
+        .when(done == 0, "failed")
+        .otherwise("completed")
+    )
+    message = F.concat(failed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" documents failed"))
+    return counts.withColumns(
+        {
+            "status": status,
+            "is_partial": ~is_cancelled & (done > 0) & (done < total),
+            "error_message": F.when(~is_cancelled & (done == 0) & (total > 0), message),
+        }
+    )
+
+
+STATUS_COLUMNS = ["parent_batch_id", "total", "completed", "failed", "status", "is_partial", "error_message"]
+
+
 def batch_status(jobs: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
     """A3: final status of each batch of jobs.
 
@@ -62,29 +84,12 @@ def batch_status(jobs: DataFrame, cancelled: DataFrame | None = None) -> DataFra
     lists batches whose cancellation was asked for; it overrides the rest.
     """
     counts = jobs.groupBy("parent_batch_id").agg(*_status_counts())
+    is_cancelled = F.lit(False)
     if cancelled is not None:
         asked = cancelled.select("parent_batch_id").distinct().withColumn("__cancel", F.lit(True))
         counts = counts.join(asked, "parent_batch_id", "left")
         is_cancelled = F.coalesce("__cancel", F.lit(False))
-    else:
-        is_cancelled = F.lit(False)
-    total, done, failed = F.col("total"), F.col("completed"), F.col("failed")
-    status = (
-        F.when(is_cancelled, "cancelled")
-        .when(done == total, "completed")
-        .when(done == 0, "failed")
-        .otherwise("completed")
-    )
-    message = F.concat(failed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" documents failed"))
-    return counts.select(
-        "parent_batch_id",
-        "total",
-        "completed",
-        "failed",
-        status.alias("status"),
-        (~is_cancelled & (done > 0) & (done < total)).alias("is_partial"),
-        F.when(~is_cancelled & (done == 0) & (total > 0), message).alias("error_message"),
-    )
+    return _with_final_status(counts, is_cancelled).select(*STATUS_COLUMNS)
 
 
 def progress_share(status: Column, pct: Column) -> Column:
@@ -92,13 +97,46 @@ def progress_share(status: Column, pct: Column) -> Column:
     return F.when(status == "completed", 1.0).when(status == "processing", pct / 100.0).otherwise(0.0)
 
 
-def batch_progress(jobs: DataFrame) -> DataFrame:
-    """A4: percent of each batch, counting the shares of all running jobs."""
+def _progress_figures() -> list[Column]:
     share = progress_share(F.col("status"), F.col("progress_pct"))
-    return jobs.groupBy("parent_batch_id").agg(
+    return [
         F.count_if(F.col("status") == "completed").alias("documents_completed"),
         F.count("job_id").alias("total_documents"),
         F.coalesce(F.try_divide(F.sum(share) * 100, F.count("job_id")), F.lit(0.0)).alias("overall_progress_pct"),
+    ]
+
+
+def _failure_figures() -> list[Column]:
+    status = F.col("status")
+    idle = F.count("job_id") - F.count_if(status == "completed") - F.count_if(status == "processing")
+    return [
+        F.greatest(F.lit(0), idle).alias("failed_files"),
+        F.count_if(status == "failed").alias("truly_failed"),
+    ]
+
+
+def _wall_seconds() -> Column:
+    wall = fp.elapsed_seconds(F.min("started_at"), F.max("completed_at"))
+    return wall.alias("overall_processing_time_seconds")
+
+
+def batch_progress(jobs: DataFrame) -> DataFrame:
+    """A4: percent of each batch, counting the shares of all running jobs."""
+    return jobs.groupBy("parent_batch_id").agg(*_progress_figures())
+
+
+def batch_feed(jobs: DataFrame) -> DataFrame:
+    """A4 and A6 in one pass, as shown while a batch runs."""
+    return jobs.groupBy("parent_batch_id").agg(*_progress_figures(), *_failure_figures())
+
+
+def batch_report(jobs: DataFrame) -> DataFrame:
+    """A3, A4, A6 and A8 of every batch from one scan and one shuffle of the jobs."""
+    figures = jobs.groupBy("parent_batch_id").agg(
+        *_status_counts(), *_progress_figures(), *_failure_figures(), _wall_seconds()
+    )
+    return _with_final_status(figures, F.lit(False)).select(
+        *STATUS_COLUMNS, "overall_progress_pct", "overall_processing_time_seconds", "failed_files"
     )
 
 
@@ -111,12 +149,7 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
 
 def batch_failures(jobs: DataFrame) -> DataFrame:
     """The displayed failure figure (neither completed nor running) next to true failures."""
-    counts = jobs.groupBy("parent_batch_id").agg(*_status_counts())
-    return counts.select(
-        "parent_batch_id",
-        F.greatest(F.lit(0), F.col("total") - F.col("completed") - F.col("active")).alias("failed_files"),
-        F.col("failed").alias("truly_failed"),
-    )
+    return jobs.groupBy("parent_batch_id").agg(*_failure_figures())
 
 
 def queue_stats(jobs: DataFrame) -> DataFrame:
@@ -126,12 +159,11 @@ def queue_stats(jobs: DataFrame) -> DataFrame:
 
 def batch_stats(jobs: DataFrame) -> DataFrame:
     """Completion figures of each batch; wall time from first start to last end."""
-    wall = fp.elapsed_seconds(F.min("started_at"), F.max("completed_at"))
     return jobs.groupBy("parent_batch_id").agg(
         F.count("job_id").alias("total_documents"),
         F.count_if(F.col("status") == "completed").alias("documents_completed"),
         F.count_if(F.col("status") != "completed").alias("documents_failed"),
-        wall.alias("overall_processing_time_seconds"),
+        _wall_seconds(),
     )
 
 

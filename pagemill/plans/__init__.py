@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("queries_pages", "queries_jobs", "queries_monitoring", "queries_prompts", "queries_scoring", "queries_streaming")
+QUERY_MODULES = ("queries_pages", "queries_jobs", "queries_monitoring", "queries_prompts", "queries_scoring", "queries_streaming", "queries_requests")
 
 
 def all_queries():

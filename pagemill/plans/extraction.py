@@ -1,7 +1,4 @@
-"""The two document jobs: one over any set of documents, one over batches.
-
-They replace a loop over files by one DataFrame over all pages of all jobs.
-"""
+"""The document job: one DataFrame over all pages of all jobs instead of a loop over files."""
 
 from __future__ import annotations
 
@@ -9,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import documents as od
-from pagemill.operators import jobs as oj
 from pagemill.operators.scoring import LoadFn, score_pages
 from pagemill.sources.cache import read_ocr_cache, write_ocr_cache
 
@@ -68,13 +64,3 @@ def extract_documents(
         )
     )
     return docs, missing
-
-
-def batch_report(jobs: DataFrame) -> DataFrame:
-    """Status, progress, failures and wall time of every batch, from one scan per figure of the jobs."""
-    key = "parent_batch_id"
-    status = oj.batch_status(jobs)
-    progress = oj.batch_progress(jobs).select(key, "overall_progress_pct")
-    stats = oj.batch_stats(jobs).select(key, "overall_processing_time_seconds")
-    shown = oj.batch_failures(jobs).select(key, "failed_files")
-    return status.join(progress, key).join(stats, key).join(shown, key)

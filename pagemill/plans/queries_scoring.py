@@ -209,7 +209,7 @@ def cached_stage_results(spark, sf_dir):
         "job_id", "page_num", "ocr_text", "method", "processing_time"
     )
     sc.write_ocr_cache(pages.withColumn("ocr_text", F.lit("stale")), path, run=1)
-    sc.write_ocr_cache(pages.limit(1), path, run=2)
+    sc.write_ocr_cache(pages.withColumn("ocr_text", F.lit("half done")), path, run=2)
     sc.write_ocr_cache(pages, path, run=2)
     return sc.read_ocr_cache(spark, path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagemill.operators.jobs import batch_failures, batch_progress
+from pagemill.operators.jobs import batch_feed
 from pagemill.operators.mutations import latest_rows
 from pagemill.streaming.tables import current_rows, read_updates, write_updates
 
@@ -97,8 +97,7 @@ def progress_feed(counts: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFr
         done.alias("pages_completed"),
         "total_pages",
     )
-    batch = batch_progress(job).join(batch_failures(job), "parent_batch_id")
-    return job, batch
+    return job, batch_feed(job)
 
 
 def page_result_events(pages: DataFrame) -> DataFrame:

@@ -182,7 +182,9 @@ def current_stream_rows(commands: DataFrame, clear_when_final: bool = False) ->
     """T4: streaming form in update mode. A sink keeps the row with the greatest seq per page.
 
     Commands of one micro-batch are applied by ``order_no``; across batches the
-    arrival order counts. ``clear_when_final`` drops the state of a finished
+    arrival order counts. One task holds what a micro-batch brings for a page, so
+    limit the source; for pages hotter than that use ``apply_stream_commands`` in
+    foreachBatch, which spreads a page over blocks. ``clear_when_final`` drops the state of a finished
     page (T5), which bounds it when no command follows the final one.
     """
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)

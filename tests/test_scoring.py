@@ -3,7 +3,8 @@
 import pytest
 
 from pagemill.operators import scoring
-from pagemill.plans.extraction import batch_report, extract_documents
+from pagemill.operators.jobs import batch_report
+from pagemill.plans.extraction import extract_documents
 
 
 @pytest.fixture
