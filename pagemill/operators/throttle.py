@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.times import micros
-from pagemill.operators.blocked import page_block, row_numbers, running_sum, time_block
+from pagemill.operators.blocked import page_block, row_numbers, time_block
 
 ROWS_PER_BLOCK = 8192
 
@@ -81,7 +81,7 @@ def throttle_marks(
     name: str = "mark",
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Adds ``__n`` (position per key) and the boolean ``name``.
+    """Adds the boolean ``name``, ``__n`` (position per key) and ``__marks`` (marks so far, this row's included).
 
     A row is marked when ``force`` holds, when ``max_count`` rows have come
     since the last mark, or when ``max_wait_ms`` have passed since it. With
@@ -108,7 +108,7 @@ def throttle_marks(
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pending on exit for each pending on entry, of every block that another one follows."""
+        """Pending on exit and marks made, for each pending on entry, of every full block."""
         for pdf in _groups(batches, [*keys, "__b"]):
             b = int(pdf["__b"].iat[0])
             start = int(np.searchsorted(pdf["__n"].to_numpy(), b * rows_per_block + 1))
@@ -117,28 +117,33 @@ def throttle_marks(
             if n - start < rows_per_block:
                 continue
             nxt = _next_marks(t, f, max_count, wait)
-            leaves = np.arange(n)
+            leaves, later = np.arange(n), np.zeros(n, dtype=np.int64)
             for i in range(n - 1, -1, -1):
                 if nxt[i] < n:
-                    leaves[i] = leaves[nxt[i]]
-            pending = n - 1 - leaves
+                    leaves[i], later[i] = leaves[nxt[i]], later[nxt[i]] + 1
             if b == 0:
-                out = [int(pending[_first_mark(t, f, max_count, wait, arm_first)])]
+                at, done = [_first_mark(t, f, max_count, wait, arm_first)], 1
             else:
-                out = [int(pending[start - 1 - c]) for c in range(max_count)]
+                at, done = [start - 1 - c for c in range(max_count)], 0
             row = {k: [pdf[k].iat[0]] for k in keys}
-            yield pd.DataFrame({**row, "__b": [b], "__table": [out]})
+            pending = [int(n - 1 - leaves[i]) for i in at]
+            yield pd.DataFrame(
+                {**row, "__b": [b], "__table": [pending], "__made": [[int(later[i]) + done for i in at]]}
+            )
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows pending on entry to each later block, from the tables of a key in order."""
-        last_key, pending = None, 0
+        """Rows pending on entry to each later block and marks before it, key by key in order."""
+        pending, total = 0, 0
         for pdf in batches:
-            out = []
-            for *key, b, table in pdf[[*keys, "__b", "__table"]].itertuples(index=False, name=None):
-                pending = int(table[0]) if key != last_key or b == 0 else int(table[pending])
-                last_key = key
-                out.append(pending)
-            yield pdf[keys].assign(__b=pdf["__b"] + 1, __entry=out)
+            entry, before = [], []
+            for b, table, made in pdf[["__b", "__table", "__made"]].itertuples(index=False, name=None):
+                if b == 0:
+                    pending, total = 0, 0
+                total += int(made[pending])
+                pending = int(table[pending])
+                entry.append(pending)
+                before.append(total)
+            yield pdf[keys].assign(__b=pdf["__b"] + 1, __entry=entry, __before=before)
 
     # Only keys of more than one block need the tables; there are few of them.
     long_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") >= rows_per_block)
@@ -148,14 +153,14 @@ def throttle_marks(
         .select(*keys, "__b", "__n", "__ts", "__force")
         .repartition(*keys, "__b")
         .sortWithinPartitions(*keys, "__b", "__n")
-        .mapInPandas(tables, f"{key_ddl}, __b bigint, __table array<int>")
+        .mapInPandas(tables, f"{key_ddl}, __b bigint, __table array<int>, __made array<bigint>")
         .repartition(*keys)
         .sortWithinPartitions(*keys, "__b")
-        .mapInPandas(chained, f"{key_ddl}, __b bigint, __entry int")
+        .mapInPandas(chained, f"{key_ddl}, __b bigint, __entry int, __before bigint")
     )
 
     # The entry states join the rows as markers that sort first in their block.
-    rows = in_blocks(df).withColumn("__entry", F.lit(-1)).unionByName(
+    rows = in_blocks(df).withColumns({"__entry": F.lit(-1), "__before": F.lit(0)}).unionByName(
         entries.withColumn("__n", F.lit(0).cast("bigint")), allowMissingColumns=True
     )
     kept = [*df.columns, "__n"]
@@ -163,16 +168,16 @@ def throttle_marks(
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One pass over sorted rows with the state of the open block; nothing is held back."""
-        held, count, last, resume_at, own_from = None, 0, 0, 0, 1
-        names = [*keys, "__b", "__n", "__ts", "__force", "__entry"]
+        held, count, last, total, resume_at, own_from = None, 0, 0, 0, 0, 1
+        names = [*keys, "__b", "__n", "__ts", "__force", "__entry", "__before"]
         for batch in batches:
-            out, own = [], []
-            for *key, n, t, forced, entry in zip(*[batch.column(c).to_pylist() for c in names]):
+            out, made, own = [], [], []
+            for *key, n, t, forced, entry, before in zip(*[batch.column(c).to_pylist() for c in names]):
                 if key != held:
-                    held, count, own_from = key, 0, key[-1] * rows_per_block + 1
+                    held, count, total, own_from = key, 0, 0, key[-1] * rows_per_block + 1
                     last, resume_at = t, own_from - 1
                 if entry >= 0:
-                    count, resume_at = entry, own_from - 1 - entry
+                    count, total, resume_at = entry, before, own_from - 1 - entry
                 elif n < own_from:
                     # A row of the block before: one of them is where the last mark was.
                     if n == resume_at:
@@ -182,18 +187,21 @@ def throttle_marks(
                     due = forced or count >= max_count or t - last >= wait
                     mark = bool(due and not (arm_first and n == 1))
                     if mark:
-                        count, last = 0, t
+                        count, last, total = 0, t, total + 1
                     out.append(mark)
+                    made.append(total)
                     own.append(True)
                     continue
                 own.append(False)
             mine = batch.select(kept).filter(pa.array(own, pa.bool_()))
-            yield mine.append_column(name, pa.array(out, pa.bool_()))
+            yield mine.append_column(name, pa.array(out, pa.bool_())).append_column(
+                "__marks", pa.array(made, pa.int64())
+            )
 
     return (
         rows.repartition(*keys, "__b")
         .sortWithinPartitions(*keys, "__b", "__n")
-        .mapInArrow(marks, f"{kept_ddl}, `{name}` boolean")
+        .mapInArrow(marks, f"{kept_ddl}, `{name}` boolean, __marks bigint")
     )
 
 
@@ -210,7 +218,7 @@ def checkpoint_marks(pages: DataFrame, every_pages: int = 5, every_s: int = 30,
         arm_first=True,
         **blocks,
     )
-    return marked.drop("__n")
+    return marked.drop("__n", "__marks")
 
 
 def throttle_snapshots(
@@ -234,10 +242,7 @@ def throttle_snapshots(
     marked = throttle_marks(
         chunks, keys, time_block("created_at", 60), order, "created_at", tokens, ms, force="is_final", **blocks
     )
-    counted = running_sum(
-        marked, keys, F.floor((F.col("__n") - 1) / 8192), ["__n"], F.col("mark").cast("int"), "__marks"
-    )
-    segments = counted.withColumn("snapshot_no", F.col("__marks") - F.col("mark").cast("int") + 1)
+    segments = marked.withColumn("snapshot_no", F.col("__marks") - F.col("mark").cast("int") + 1)
     parts = F.array_sort(F.collect_list(F.struct("__n", "chunk_text")))
     deltas = (
         segments.groupBy(*keys, "snapshot_no")

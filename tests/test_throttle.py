@@ -44,7 +44,10 @@ def test_marks(spark, seed, arm_first):
     got = throttle_marks(
         df, ["k"], page_block("n", 16), ["n"], "ts", max_count, 100, force="f", arm_first=arm_first, rows_per_block=16
     )
-    assert {(r.k, r.n): r.mark for r in got.collect()} == want
+    found = got.collect()
+    assert {(r.k, r.n): r.mark for r in found} == want
+    for r in found:
+        assert r["__marks"] == sum(m for (k, n), m in want.items() if k == r.k and n <= r.n)
 
 
 def test_block_must_hold_a_whole_count(spark):
