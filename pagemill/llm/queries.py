@@ -37,13 +37,13 @@ spots AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i +
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+  upper(t) = t AS no_lower,
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   coalesce(spots.n, 0) AS n_repeat_words FROM w LEFT JOIN spots USING (r)),
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
   + 4 * (5 * n_symbols > n_words)::INT + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT
   + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))::INT
-  + 32 * (n_words >= 20 AND 2 * n_upper > word_chars)::INT AS BIGINT) AS failed_bits FROM m)
+  + 32 * (n_words >= 20 AND no_lower)::INT AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
   (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM f""")
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACES, WORD_BREAK, let
+from pagemill.llm.common import WORD_BREAK, let
 
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+A_WORD = r"[^\x20\x09-\x0D]"
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ RULES = (
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     Rule("word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)"),
-    Rule("upper_case", "n_words >= 20 AND 2 * n_upper > word_chars"),
+    Rule("no_lower_case", "n_words >= 20 AND no_lower"),
 )
 
 #: Versions of the policy: the rules each applies.
@@ -55,57 +55,65 @@ def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     return sum(1 << at[n] for n in set(names))
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words that lie in a three-word window found twice or more in the text."""
+def _repeated_words(ws: Column) -> Column:
+    """Words that lie in a three-word window found twice or more in the text.
 
-    def marked(ws: Column) -> Column:
-        n = F.size(ws)
-        windows = F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")),
+    Each window is one integer, its hash above and its place in the low bits, so equal windows are neighbours once
+    sorted. Neighbours count as equal only if their words are, so a clash of hashes adds nothing.
+    """
+    n = F.size(ws)
+    width = F.ceil(F.log2(F.size(ws).cast("double"))).cast("int")
+
+    def windows(low: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(ws) - 3),
+            lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
+            .bitwiseAND(F.bitwise_not(low))
+            .bitwiseOR(i.cast("bigint")),
         )
-        return F.when(n < 4, F.lit(0)).otherwise(let(windows, counted))
 
-    def counted(win: Column) -> Column:
-        n = F.size(win)
-        distinct = F.size(F.array_distinct(F.transform(win, lambda x: x["h"])))
-        return F.when(distinct == n, F.lit(0)).otherwise(let(F.array_sort(win), covered))
+    def place(x: Column, low: Column) -> Column:
+        return x.bitwiseAND(low).cast("int")
 
-    def covered(s: Column) -> Column:
-        again = F.filter(
-            F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), _twin(s, x, j).alias("twin"))), lambda x: x["twin"]
-        )
-        spots = F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-        return F.size(F.array_distinct(spots))
+    def same(x: Column, y: Column, low: Column) -> Column:
+        i, j = place(x, low), place(y, low)
+        words = [F.get(ws, i + k) == F.get(ws, j + k) for k in range(3)]
+        return (x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(low)) == 0) & words[0] & words[1] & words[2]
+
+    def covered(s: Column, low: Column) -> Column:
+        pairs = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(F.get(s, j - 1), F.get(s, j), low))
+
+        def both(j: Column) -> Column:
+            starts = [place(F.get(s, j - 1), low), place(F.get(s, j), low)]
+            return F.array(*(i + k for i in starts for k in range(3)))
 
-    def _twin(s: Column, x: Column, j: Column) -> Column:
-        before, after = F.get(s, j - 1)["h"], F.get(s, j + 1)["h"]
-        return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
+        return F.size(F.array_distinct(F.flatten(F.transform(pairs, both))))
 
-    return let(words, marked).cast("bigint")
+    def sorted_windows(low: Column) -> Column:
+        return let(F.sort_array(windows(low)), lambda s: covered(s, low))
+
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), width) - 1
+    return F.when(n < 4, F.lit(0)).otherwise(let(low, sorted_windows)).cast("bigint")
 
 
 def measurements(text: Column) -> Column:
     """A struct of the counts that the rules use."""
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(t, WORD_BREAK), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-
-    def length(c: Column) -> Column:
-        return F.length(c).cast("bigint")
-
-    def without(chars: str) -> Column:
-        return length(F.translate(t, chars, ""))
-
-    return F.struct(
-        F.size(words).cast("bigint").alias("n_words"),
-        without(SPACES).alias("word_chars"),
-        (length(t) - without(SYMBOLS)).alias("n_symbols"),
-        (length(t) - without(UPPER)).alias("n_upper"),
-        let(lines, F.size).cast("bigint").alias("n_lines"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        _repeated_words(words).alias("n_repeat_words"),
-    )
+    lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(A_WORD)))
+
+    def counted(ws: Column, ls: Column) -> Column:
+        return F.struct(
+            F.size(ws).cast("bigint").alias("n_words"),
+            F.length(F.array_join(ws, "")).cast("bigint").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+            (F.upper(t) == t).alias("no_lower"),
+            F.size(ls).cast("bigint").alias("n_lines"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
+            _repeated_words(ws).alias("n_repeat_words"),
+        )
+
+    return let(words, lambda ws: let(lines, lambda ls: counted(ws, ls)))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
