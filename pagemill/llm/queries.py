@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import rule_ledger
-from pagemill.llm.common import table
+from pagemill.llm import ftrl_toxicity, rule_ledger, zstd_quality
+from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,30 @@ def query(sql: str | None = None) -> Callable[[Build], Build]:
     return register
 
 
+def _judged(spark: SparkSession, sf_dir: str, trainer, threshold: float) -> DataFrame:
+    """Scores of all documents by a model that learned from the rows outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = trainer(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return zstd_quality.score_texts(docs, model).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression classifier over all documents."""
+    return _judged(spark, sf_dir, zstd_quality.train, 0.3)
+
+
+@query()
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTRL classifier over all documents."""
+    return _judged(spark, sf_dir, ftrl_toxicity.train, 0.5)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
