@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from pagemill.llm.zstd_quality import SAMPLE_CHARS, SAMPLE_ROWS, labelled_sample
+from pagemill.llm.zstd_quality import SAMPLE_CHARS, labelled_sample
 
 __all__ = ["DIMENSIONS", "SAMPLE_CHARS", "SAMPLE_ROWS", "ToxicityModel", "features", "fit", "train"]
 
+SAMPLE_ROWS = 10_000
 DIMENSIONS = 1 << 22
 STEMS = (4, 5, 6)
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.5
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+#: A toxic text counts as so many clean ones in the fit.
+POSITIVE_WEIGHT = 2.0
 _WORDS = re.compile(r"\w+")
 _CACHED_WORDS = 300_000
 
@@ -134,6 +137,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS) -> Toxi
             w = weights(i)
             bias = -bz / ((BETA + bn**0.5) / ALPHA)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - label[r]
+            g *= POSITIVE_WEIGHT if label[r] else 1.0
             n_new = n[i] + g * g
             z[i] += g - (np.sqrt(n_new) - np.sqrt(n[i])) / ALPHA * w
             n[i] = n_new
@@ -147,7 +151,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS) -> Toxi
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id") -> ToxicityModel:
     """Fits the model on a bounded sample of labelled texts; features are hashed on the executors."""
-    sample = labelled_sample(docs, labels, "toxic", use, id_col).select("t", "label")
+    sample = labelled_sample(docs, labels, "toxic", use, id_col, SAMPLE_ROWS).select("t", "label")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
