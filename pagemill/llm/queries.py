@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ftrl_toxicity, rule_ledger, zstd_quality
+from pagemill.llm import ftrl_toxicity, prefix_bpe, rule_ledger, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
+#: The sentencepiece model that the tokenising query and the language model use.
+PIECES_MODEL = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Build] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -50,6 +53,18 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, ftrl_toxicity.train, 0.5)
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES_MODEL)
+
+
+@query()
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all documents, as digests."""
+    return prefix_bpe.encoding_digests(table(spark, sf_dir, "documents"), pieces_path())
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
