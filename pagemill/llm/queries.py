@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ftrl_toxicity, prefix_bpe, rule_ledger, zstd_quality
+from pagemill.llm import dom_marginals, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,39 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encoding_digests(table(spark, sf_dir, "documents"), pieces_path())
 
 
+@query()
+def op6_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    model = dom_marginals.train(page_labels.labelled_pages())
+    found = dom_marginals.extract(table(spark, sf_dir, "pages"), model)
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: host, path and verdict of the rules of operator 7's query.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+@query(r"""
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k(h, b, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, host, path, h || b AS rule, v, row_number() OVER (
+    PARTITION BY page_id, host, path ORDER BY length(h || b) DESC NULLS LAST) AS n
+  FROM p LEFT JOIN k ON (host = h OR host LIKE '%.' || h) AND starts_with(path, b))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""")
+def op7_url_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the longest fitting rule for every page."""
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_intervals.judge(table(spark, sf_dir, "pages"), rules)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
