@@ -13,6 +13,7 @@ from pagemill.session import scratch_dir
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+A_WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows handed to Python at once. Texts may be very long, so batches are small.
 BATCH_ROWS = 1000

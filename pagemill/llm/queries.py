@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import dom_marginals, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
+from pagemill.llm import dom_marginals, flow_mix, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,22 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encoding_digests(table(spark, sf_dir, "documents"), pieces_path())
 
 
+@query()
+def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed, sources = flow_mix.mix_by_source(docs)
+    known = spark.createDataFrame(sources, "name string, source_size bigint, target double")
+    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).select(
+        "doc_id",
+        "source",
+        F.col("__size").alias("size"),
+        "source_size",
+        "target",
+        (F.col("__size") * F.col("__copies")).cast("bigint").alias("taken"),
+    )
+
+
 @query()
 def op6_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
