@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import dom_marginals, flow_mix, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
+from pagemill.llm import collision_dedup, dom_marginals, flow_mix, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,9 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~rule_ledger.passes(F.col("failed_bits"), rule_ledger.POLICIES["base"])).alias("base_failed"),
         rule_ledger.passes(F.col("failed_bits"), rule_ledger.POLICIES["v2"]).alias("kept"),
     )
+
+
+@query()
+def op10_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return collision_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
