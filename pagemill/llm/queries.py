@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import collision_dedup, dom_marginals, flow_mix, ftrl_toxicity, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
+from pagemill.llm import collision_dedup, dom_marginals, flow_mix, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,10 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return collision_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice likelihoods of all documents, learned from the rows outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents")
+    return lattice_lm.score_documents(docs, pieces_path(), fold(F.col("doc_id"), 7) == 2)
