@@ -14,13 +14,13 @@ Equal vectors are made one first and counted, so copies cost nothing; large grou
 (``linking``). No pair becomes a row.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with nothing; they come
-out alone. Rows that repeat an id and its vector count as one vector and come out as often as they went in. Rows without an id come
+out alone. Rows that repeat an id are one vector, the one with the smallest
+digest if they differ, and come out as often as they went in. Rows without an id come
 out with no links and a null component, kept. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
-from pagemill.llm.linking import classes_linked, components, group_starts, labels_of, sorted_groups, tiles, verified
+from pagemill.llm.linking import classes_linked, components, group_starts, labels_of, sorted_groups, spread_classes, tiles, verified
 
 #: Window of a cell and of a count, in deviations of a pair at the threshold.
 CELL_WIDTH, WINDOW = 4.0, 2.0
@@ -191,39 +191,25 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row. ``recall`` is that of a pair exactly at the threshold."""
     rows = stored(keyed(frame, id_col, vec_col), "vectors")
-    distinct = rows.where("key IS NOT NULL").groupBy("key", "id").agg(F.first("vec").alias("vec"))
-    classes = distinct.groupBy("key").agg(
+    owners = rows.where("key IS NOT NULL").groupBy("id").agg(F.min(F.struct("key", "vec")).alias("o"))
+    owners = stored(owners.select("id", "o.key", "o.vec"), "vector-owners")
+    classes = owners.groupBy("key").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")
     )
     classes = stored(classes, "vector-classes")
     dims = classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     most = dims.orderBy(F.desc("n"), "dim").first()
-    none = classes.select("key", F.col("weight") - 1, F.col("id"))
-    if most is not None:
-        dim, plan = most["dim"], Plan.of(most["n"], most["dim"], threshold, recall)
-        same = classes.where(F.size("vec") == dim)
-        groups = components(candidates(same, plan))
-        members = groups.join(same, "id").select("component", "id", "weight", "vec")
-
-        def close(part: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-            x = _vectors(part, "vec", dim)
-            hit = np.triu(x @ x.T >= threshold, 1)
-            if side is not None:
-                hit &= side[:, None] != side[None, :]
-            return np.nonzero(hit)
-
-        linked = classes_linked(verified(members, close))
-        none = classes.join(linked, "id", "left").select(
-            "key",
-            (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
-    result = none.toDF("key", "n_links", "component_id")
-    joined = rows.select("id", "key").join(result, "key", "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    dim, n = (most["dim"], most["n"]) if most else (1, 1)
+    plan = Plan.of(n, dim, threshold, recall)
+    same = classes.where(F.size("vec") == dim)
+    members = components(candidates(same, plan)).join(same, "id").select("component", "id", "weight", "vec")
+
+    def close(part: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        x = _vectors(part, "vec", dim)
+        hit = np.triu(x @ x.T >= threshold, 1)
+        if side is not None:
+            hit &= side[:, None] != side[None, :]
+        return np.nonzero(hit)
+
+    linked = classes_linked(verified(members, close))
+    return spread_classes(rows.select("id"), owners.select("id", "key"), classes, linked, id_col)

@@ -158,3 +158,20 @@ def classes_linked(found: DataFrame) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("id").alias("a"), F.col("reach").alias("b")))
     return links.join(reach, "id", "left").select("id", "links", F.coalesce("component", "id").alias("component"))
+
+
+def spread_classes(rows: DataFrame, owners: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_links, component_id, kept) of every row, from (id), (id, key), (key, id, weight) and the links of the classes."""
+    result = classes.join(linked, "id", "left").select(
+        "key",
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "id").alias("component_id"),
+    )
+    of_ids = owners.join(result, "key").select("id", "n_links", "component_id")
+    component = F.coalesce("component_id", "id")
+    return rows.join(of_ids, "id", "left").select(
+        F.col("id").alias(id_col),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    )

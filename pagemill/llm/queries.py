@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import collision_dedup, dom_marginals, flow_mix, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
+from pagemill.llm import collision_dedup, dom_marginals, flow_mix, forest_jaccard, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,12 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encoding_digests(table(spark, sf_dir, "documents"), pieces_path())
 
 
+@query()
+def op4_forest_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all documents at a Jaccard similarity of 0.8 on five-word shingles."""
+    return forest_jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
