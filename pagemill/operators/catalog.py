@@ -19,21 +19,25 @@ from pagemill.session import ensure_checkpoint_dir
 # Point reads and lists. Every limit stands on a total order.
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def get_by_id(df: DataFrame, col: str, value) -> DataFrame:
     """the row with this key, or none."""
     return df.where(F.col(col) == value).limit(1)
 
 
-def list_all(df: DataFrame, filters: Mapping[str, object], limit: int = 100, order: Sequence[str] | None = None) -> DataFrame:
+def list_all(df: DataFrame, filters: Mapping[str, object], limit: int | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """rows equal to every given value, in key order (all columns unless named)."""
     matches = reduce(operator.and_, [F.col(c) == v for c, v in filters.items()], F.lit(True))
-    return df.where(matches).orderBy(*(order or df.columns)).limit(limit)
+    return first_rows(df.where(matches).orderBy(*(order or df.columns)), limit)
 
 
-def list_files_by_user(files: DataFrame, user_id, limit: int = 100) -> DataFrame:
+def list_files_by_user(files: DataFrame, user_id, limit: int | None = None) -> DataFrame:
     """live files of a user, newest first."""
     live = (F.col("user_id") == user_id) & F.col("deleted_at").isNull()
-    return files.where(live).orderBy(F.desc("uploaded_at"), F.desc("file_id")).limit(limit)
+    return first_rows(files.where(live).orderBy(F.desc("uploaded_at"), F.desc("file_id")), limit)
 
 
 def expired_files(files: DataFrame, now: datetime) -> DataFrame:
@@ -41,23 +45,20 @@ def expired_files(files: DataFrame, now: datetime) -> DataFrame:
     return files.where((F.col("expires_at") < moment(now)) & F.col("deleted_at").isNull())
 
 
-def list_expired_files(files: DataFrame, now: datetime, limit: int = 100) -> DataFrame:
+def list_expired_files(files: DataFrame, now: datetime, limit: int | None = None) -> DataFrame:
     """the longest expired first."""
-    return expired_files(files, now).orderBy("expires_at", "file_id").limit(limit)
+    return first_rows(expired_files(files, now).orderBy("expires_at", "file_id"), limit)
 
 
-def jobs_by_user(jobs: DataFrame, user_id, limit: int = 100) -> DataFrame:
+def jobs_by_user(jobs: DataFrame, user_id, limit: int | None = None) -> DataFrame:
     """newest jobs of a user."""
-    return jobs.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
+    return first_rows(jobs.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("job_id")), limit)
 
 
-def batches_by_status(batches: DataFrame, status: str, limit: int = 100) -> DataFrame:
+def batches_by_status(batches: DataFrame, status: str, limit: int | None = None) -> DataFrame:
     """newest batches in a status."""
-    return (
-        batches.where(F.col("status") == status)
-        .orderBy(F.desc("created_at"), F.desc("batch_job_id"))
-        .limit(limit)
-    )
+    ordered = batches.where(F.col("status") == status).orderBy(F.desc("created_at"), F.desc("batch_job_id"))
+    return first_rows(ordered, limit)
 
 
 # Validation: each adds or returns error texts, never raises.
@@ -165,24 +166,30 @@ def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return jobs.join(original, "file_id")
 
 
-def job_lineage(jobs: DataFrame, max_depth: int = 1023) -> DataFrame:
+def job_lineage(jobs: DataFrame) -> DataFrame:
     """(root_job_id, job_id, depth) of every version of a re-processed document.
 
     Parent links are followed by pointer doubling: each round doubles the steps
-    taken, so 10 rounds reach depth 1023. Rows that reached their root leave the
-    join. Rounds are cut by checkpoint(), which survives the loss of executors;
-    this is the one operator here that runs jobs of its own. A chain deeper
-    than ``max_depth`` raises instead of giving a wrong root.
+    taken. Rows that reached their root leave the join. A parent that is not in
+    the table counts as none, so its child is a root. Rounds are cut by
+    checkpoint(), which survives the loss of executors; this is the one operator
+    here that runs jobs of its own. A chain longer than there are jobs is a cycle, which raises.
     """
     ensure_checkpoint_dir(jobs.sparkSession)
-    links = jobs.select("job_id", F.col("parent_job_id").alias("ptr"))
+    known = jobs.select(F.col("job_id").alias("ptr"), F.lit(True).alias("__known")).distinct()
+    links = jobs.select("job_id", F.col("parent_job_id").alias("ptr")).join(known, "ptr", "left")
+    links = links.select("job_id", F.when(F.col("__known"), F.col("ptr")).alias("ptr"))
     hops = links.select(
         "job_id",
         F.coalesce("ptr", "job_id").alias("top"),
         F.col("ptr").isNotNull().cast("bigint").alias("depth"),
         F.col("ptr").isNull().alias("at_root"),
-    )
-    for _ in range(max_depth.bit_length()):
+    ).checkpoint()
+    steps, rows = 1, None
+    while not hops.where(~F.col("at_root")).isEmpty():
+        rows = hops.count() if rows is None else rows
+        if steps > rows:
+            raise ValueError("versions form a cycle")
         step = hops.select(
             F.col("job_id").alias("top"),
             F.col("top").alias("__top"),
@@ -197,10 +204,7 @@ def job_lineage(jobs: DataFrame, max_depth: int = 1023) -> DataFrame:
             F.col("__root").alias("at_root"),
         )
         hops = hops.where("at_root").unionByName(moved).checkpoint()
-        if hops.where(~F.col("at_root")).isEmpty():
-            break
-    else:
-        raise ValueError(f"a chain of versions is deeper than {max_depth}")
+        steps *= 2
     return hops.select(F.col("top").alias("root_job_id"), "job_id", "depth")
 
 
@@ -215,7 +219,8 @@ def cascade_delete(tables: Mapping[str, DataFrame], removed_users: DataFrame) ->
     """Every table without the rows that hang on the removed users.
 
     users -> files, batches and jobs; files and batches -> jobs; jobs -> pages
-    and events. Each level is one anti join on its own key.
+    and events. Each level is one anti join on its own key, so a row whose
+    parent was never in the tables stays.
     """
     users = removed_users.select("user_id")
     out = dict(tables)
@@ -236,10 +241,10 @@ def cascade_delete(tables: Mapping[str, DataFrame], removed_users: DataFrame) ->
     out["users"] = minus(tables["users"], users, "user_id")
     out["files"] = minus(tables["files"], users, "user_id")
     out["jobs"] = jobs
-    kept = jobs.select("job_id")
+    gone_jobs = tables["jobs"].select("job_id").join(jobs.select("job_id"), "job_id", "left_anti")
     for child in ("pages", "events"):
         if child in tables:
-            out[child] = tables[child].join(kept, "job_id", "left_semi")
+            out[child] = minus(tables[child], gone_jobs, "job_id")
     return out
 
 

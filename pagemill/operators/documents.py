@@ -25,7 +25,7 @@ def select_page_range(
     """
     if start is not None and end is not None:
         return pages.where(F.col("page_num").between(max(1, start), end))
-    if max_pages:
+    if max_pages is not None:
         return pages.where(F.col("page_num") <= max_pages)
     return pages
 

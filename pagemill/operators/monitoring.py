@@ -239,6 +239,7 @@ def order_alerts(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.when(F.col("type") == "error", 0).otherwise(1), "event_id", "alert_no")
 
 
-def job_events(events: DataFrame, job_id, limit: int = 100) -> DataFrame:
+def job_events(events: DataFrame, job_id, limit: int | None = None) -> DataFrame:
     """O2: oldest events of a job."""
-    return events.where(F.col("job_id") == job_id).orderBy("created_at", "event_id").limit(limit)
+    ordered = events.where(F.col("job_id") == job_id).orderBy("created_at", "event_id")
+    return ordered if limit is None else ordered.limit(limit)

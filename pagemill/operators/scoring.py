@@ -2,7 +2,8 @@
 
 ``load_fn()`` runs once per task and returns the scorer, so weights are loaded
 once and reused for all rows of the task. Rows stream through in Arrow batches;
-partitions are those of the input, nothing is shuffled unless a batch has to
+input columns are passed on as they came, so no type changes on the way.
+Partitions are those of the input, nothing is shuffled unless a batch has to
 stay together. A failing row is a result, not an exception.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,18 @@ from pagemill.operators.documents import few_shot_context, page_batches, union_c
 from pagemill.session import ensure_checkpoint_dir
 
 Scorer = Callable[[dict], str]
-LoadFn = Callable[[], Scorer]
+BatchScorer = Callable[[list[dict]], Sequence]
+LoadFn = Callable[[], Scorer | BatchScorer]
 RESULT_DDL = "text string, model string, success boolean, error string, attempts int, scale double, seconds double"
-RESULTS = ["text", "model", "success", "error", "attempts", "scale", "seconds"]
+RESULTS = {
+    "text": pa.string(),
+    "model": pa.string(),
+    "success": pa.bool_(),
+    "error": pa.string(),
+    "attempts": pa.int32(),
+    "scale": pa.float64(),
+    "seconds": pa.float64(),
+}
 
 
 class Scored(str):
@@ -43,43 +53,61 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def _outcome(text: object, seconds: float) -> tuple:
+    """The result columns of a text, or of the exception that stands in for it."""
+    attempts, scale = getattr(text, "attempts", 1), float(getattr(text, "scale", 1.0))
+    if isinstance(text, Exception):
+        return "", None, False, str(text), attempts, scale, seconds
+    return str(text), getattr(text, "model", None), True, None, attempts, scale, seconds
+
+
 def _result(scorer: Scorer, row: dict) -> tuple:
     start = time.perf_counter()
     try:
         text = scorer(row)
     except Exception as e:  # noqa: BLE001 - the page fails, the job goes on
-        attempts, scale = getattr(e, "attempts", 1), getattr(e, "scale", 1.0)
-        return "", None, False, str(e), attempts, scale, time.perf_counter() - start
-    seconds = time.perf_counter() - start
-    return (
-        str(text),
-        getattr(text, "model", None),
-        True,
-        None,
-        getattr(text, "attempts", 1),
-        float(getattr(text, "scale", 1.0)),
-        seconds,
-    )
+        text = e
+    return _outcome(text, time.perf_counter() - start)
+
+
+def _batch_results(scorer: BatchScorer, rows: list[dict]) -> list[tuple]:
+    """Results of a scorer of lists; what it raises, or leaves out, is the failure of those rows."""
+    start = time.perf_counter()
+    try:
+        given = list(scorer(rows))
+    except Exception as e:  # noqa: BLE001
+        given = [e] * len(rows)
+    given += [ValueError("no result")] * (len(rows) - len(given))
+    seconds = (time.perf_counter() - start) / max(1, len(rows))
+    return [_outcome(text, seconds) for text in given[: len(rows)]]
+
 
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with columns added, its own untouched."""
+    names = [*batch.schema.names, *columns]
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
 
-def _with_results(pdf: pd.DataFrame, results: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(results, columns=RESULTS, index=pdf.index)
-    return pd.concat([pdf, out], axis=1)
 
+def _columns(results: list[tuple]) -> dict[str, pa.Array]:
+    return {name: pa.array([r[i] for r in results], kind) for i, (name, kind) in enumerate(RESULTS.items())}
 
-def score_pages(pages: DataFrame, load_fn: LoadFn, prompt_type: str = "ocr") -> DataFrame:
-    """M1: adds the result columns; a failed page has empty text and its error."""
+
+def score_pages(pages: DataFrame, load_fn: LoadFn, prompt_type: str = "ocr", batched: bool = False) -> DataFrame:
+    """M1: adds the result columns; a failed page has empty text and its error.
+
+    With ``batched`` the loaded scorer takes the rows of an Arrow batch as a
+    list and returns as many texts, or exceptions, in order.
+    """
     schema = f"{_ddl(pages)}, prompt_type string, {RESULT_DDL}"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load_fn()
-        for pdf in batches:
-            rows = pdf.to_dict("records")
-            yield _with_results(
-                pdf.assign(prompt_type=prompt_type), [_result(scorer, {**r, "prompt_type": prompt_type}) for r in rows]
-            )
+        for batch in batches:
+            rows = [{**r, "prompt_type": prompt_type} for r in batch.to_pylist()]
+            results = _batch_results(scorer, rows) if batched else [_result(scorer, r) for r in rows]
+            yield _with(batch, {"prompt_type": pa.array([prompt_type] * len(rows), pa.string()), **_columns(results)})
 
-    return pages.mapInPandas(score, schema)
+    return pages.mapInArrow(score, schema)
 
 
 def score_batches(pages: DataFrame, load_fn: Callable[[], Callable], size: int = 8) -> DataFrame:
@@ -114,53 +142,59 @@ def score_batches(pages: DataFrame, load_fn: Callable[[], Callable], size: int =
             given = [{"text": "", "success": False, "error": str(e)}] * len(rows)
         return [given[i] if i < len(given) else {} for i in range(len(rows))]
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load_fn()
-        held: list[dict] = []
-
-        def flush() -> list[dict]:
-            results = run(scorer, held)
-            ok = all(bool(r.get("success", False)) for r in results)
-            return [
+        held: list[pa.RecordBatch] = []  # slices of the batch under way
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            results = run(scorer, whole.to_pylist())
+            ok = [bool(r.get("success", False)) for r in results]
+            return _with(
+                whole,
                 {
-                    **row,
-                    "text": r.get("text") or "",
-                    "success": bool(r.get("success", False)),
-                    "error": r.get("error"),
-                    "batch_size": len(held),
-                    "batch_success": ok,
-                }
-                for row, r in zip(held, results)
-            ]
-
-        for pdf in frames:
-            out: list[dict] = []
-            for row in pdf.to_dict("records"):
-                if held and any(held[0][k] != row[k] for k in keys):
-                    out += flush()
-                    held = []
-                held.append(row)
-            if out:
-                yield pd.DataFrame(out)
+                    "text": pa.array([r.get("text") or "" for r in results], pa.string()),
+                    "success": pa.array(ok, pa.bool_()),
+                    "error": pa.array([r.get("error") for r in results], pa.string()),
+                    "batch_size": pa.array([len(ok)] * len(ok), pa.int32()),
+                    "batch_success": pa.array([all(ok)] * len(ok), pa.bool_()),
+                },
+            )
+
+        last = None
+        for batch in batches:
+            at = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            start = 0
+            for i, key in enumerate(at):
+                if key != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield flush()
+                    held, start, last = [], i, key
+            if start < len(at):
+                held.append(batch.slice(start))
         if held:
-            yield pd.DataFrame(flush())
+            yield flush()
 
     together = batched.repartition(*keys).sortWithinPartitions(*keys, "batch_index")
-    return together.mapInPandas(score, schema)
+    return together.mapInArrow(score, schema)
 
 
 def with_retry(
     fn: Callable[[dict, float], str],
     ladder: Sequence[float],
     is_oom: Callable[[Exception], bool],
-    max_attempts: int = 5,
+    max_attempts: int | None = None,
 ) -> Scorer:
     """M4: a scorer that retries memory-class errors down a ladder of scales or sizes.
 
     Other errors are raised at once. The last error is raised when the ladder
-    or the attempts run out.
+    runs out; a ladder of more steps than ``max_attempts`` is refused.
     """
-    steps = list(ladder)[:max_attempts]
+    steps = list(ladder)
+    if max_attempts is not None and len(steps) > max_attempts:
+        raise ValueError(f"the ladder has {len(steps)} steps, but only {max_attempts} attempts are allowed")
 
     def scorer(row: dict) -> str:
         for attempt, scale in enumerate(steps, 1):
@@ -220,41 +254,44 @@ def merge_with_model(pages: DataFrame, load_fn: LoadFn) -> DataFrame:
 def validate_and_refine(
     pages: DataFrame, validators: Sequence[Callable[[dict], tuple[bool, str]]], load_refine: LoadFn
 ) -> DataFrame:
-    """M6: validates ``text`` with up to two validators and refines the rows found invalid.
+    """M6: validates ``text`` with all validators and refines the rows found invalid.
 
     Rows out carry valid, issues (of the validation) and refined. Without
     validators every row counts as valid. A failed refinement keeps the text.
     """
-    checks = list(validators)[:2]
+    checks = list(validators)
+    verdict = pa.list_(pa.struct([("valid", pa.bool_()), ("issues", pa.string())]))
     verdict_ddl = "array<struct<valid:boolean,issues:string>>"
 
-    def validate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pdf.to_dict("records")
+    def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
             found = [[dict(zip(("valid", "issues"), check(r))) for check in checks] for r in rows]
-            yield pdf.assign(__verdicts=found)
+            yield _with(batch, {"__verdicts": pa.array(found, verdict)})
 
     judged = (
-        pages.mapInPandas(validate, f"{_ddl(pages)}, __verdicts {verdict_ddl}")
+        pages.mapInArrow(validate, f"{_ddl(pages)}, __verdicts {verdict_ddl}")
         .withColumn("__v", fp.ensemble_verdict(F.col("__verdicts")))
         .select(*pages.columns, "__v.valid", "__v.issues")
     )
 
-    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for pdf in batches:
-            texts, done = list(pdf["text"]), [False] * len(pdf)
-            for i, row in enumerate(pdf.to_dict("records")):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, done = batch.column(at).to_pylist(), [False] * batch.num_rows
+            for i, row in enumerate(batch.to_pylist()):
                 if row["valid"]:
                     continue
                 scorer = scorer or load_refine()
                 result = _result(scorer, row)
                 if result[2]:
                     texts[i], done[i] = result[0], True
-            yield pdf.assign(text=texts, refined=done)
+            out = batch.set_column(at, "text", pa.array(texts, pa.string()))
+            yield _with(out, {"refined": pa.array(done, pa.bool_())})
 
     # One pass over the rows: splitting by verdict would run the validators twice.
-    return judged.mapInPandas(refine, f"{_ddl(judged)}, refined boolean")
+    return judged.mapInArrow(refine, f"{_ddl(judged)}, refined boolean")
 
 
 def score_with_calibration(pages: DataFrame, load_fn: LoadFn, n: int = 3) -> DataFrame:

@@ -25,8 +25,10 @@ def extract_documents(
 
     ``pages`` is (job_id, page_num, embedded_text). The stage table at
     ``cache_path`` is the barrier between the stages and the point of recovery:
-    a repeated call with a higher ``run`` scores only pages without a stored
-    success. Returns the document parts and the pages still without a result.
+    a call with a higher ``run`` scores only pages without a success in an
+    earlier run, and repeating a call gives the same again. Returns the document
+    parts and the pages still without a result; parts of documents with such
+    pages have ``is_complete`` false (J1: a caller fails these jobs).
     """
     spark = pages.sparkSession
     routed = od.route_pages(
@@ -34,7 +36,7 @@ def extract_documents(
     )
     scored = routed.where("route <> 'embedded'")
     if run > 1:
-        done = read_ocr_cache(spark, cache_path).where("success")
+        done = read_ocr_cache(spark, cache_path, before_run=run).where("success")
         scored = od.pages_to_do(scored, done)
     results = score_pages(scored, load_ocr).select(
         "job_id",
@@ -63,4 +65,6 @@ def extract_documents(
             text.alias("text"),
         )
     )
-    return docs, missing
+    incomplete = missing.select("job_id").distinct().withColumn("__missing", F.lit(True))
+    docs = docs.join(incomplete, "job_id", "left").withColumn("is_complete", F.col("__missing").isNull())
+    return docs.drop("__missing"), missing

@@ -35,7 +35,7 @@ SELECT * FROM v_jobs WHERE status = 'completed' AND model = 'qwen3-vl-8b' ORDER
 def filtered_jobs(spark, sf_dir):
     """F2."""
     filters = {"status": "completed", "model": "qwen3-vl-8b"}
-    return oc.list_all(s.jobs(spark, sf_dir), filters, order=["job_id"])
+    return oc.list_all(s.jobs(spark, sf_dir), filters, limit=100, order=["job_id"])
 
 
 @query("""
@@ -43,7 +43,7 @@ SELECT * FROM v_files WHERE user_id = 'src3' AND deleted_at IS NULL
 ORDER BY uploaded_at DESC, file_id DESC LIMIT 100""")
 def files_of_user(spark, sf_dir):
     """F3."""
-    return oc.list_files_by_user(s.files(spark, sf_dir), "src3")
+    return oc.list_files_by_user(s.files(spark, sf_dir), "src3", limit=100)
 
 
 @query("""
@@ -51,7 +51,7 @@ SELECT * FROM v_files WHERE expires_at < TIMESTAMP '2024-01-01 12:00:00' AND del
 ORDER BY expires_at, file_id LIMIT 100""")
 def expired_files(spark, sf_dir):
     """F4."""
-    return oc.list_expired_files(s.files(spark, sf_dir), NOW)
+    return oc.list_expired_files(s.files(spark, sf_dir), NOW, limit=100)
 
 
 @query("""
@@ -68,14 +68,14 @@ def file_expiry(spark, sf_dir):
 @query("SELECT * FROM v_jobs WHERE user_id = 42 ORDER BY created_at DESC, job_id DESC LIMIT 100")
 def jobs_of_user(spark, sf_dir):
     """F5."""
-    return oc.jobs_by_user(s.jobs(spark, sf_dir), 42)
+    return oc.jobs_by_user(s.jobs(spark, sf_dir), 42, limit=100)
 
 
 @query("""
 SELECT * FROM v_batches WHERE status = 'processing' ORDER BY created_at DESC, batch_job_id DESC LIMIT 100""")
 def batches_in_status(spark, sf_dir):
     """F5."""
-    return oc.batches_by_status(s.batches(spark, sf_dir), "processing")
+    return oc.batches_by_status(s.batches(spark, sf_dir), "processing", limit=100)
 
 
 # Validation
@@ -264,10 +264,16 @@ def job_versions(spark, sf_dir):
     return _versions(spark, sf_dir)
 
 
-@query(f"SELECT root AS root_job_id, job_id, version_number - 1 AS depth FROM {_VERSIONS}")
+@query(f"""
+WITH RECURSIVE v AS (SELECT * FROM {_VERSIONS} WHERE NOT (version_number = 1 AND job_id % 5 = 0)),
+t AS (SELECT job_id AS root_job_id, job_id, 0::BIGINT AS depth FROM v
+    WHERE parent_job_id IS NULL OR parent_job_id NOT IN (SELECT job_id FROM v)
+  UNION ALL SELECT root_job_id, v.job_id, depth + 1 FROM t JOIN v ON v.parent_job_id = t.job_id)
+SELECT root_job_id, job_id, depth FROM t""")
 def job_lineage(spark, sf_dir):
-    """J9."""
-    return oc.job_lineage(_versions(spark, sf_dir))
+    """J9; every fifth first version is gone, so its successor is a root."""
+    versions = _versions(spark, sf_dir)
+    return oc.job_lineage(versions.where(~((F.col("version_number") == 1) & (F.col("job_id") % 5 == 0))))
 
 
 @query(f"""
@@ -284,7 +290,7 @@ def _cascade(spark, sf_dir):
     jobs, users = s.jobs(spark, sf_dir), s.users(spark, sf_dir)
     tables = {
         "users": users,
-        "files": s.files(spark, sf_dir).withColumn("user_id", F.lit(None).cast("bigint")),
+        "files": s.files(spark, sf_dir).withColumn("user_id", F.col("file_id") % 97 + 1),
         "batches": s.batches(spark, sf_dir).withColumn("user_id", F.col("batch_job_id")),
         "jobs": jobs,
         "pages": s.page_changes(spark, sf_dir).select("job_id", "page_num").distinct(),
@@ -293,21 +299,24 @@ def _cascade(spark, sf_dir):
     return oc.cascade_delete(tables, users.where(~F.col("is_active")))
 
 
-_LIVE = "SELECT job_id FROM v_jobs JOIN v_users USING (user_id) WHERE is_active"
+_GONE = """
+(SELECT job_id FROM v_jobs WHERE user_id IN (SELECT user_id FROM v_users WHERE NOT is_active)
+  OR file_id % 97 + 1 IN (SELECT user_id FROM v_users WHERE NOT is_active))"""
 
 
 @query(f"""
 SELECT 'users' AS entity, count(*) AS remaining FROM v_users WHERE is_active
 UNION ALL SELECT 'batches', count(*) FROM v_batches JOIN v_users ON user_id = batch_job_id WHERE is_active
-UNION ALL SELECT 'jobs', count(*) FROM ({_LIVE})
-UNION ALL SELECT 'pages', count(*) FROM v_pages WHERE job_id IN ({_LIVE})
-UNION ALL SELECT 'events', count(*) FROM v_log WHERE job_id IN ({_LIVE})""")
+UNION ALL SELECT 'files', count(*) FROM v_files WHERE file_id % 97 + 1 NOT IN (SELECT user_id FROM v_users WHERE NOT is_active)
+UNION ALL SELECT 'jobs', count(*) FROM v_jobs WHERE job_id NOT IN {_GONE}
+UNION ALL SELECT 'pages', count(*) FROM v_pages WHERE job_id NOT IN {_GONE}
+UNION ALL SELECT 'events', count(*) FROM v_log WHERE job_id IS NULL OR job_id NOT IN {_GONE}""")
 def cascade_remaining(spark, sf_dir):
-    """Rows left per table."""
+    """Rows left per table; events of jobs that never were stay."""
     left = _cascade(spark, sf_dir)
     counts = [
         left[t].agg(F.lit(t).alias("entity"), F.count(F.lit(1)).alias("remaining"))
-        for t in ("users", "batches", "jobs", "pages", "events")
+        for t in ("users", "files", "batches", "jobs", "pages", "events")
     ]
     out = counts[0]
     for c in counts[1:]:
@@ -315,7 +324,7 @@ def cascade_remaining(spark, sf_dir):
     return out
 
 
-@query(f"SELECT job_id, page_num FROM v_pages WHERE job_id IN ({_LIVE})")
+@query(f"SELECT job_id, page_num FROM v_pages WHERE job_id NOT IN {_GONE}")
 def cascade_pages(spark, sf_dir):
     """The pages left."""
     return _cascade(spark, sf_dir)["pages"]

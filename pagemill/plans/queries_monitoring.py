@@ -231,7 +231,7 @@ ORDER BY created_at, event_id LIMIT 100""")
 def events_of_job(spark, sf_dir):
     """O2."""
     events = s.log(spark, sf_dir).select("event_id", "job_id", "event_type", F.col("timestamp").alias("created_at"))
-    return om.job_events(events, 7)
+    return om.job_events(events, 7, limit=100)
 
 
 @query("""

@@ -47,7 +47,7 @@ def _load_batch_reader():
         out = []
         for row in rows:
             ok = len(row["text_in"]) >= 5
-            out.append({"text": row["text_in"][:3] if ok else "", "success": ok, "error": None if ok else "blank page"})
+            out.append({"text": row["text_in"] if ok else "", "success": ok, "error": None if ok else "blank page"})
         return out
 
     return read
@@ -55,7 +55,7 @@ def _load_batch_reader():
 
 @query("""
 SELECT job_id, page_num, (page_num - 1) // 8 AS batch_no, (page_num - 1) % 8 AS batch_index,
-  CASE WHEN length(text) < 5 THEN '' ELSE left(text, 3) END AS text, length(text) >= 5 AS success,
+  CASE WHEN length(text) < 5 THEN '' ELSE text END AS text, length(text) >= 5 AS success,
   CASE WHEN length(text) < 5 THEN 'blank page' END AS error,
   CAST(count(*) OVER b AS INTEGER) AS batch_size, bool_and(length(text) >= 5) OVER b AS batch_success
 FROM (SELECT job_id, CAST(page_num AS BIGINT) AS page_num, text FROM v_lines)
@@ -71,13 +71,13 @@ def _load_retrying_reader():
     def read(row, scale):
         if len(row["text_in"]) * scale > 200:
             raise RuntimeError("CUDA out of memory")
-        return row["text_in"][:10]
+        return row["text_in"]
 
     return os_.with_retry(read, SCALE_STEPS, os_.is_oom_error)
 
 
 @query("""
-SELECT job_id, page_num, CASE WHEN length(text) * 0.25 > 200 THEN '' ELSE left(text, 10) END AS text,
+SELECT job_id, page_num, CASE WHEN length(text) * 0.25 > 200 THEN '' ELSE text END AS text,
   CAST(CASE WHEN length(text) <= 200 THEN 1 WHEN length(text) * 0.75 <= 200 THEN 2 WHEN length(text) * 0.5 <= 200 THEN 3
     WHEN length(text) * 0.35 <= 200 THEN 4 ELSE 5 END AS INTEGER) AS attempts,
   CAST(CASE WHEN length(text) <= 200 THEN 1.0 WHEN length(text) * 0.75 <= 200 THEN 0.75 WHEN length(text) * 0.5 <= 200 THEN 0.5
@@ -93,18 +93,18 @@ def _load_fallback_reader():
     def first(row):
         if len(row["text_in"]) > 300:
             raise TimeoutError("too slow")
-        return row["text_in"][:4]
+        return "a " + row["text_in"]
 
     def second(row):
         if len(row["text_in"]) > 600:
             raise TimeoutError("too slow")
-        return row["text_in"][:2]
+        return "b " + row["text_in"]
 
     return os_.with_fallback([("qwen3-vl-8b", first), ("qwen3-vl-4b", second)], sleep=lambda s: None)
 
 
 @query("""
-SELECT job_id, page_num, CASE WHEN length(text) <= 300 THEN left(text, 4) WHEN length(text) <= 600 THEN left(text, 2) ELSE '' END AS text,
+SELECT job_id, page_num, CASE WHEN length(text) <= 300 THEN 'a ' || text WHEN length(text) <= 600 THEN 'b ' || text ELSE '' END AS text,
   CASE WHEN length(text) <= 300 THEN 'qwen3-vl-8b' WHEN length(text) <= 600 THEN 'qwen3-vl-4b' END AS model,
   CAST(CASE WHEN length(text) <= 300 THEN 1 ELSE 2 END AS INTEGER) AS attempts,
   CASE WHEN length(text) > 600 THEN 'too slow' END AS error FROM v_lines""")
@@ -115,12 +115,12 @@ def fallback_pages(spark, sf_dir):
 
 
 def _load_merger():
-    return lambda row: row["embedded_text"][:20] + "|" + row["ocr_text"][-20:]
+    return lambda row: row["embedded_text"] + "|" + row["ocr_text"]
 
 
 @query("""
-SELECT doc_id AS job_id, left(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 5 <> 0), chr(10)), 20)
-  || '|' || right('....................' || text || chr(10) || 'scanned copy ' || doc_id, 20) AS merge_text FROM documents""")
+SELECT doc_id AS job_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 5 <> 0), chr(10))
+  || '|' || text || chr(10) || 'scanned copy ' || doc_id AS merge_text FROM documents""")
 def model_merged_text(spark, sf_dir):
     """M3 with a supplied function."""
     pages = s.ocr_lines(spark, sf_dir)
@@ -136,35 +136,38 @@ def _is_clean(row):
     return (not bad, "markup" if bad else "")
 
 
+def _is_dated(row):
+    dated = "2024" in row["text"]
+    return (not dated, "date" if dated else "")
+
+
 def _load_refiner():
     return lambda row: f"fixed({row['issues']})"
 
 
 @query("""
-SELECT job_id, page_num, CASE WHEN ok1 AND ok2 THEN text ELSE 'fixed(' || issues || ')' END AS text, ok1 AND ok2 AS valid,
-  issues, NOT (ok1 AND ok2) AS refined
-FROM (SELECT *, CASE WHEN ok1 AND ok2 THEN '' WHEN NOT ok1 AND NOT ok2 THEN 'short | markup' WHEN ok2 THEN 'short'
-    ELSE 'markup' END AS issues
-  FROM (SELECT *, length(text) >= 20 AS ok1, NOT contains(text, '<') AS ok2 FROM v_lines))""")
+SELECT job_id, page_num, CASE WHEN valid THEN text ELSE 'fixed(' || issues || ')' END AS text, valid, issues, NOT valid AS refined
+FROM (SELECT *, ok1 AND ok2 AND ok3 AS valid, array_to_string(list_filter([CASE WHEN NOT ok1 THEN 'short' END,
+    CASE WHEN NOT ok2 THEN 'markup' END, CASE WHEN NOT ok3 THEN 'date' END], lambda x: x IS NOT NULL), ' | ') AS issues
+  FROM (SELECT *, length(text) >= 20 AS ok1, NOT contains(text, '<') AS ok2, NOT contains(text, '2024') AS ok3 FROM v_lines))""")
 def refined_pages(spark, sf_dir):
     """M6."""
     pages = s.document_pages(spark, sf_dir).select("job_id", "page_num", "text")
-    return os_.validate_and_refine(pages, [_is_long, _is_clean], _load_refiner)
+    return os_.validate_and_refine(pages, [_is_long, _is_clean, _is_dated], _load_refiner)
 
 
 def _load_context_reader():
     def read(row):
-        context = row["context"] or ""
-        return f"{len(context)}:{row['input_text'][:5]}"
+        return f"{row['context'] or ''}:{row['input_text']}"
 
     return read
 
 
 @query("""
-WITH f AS (SELECT job_id, page_num, '0:' || left(text, 5) AS scored FROM v_lines WHERE page_num <= 2),
-c AS (SELECT job_id, sum(length(scored)) + 2 * (count(*) - 1) AS n FROM f GROUP BY 1)
+WITH f AS (SELECT job_id, page_num, ':' || text AS scored FROM v_lines WHERE page_num <= 2),
+c AS (SELECT job_id, string_agg(scored, chr(10) || chr(10) ORDER BY page_num) AS context FROM f GROUP BY 1)
 SELECT job_id, page_num, scored AS text FROM f
-UNION ALL SELECT job_id, page_num, CAST(n AS BIGINT) || ':' || left(text, 5) FROM v_lines JOIN c USING (job_id) WHERE page_num > 2""")
+UNION ALL SELECT job_id, page_num, context || ':' || text FROM v_lines JOIN c USING (job_id) WHERE page_num > 2""")
 def calibrated_pages(spark, sf_dir):
     """M7, J11, U1."""
     pages = s.document_pages(spark, sf_dir).select("job_id", "page_num", "text")
@@ -187,20 +190,68 @@ def _load_page_reader():
     return lambda row: "scan of " + (row["embedded_text"] or "")
 
 
-@query("""
-SELECT job_id, CAST((page_num - 1) // 512 AS BIGINT) AS part, count(*) AS pages, string_agg('<!-- Page ' || page_num || ' | Method: '
+_DOCUMENTS = """
+SELECT job_id, CAST((page_num - 1) // 512 AS BIGINT) AS part, true AS is_complete, count(*) AS pages, string_agg('<!-- Page ' || page_num || ' | Method: '
   || CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 10 THEN 'OCR' ELSE 'HYBRID' END
   || ' | Time: 0.00s | Chars: ' || length(merged) || ' -->' || chr(10) || merged || chr(10) || chr(10), '' ORDER BY page_num) AS content
 FROM (SELECT *, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 10 THEN 'scan of ' || text
-  ELSE text || chr(10) || 'scan of ' || text END AS merged FROM v_lines WHERE page_num BETWEEN 1 AND 30) GROUP BY 1, 2""")
+  ELSE text || chr(10) || 'scan of ' || text END AS merged FROM v_lines) GROUP BY 1, 2"""
+
+
+@query(_DOCUMENTS)
 def extracted_documents(spark, sf_dir):
-    """The whole document job: range, route, stage 1, stage table, merge, assembly."""
+    """The whole document job: route, stage 1, stage table, merge, assembly."""
     pages = s.document_pages(spark, sf_dir).select("job_id", "page_num", F.col("text").alias("embedded_text"))
     cache = scratch_dir(spark, "ocr")
-    docs, _ = extract_documents(pages, _load_page_reader, cache, start=1, end=30, timed=False)
+    docs, _ = extract_documents(pages, _load_page_reader, cache, timed=False)
     return docs
 
 
+def _load_failing_reader(modulus):
+    """Fails on every page whose number the modulus divides; 0 never fails."""
+
+    def make():
+        def read(row):
+            if modulus and row["page_num"] % modulus == 0:
+                raise RuntimeError("out of memory")
+            return "scan of " + (row["embedded_text"] or "")
+
+        return read
+
+    return make
+
+
+@query(_DOCUMENTS)
+def resumed_documents(spark, sf_dir):
+    """A job with failures, resumed, and the resumed run repeated."""
+    pages = s.document_pages(spark, sf_dir).select("job_id", "page_num", F.col("text").alias("embedded_text"))
+    cache = scratch_dir(spark, "resume")
+    extract_documents(pages, _load_failing_reader(3), cache, timed=False)
+    extract_documents(pages, _load_failing_reader(0), cache, run=2, timed=False)
+    docs, _ = extract_documents(pages, _load_failing_reader(0), cache, run=2, timed=False)
+    return docs
+
+
+@query("""
+SELECT job_id, page_num, 9007199254740993 + page_num AS wide_id, CASE WHEN page_num % 2 = 0 THEN 9007199254740995 + job_id END AS maybe_id,
+  TIMESTAMP '2024-01-01' + to_seconds(page_num) AS seen_at, text || '|null' AS parts, '<' || text || '>' AS text FROM v_lines""")
+def passed_columns(spark, sf_dir):
+    """M1 with a scorer of lists: wide ids with nulls, times and arrays pass unchanged."""
+    num = F.col("page_num")
+    pages = s.document_pages(spark, sf_dir).select(
+        "job_id",
+        "page_num",
+        (F.lit(9007199254740993) + num).alias("wide_id"),
+        F.when(num % 2 == 0, F.lit(9007199254740995) + F.col("job_id")).alias("maybe_id"),
+        (moment(datetime(2024, 1, 1)) + F.make_dt_interval(secs=num.cast("decimal(18,6)"))).alias("seen_at"),
+        F.array(F.col("text"), F.lit(None)).alias("parts"),
+        F.col("text").alias("text_in"),
+    )
+    scored = os_.score_pages(pages, lambda: lambda rows: [f"<{r['text_in']}>" for r in rows], batched=True)
+    parts = F.array_join("parts", "|", "null").alias("parts")
+    return scored.select("job_id", "page_num", "wide_id", "maybe_id", "seen_at", parts, "text")
+
+
 @query("SELECT job_id, page_num, ocr_text, method, processing_time FROM v_pages WHERE ocr_text IS NOT NULL")
 def cached_stage_results(spark, sf_dir):
     """S3: two runs stored, the second repeated; the newest result of a page is read."""

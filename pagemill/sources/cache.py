@@ -22,9 +22,17 @@ def write_ocr_cache(df: DataFrame, path: str, run: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/run={int(run)}")
 
 
-def read_ocr_cache(spark: SparkSession, path: str, job_ids: Sequence | DataFrame | None = None) -> DataFrame:
-    """S3: newest result of each page; given jobs are pushed to the scan as a filter or semi join."""
+def read_ocr_cache(
+    spark: SparkSession, path: str, job_ids: Sequence | DataFrame | None = None, before_run: int | None = None
+) -> DataFrame:
+    """S3: newest result of each page; given jobs are pushed to the scan as a filter or semi join.
+
+    With ``before_run`` only earlier runs are read (a filter on folders), which is
+    what a run may build on: its own results are replaced when it is repeated.
+    """
     rows = spark.read.parquet(path)
+    if before_run is not None:
+        rows = rows.where(F.col("run") < before_run)
     if isinstance(job_ids, DataFrame):
         rows = rows.join(job_ids.select("job_id"), "job_id", "left_semi")
     elif job_ids is not None:

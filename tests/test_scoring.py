@@ -129,6 +129,55 @@ def test_document_job_resumes(spark, rows, tmp_path):
     assert "scan 4 0" in content and "scan 5 2" in content and content.count("<!-- Page") == 10
 
 
+def test_a_repeated_resumed_run_loses_nothing(rows, tmp_path):
+    pages = rows([(1, i, "line %d of the page" % i) for i in range(1, 11)], "job_id int, page_num int, embedded_text string")
+
+    def load(broken):
+        def make():
+            def score(row):
+                if row["page_num"] in broken:
+                    raise RuntimeError("oom")
+                return "scan"
+
+            return score
+
+        return make
+
+    cache = str(tmp_path / "cache")
+    docs, missing = extract_documents(pages, load({4, 5, 6}), cache)
+    assert missing.count() == 3 and not docs.first()["is_complete"]
+    for _ in range(2):
+        docs, missing = extract_documents(pages, load(set()), cache, run=2)
+        assert missing.isEmpty() and docs.first()["is_complete"]
+
+
+def test_all_validators_count(rows):
+    pages = rows([(1, 1, "abc"), (1, 2, "abd")], "job_id int, page_num int, text string")
+    checks = [lambda r: (True, ""), lambda r: (True, ""), lambda r: (r["text"] != "abd", "third")]
+    got = {r.page_num: (r.valid, r.issues, r.text) for r in scoring.validate_and_refine(pages, checks, lambda: lambda r: "new").collect()}
+    assert got[1][0] and got[2] == (False, "third", "new")
+
+
+def test_columns_pass_unchanged_and_lists_are_scored(rows):
+    ddl = "job_id bigint, page_num bigint, other bigint, seen timestamp, tags array<string>"
+    data = [(9007199254740993, 1, None, None, None), (9007199254740995, 2, 9007199254740997, None, ["a", None])]
+    pages = rows(data, ddl)
+
+    def load():
+        return lambda batch: [ValueError("bad") if r["page_num"] == 1 else f"p{r['page_num']}" for r in batch]
+
+    got = {r.page_num: r for r in scoring.score_pages(pages, load, batched=True).collect()}
+    assert [tuple(got[i])[:5] for i in (1, 2)] == [data[0], data[1]]
+    assert (got[1].success, got[1].error, got[2].text) == (False, "bad", "p2")
+    short = scoring.score_pages(pages.coalesce(1), lambda: lambda batch: ["only one"], batched=True).collect()
+    assert sorted(r.success for r in short) == [False, True]
+
+
+def test_a_ladder_is_not_cut():
+    with pytest.raises(ValueError):
+        scoring.with_retry(lambda row, scale: "", [1.0] * 6, scoring.is_oom_error, max_attempts=5)
+
+
 def test_batch_report(rows):
     jobs = rows(
         [(1, 1, "completed", 100.0, None, None), (2, 1, "processing", 50.0, None, None)],

@@ -96,7 +96,7 @@ def test_eviction_ranks_all_but_drops_terminal_only(rows):
     [
         ({"start": 2}, [1, 2, 3, 4]), ({"end": 2}, [1, 2, 3, 4]), ({"start": 9, "end": 12}, []),
         ({"start": 2, "end": 99}, [2, 3, 4]), ({"start": 2, "end": 2}, [2]), ({"start": -3, "end": 2}, [1, 2]),
-        ({"max_pages": 0}, [1, 2, 3, 4]), ({"max_pages": 3}, [1, 2, 3]), ({"start": 2, "max_pages": 3}, [1, 2, 3]),
+        ({"max_pages": 0}, []), ({"max_pages": 3}, [1, 2, 3]), ({"start": 2, "max_pages": 3}, [1, 2, 3]),
     ],
 )
 def test_page_range(rows, kwargs, want):
@@ -130,7 +130,13 @@ def test_lineage_of_a_long_chain(rows):
     got = catalog.job_lineage(chain)
     assert found(got, "job_id", "root_job_id", "depth") == [(i, 0, i) for i in range(20)] + [(100, 100, 0)]
     with pytest.raises(ValueError):
-        catalog.job_lineage(chain, max_depth=3)
+        catalog.job_lineage(rows([(1, 2), (2, 3), (3, 1), (4, None)], "job_id int, parent_job_id int")).count()
+
+
+def test_lineage_of_a_chain_of_thousands(rows):
+    chain = rows([(i, i - 1) for i in range(1, 2001)], "job_id int, parent_job_id int")
+    got = {r.job_id: (r.root_job_id, r.depth) for r in catalog.job_lineage(chain).collect()}
+    assert got == {i: (1, i - 1) for i in range(1, 2001)}  # job 0 is absent, so job 1 is the root
 
 
 def test_cascade(rows):
