@@ -591,16 +591,15 @@ def old_events(spark, sf_dir):
 SELECT file_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B'
   ELSE regexp_replace(printf('%.2f', round(size_bytes / 1024.0::DOUBLE, 2)), '\\.?0+$', '') || ' KB' END AS size_label,
   CASE WHEN length(filename) <= 10 THEN filename ELSE left(filename, 7) || '...' END AS short_name,
-  CASE WHEN size_bytes < 3600 THEN (size_bytes // 60) || 'm ' || (size_bytes % 60) || 's'
+  CASE WHEN size_bytes < 60 THEN size_bytes || '.0s' WHEN size_bytes < 3600 THEN (size_bytes // 60) || 'm ' || (size_bytes % 60) || 's'
     ELSE (size_bytes // 3600) || 'h ' || (size_bytes // 60 % 60) || 'm' END AS duration_label
-FROM v_files WHERE size_bytes >= 60""")
+FROM v_files""")
 def display_labels(spark, sf_dir):
     """X18."""
     size = F.col("size_bytes")
     kb = F.when(size >= 1024, F.round(size / 1024, 2) * 1024).otherwise(size)
     return (
         s.files(spark, sf_dir)
-        .where(size >= 60)
         .select(
             "file_id",
             ft.format_bytes(kb).alias("size_label"),

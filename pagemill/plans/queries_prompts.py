@@ -14,7 +14,7 @@ from pagemill.sources import standins as s
 
 _TEMPLATES = """
 (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'ocr' WHEN 'assistant' THEN 'merge' ELSE 'table' END AS prompt_type,
-  CASE WHEN turn % 2 = 0 THEN '{image} ' || left(text, 30) ELSE left(text, 10) || '{ocr_text}' END AS template,
+  CASE WHEN turn % 2 = 0 THEN '{image} ' || text ELSE text || '{ocr_text}' END AS template,
   CASE WHEN turn % 3 = 0 THEN 'qwen3-vl-8b' ELSE 'deepseek-ocr' END AS model FROM conversations)"""
 
 
@@ -26,8 +26,8 @@ def _templates(spark, sf_dir):
         "turn",
         "role",
         F.when(role == "user", "ocr").when(role == "assistant", "merge").otherwise("table").alias("prompt_type"),
-        F.when(turn % 2 == 0, F.concat(F.lit("{image} "), F.substring(text, 1, 30)))
-        .otherwise(F.concat(F.substring(text, 1, 10), F.lit("{ocr_text}")))
+        F.when(turn % 2 == 0, F.concat(F.lit("{image} "), text))
+        .otherwise(F.concat(text, F.lit("{ocr_text}")))
         .alias("template"),
         F.when(turn % 3 == 0, "qwen3-vl-8b").otherwise("deepseek-ocr").alias("model"),
     )
@@ -48,9 +48,10 @@ def missing_prompt_variables(spark, sf_dir):
 @query(f"""
 SELECT conv_id, turn, array_to_string(regexp_extract_all(template, '\\{{(\\w+)\\}}', 1), ',') AS found, m = '' AS valid,
   CASE WHEN m <> '' THEN 'Missing required variables: ' || m ELSE array_to_string(list_filter([
-    CASE WHEN length(template) < 20 THEN 'Prompt template is very short, may not be effective' END,
-    CASE WHEN starts_with(model, 'qwen') THEN 'Qwen models typically use <|im_start|> tags in prompts' END,
-    CASE WHEN starts_with(model, 'deepseek') THEN 'DeepSeek models require <image> tag for vision input' END],
+    CASE WHEN length(template) < 20 THEN 'Prompt template is very short, may not be effective'
+      WHEN length(template) > 2000 THEN 'Prompt template is very long, may cause token limits' END,
+    CASE WHEN starts_with(model, 'qwen') AND NOT contains(template, '<|im_start|>') THEN 'Qwen models typically use <|im_start|> tags in prompts' END,
+    CASE WHEN starts_with(model, 'deepseek') AND NOT contains(template, '<image>') THEN 'DeepSeek models require <image> tag for vision input' END],
     lambda x: x IS NOT NULL), ' / ') END AS warnings
 FROM (SELECT *, {_MISSING} AS m FROM {_TEMPLATES})""")
 def prompt_checks(spark, sf_dir):
@@ -123,14 +124,15 @@ def chat_commands(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, array_to_string(list_filter(['Parse the whole document', 'Parse page 5', 'Parse pages 1 to 10',
+SELECT conv_id, turn, typed, array_to_string(list_filter(['Parse the whole document', 'Parse page 5', 'Parse pages 1 to 10',
   'Parse the whole directory', 'Parse directory', 'Show as JSON', 'Show as markdown', 'Show as text', 'Check status',
-  'Get results'], lambda x: contains(lower(x), lower(left(text, 1)))), '|') AS suggestions
-FROM conversations WHERE role = 'user'""")
+  'Get results'], lambda x: contains(lower(x), lower(typed))), '|') AS suggestions
+FROM (SELECT conv_id, turn, unnest(list_distinct(string_split(text, ' '))) AS typed FROM conversations WHERE role = 'user')""")
 def command_suggestions(spark, sf_dir):
-    """X15 for the first letter typed."""
-    return s.chat(spark, sf_dir).select(
-        "conv_id", "turn", F.array_join(fc.suggestions(F.substring("text", 1, 1)), "|").alias("suggestions")
+    """X15 for every word typed."""
+    typed = F.explode(F.array_distinct(F.split("text", " "))).alias("typed")
+    return s.chat(spark, sf_dir).select("conv_id", "turn", typed).select(
+        "conv_id", "turn", "typed", F.array_join(fc.suggestions(F.col("typed")), "|").alias("suggestions")
     )
 
 
@@ -151,7 +153,7 @@ def merged_prompts(spark, sf_dir):
     return op.merge_prompts(defaults, custom)
 
 
-_INCOMING = "(SELECT 'prompt ' || conv_id AS name, text FROM conversations WHERE role <> 'user')"
+_INCOMING = "(SELECT 'prompt ' || conv_id AS name, text FROM conversations)"
 
 
 @query(f"""
@@ -159,7 +161,7 @@ SELECT name, text FROM v_prompts UNION ALL SELECT name, text FROM {_INCOMING}
 WHERE name NOT IN (SELECT name FROM v_prompts)""")
 def added_prompts(spark, sf_dir):
     """U3."""
-    incoming = s.table(spark, sf_dir, "conversations").where("role <> 'user'").select(
+    incoming = s.table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("prompt "), "conv_id").alias("name"), "text"
     )
     return op.add_new_prompts(s.prompt_library(spark, sf_dir), incoming)
@@ -170,7 +172,7 @@ SELECT name, text FROM v_prompts UNION ALL SELECT name, text FROM {_INCOMING}
 WHERE name NOT IN (SELECT name FROM v_prompts)""")
 def imported_prompts(spark, sf_dir):
     """Exported as JSON and imported again."""
-    incoming = s.table(spark, sf_dir, "conversations").where("role <> 'user'").select(
+    incoming = s.table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("prompt "), "conv_id").alias("name"), "text"
     )
     exported = op.export_prompts(incoming)
@@ -226,7 +228,7 @@ def flattened_messages(spark, sf_dir):
     )
 
 
-@query("SELECT conv_id, turn, 2::BIGINT AS chunks, text || role AS text FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, CASE WHEN text = '' THEN 1 ELSE 2 END::BIGINT AS chunks, text || role AS text FROM conversations")
 def sse_texts(spark, sf_dir):
     """One event stream per turn, with a blank line, bad JSON and an end mark."""
 
@@ -241,7 +243,6 @@ def sse_texts(spark, sf_dir):
     texts = F.filter(F.transform(fm.sse_chunks(lines), fm.chunk_text), lambda t: t.isNotNull())
     return (
         s.table(spark, sf_dir, "conversations")
-        .where("text <> ''")
         .select("conv_id", "turn", F.size(texts).cast("bigint").alias("chunks"), F.array_join(texts, "").alias("text"))
     )
 
