@@ -16,13 +16,6 @@ SHORT_WARNING = "Prompt template is very short, may not be effective"
 LONG_WARNING = "Prompt template is very long, may cause token limits"
 QWEN_WARNING = "Qwen models typically use <|im_start|> tags in prompts"
 DEEPSEEK_WARNING = "DeepSeek models require <image> tag for vision input"
-DEFAULT_MERGE_PROMPT = (
-    "Compare and merge these two text versions from the same document page:\n\n"
-    "Embedded Text (from PDF):\n{embedded_text}\n\n"
-    "OCR Text (from image):\n{ocr_text}\n\n"
-    "Provide the most accurate merged version by combining both sources, fixing any OCR errors,"
-    " and preserving layout. Return only the final text."
-)
 
 
 def template_variables(template: Column) -> Column:

@@ -20,6 +20,8 @@ from pyspark.sql.types import IntegralType
 
 PAGES_PER_BLOCK = 1024
 SECONDS_PER_BLOCK = 3600
+#: A block of times or ids is made finer until no key has more rows in one.
+ROWS_PER_BLOCK = 500_000
 
 
 def page_block(page_num: str | Column, size: int = PAGES_PER_BLOCK) -> Column:
@@ -34,16 +36,42 @@ def time_block(ts: str | Column, seconds: int = SECONDS_PER_BLOCK) -> Column:
     return F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
 
 
-def id_block(df: DataFrame, name: str, size: int = 4096) -> Column:
-    """Block number of an id column, growing with its sort order.
+def fitted_block(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column], limit: int = ROWS_PER_BLOCK) -> Column:
+    """The first of ``blocks``, given from coarse to fine, in which no key has more than ``limit`` rows, else the last.
 
-    Integers fall into ranges of ``size``; texts are cut by their first three
-    bytes, which spreads random ids such as UUIDs evenly.
+    So a block is bounded by its rows, not by the clock or by a prefix that all ids share. Each try is a count over
+    the keys and the block alone, combined before the shuffle; with ordinary data there is one.
+    """
+    for block in blocks[:-1]:
+        counts = df.groupBy(*keys, block.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+        if (counts.agg(F.max("__n")).first()[0] or 0) <= limit:
+            return block
+    return blocks[-1]
+
+
+def time_blocks(ts: str, tie: str | None = None) -> list[Column]:
+    """Blocks of a timestamp from hours to microseconds, then with ranges of an integer tie-break column."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    blocks = [time_block(ts, seconds) for seconds in (SECONDS_PER_BLOCK, 60, 1)] + [F.floor(at / 1000), at]
+    return [*blocks, F.struct(at, F.floor(F.col(tie) / 4096))] if tie else blocks
+
+
+def fitted_time_block(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str | None = None, seconds: int | None = None
+) -> Column:
+    """A block of ``seconds``, or one fitted to the rows."""
+    return time_block(ts, seconds) if seconds else fitted_block(df, keys, time_blocks(ts, tie))
+
+
+def id_block(df: DataFrame, name: str, keys: Sequence[str] = (), size: int = 4096, limit: int = ROWS_PER_BLOCK) -> Column:
+    """Block of an id column, growing with its sort order.
+
+    Integers fall into ranges of ``size``; texts are cut by a prefix, as long as it takes.
     """
     if isinstance(df.schema[name].dataType, IntegralType):
         return F.floor(F.col(name) / size)
-    head = F.substring(F.encode(F.col(name), "utf-8"), 1, 3)
-    return F.conv(F.rpad(F.hex(head), 6, "0"), 16, 10).cast("bigint")
+    prefixes = [F.substring(F.col(name), 1, n) for n in (3, 8, 16, 32, 64)]
+    return fitted_block(df, keys, [*prefixes, F.col(name)], limit)
 
 
 def _cols(names: Sequence[str]) -> list[Column]:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.times import moment
 from pagemill.functions import files as ff
-from pagemill.operators.blocked import id_block, previous, row_numbers, time_block
+from pagemill.functions.layout import IMAGE_MODES
+from pagemill.operators.blocked import fitted_block, id_block, previous, row_numbers, time_block, time_blocks
 from pagemill.session import ensure_checkpoint_dir
 
 
@@ -68,7 +69,7 @@ def image_errors(df: DataFrame, min_size: int = 32, max_size: int = 4096) -> Dat
     """adds ``error`` for images of a wrong size or mode; null when fine."""
     w, h, mode = F.col("width"), F.col("height"), F.col("mode")
     size = F.format_string("%dx%d", w, h)
-    modes = ("RGB", "RGBA", "L", "P")
+    modes = IMAGE_MODES
     error = (
         F.when(
             F.least(w, h) < min_size,
@@ -268,7 +269,7 @@ def ingest_directories(files: DataFrame, group: str, now: datetime) -> tuple[Dat
     numbered = row_numbers(
         good.select("directory_id", "file_id"),
         ["directory_id"],
-        id_block(good, "file_id"),
+        id_block(good, "file_id", ["directory_id"]),
         ["file_id"],
         "sequence_num",
     )
@@ -297,6 +298,6 @@ def numbered_versions(jobs: DataFrame) -> DataFrame:
     Adds ``version_number`` and ``parent_job_id``.
     """
     keys, order = ["user_id", "file_id"], ["created_at", "job_id"]
-    month = time_block("created_at", 30 * 86400)
+    month = fitted_block(jobs, keys, [time_block("created_at", 30 * 86400), *time_blocks("created_at")])
     numbered = row_numbers(jobs, keys, month, order, "version_number")
     return previous(numbered, keys, month, order, "job_id", "parent_job_id")

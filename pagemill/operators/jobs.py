@@ -206,7 +206,9 @@ def batch_results(jobs: DataFrame, list_size: int = 256) -> DataFrame:
     ended = jobs.where(F.col("status").isin("completed", "failed")).select(
         "parent_batch_id", "job_id", "filename", "status", "error_message"
     )
-    numbered = row_numbers(ended, ["parent_batch_id"], id_block(ended, "job_id"), ["job_id"], "__n")
+    numbered = row_numbers(
+        ended, ["parent_batch_id"], id_block(ended, "job_id", ["parent_batch_id"]), ["job_id"], "__n"
+    )
     entry = F.struct(
         "job_id",
         "filename",
@@ -277,7 +279,21 @@ def evict_old_batches(batches: DataFrame, keep: int) -> tuple[DataFrame, DataFra
     return batches.join(evicted.select("batch_job_id"), "batch_job_id", "left_anti"), evicted
 
 
-def choose_model(jobs: DataFrame, prefer_quality: Column | bool = True) -> DataFrame:
-    """M9: adds the merge-stage model."""
+# The model of each named strategy.
+STRATEGIES = {
+    "quality": "qwen3-vl-8b",
+    "intermediate": "qwen3-vl-4b",
+    "speed": "qwen3-vl-2b",
+    "balanced": "deepseek-ocr",
+    "ocr_specialized": "deepseek-ocr",
+}
+
+
+def choose_model(jobs: DataFrame, prefer_quality: Column | bool = True, strategy: Column | None = None) -> DataFrame:
+    """M9: adds the merge-stage model, that of the named strategy where there is one."""
     flag = F.lit(prefer_quality) if isinstance(prefer_quality, bool) else prefer_quality
-    return jobs.withColumn("merge_model", F.when(flag, "qwen3-vl-8b").otherwise("qwen3-vl-4b"))
+    chosen = F.when(flag, STRATEGIES["quality"]).otherwise(STRATEGIES["intermediate"])
+    if strategy is not None:
+        named = F.create_map(*[F.lit(x) for pair in STRATEGIES.items() for x in pair])
+        chosen = F.coalesce(F.try_element_at(named, strategy), chosen)
+    return jobs.withColumn("merge_model", chosen)

@@ -11,13 +11,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pagemill.functions.times import micros, moment
 from pagemill.functions import progress as fp
-from pagemill.operators.blocked import SECONDS_PER_BLOCK, previous, row_numbers, time_block
+from pagemill.operators.blocked import fitted_block, fitted_time_block, previous, row_numbers, time_blocks
 from pagemill.operators.mutations import latest_rows
 
 ORDER = ["timestamp", "event_id"]
+#: Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
 
 
 def with_event_time(log: DataFrame) -> DataFrame:
@@ -61,37 +64,40 @@ def latest_overall(log: DataFrame) -> DataFrame:
 def last_n(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """Newest ``n`` rows of each key, oldest first.
 
-    The rank filter becomes a window group limit: every task keeps at most
-    ``n`` rows per key before the shuffle, so a hot key stays small.
+    Up to ``GROUP_LIMIT`` the rank filter becomes a window group limit: every
+    task keeps at most ``n`` rows per key before the shuffle. Spark has no such
+    limit for more rows, so these are numbered in blocks, counted from the
+    newest end; the rows are the same either way.
     """
-    newest = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return (
-        df.withColumn("__rank", F.row_number().over(newest))
-        .where(F.col("__rank") <= n)
-        .drop("__rank")
-        .orderBy(key, *order)
-    )
+    newest = [F.desc(c) for c in order]
+    if n <= GROUP_LIMIT:
+        ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(key).orderBy(*newest)))
+    else:
+        whole = isinstance(df.schema[order[0]].dataType, IntegralType)
+        fine = [F.floor(F.col(order[0]) / 4096), F.col(order[0])] if whole else time_blocks(order[0])
+        blocks = [F.coalesce(-b, F.lit(1 << 62)) for b in fine]
+        ranked = row_numbers(df, [key], fitted_block(df, [key], blocks), newest, "__rank")
+    return ranked.where(F.col("__rank") <= n).drop("__rank").orderBy(key, *order)
 
 
 def metric_delta(
-    log: DataFrame, key: str, value: str = "memory_used_mb", seconds_per_block: int = SECONDS_PER_BLOCK
+    log: DataFrame, key: str, value: str = "memory_used_mb", seconds_per_block: int | None = None
 ) -> DataFrame:
     """Adds ``delta`` to the preceding sample of the key; null on the first."""
-    rows = previous(log, [key], time_block("timestamp", seconds_per_block), ORDER, value, "__before")
+    rows = previous(log, [key], fitted_time_block(log, [key], *ORDER, seconds_per_block), ORDER, value, "__before")
     return rows.withColumn("delta", F.col(value) - F.col("__before")).drop("__before")
 
 
-def with_seq(events: DataFrame, seconds_per_block: int = SECONDS_PER_BLOCK) -> DataFrame:
+def with_seq(events: DataFrame, seconds_per_block: int | None = None) -> DataFrame:
     """seq = 1, 2, 3, ... of the updates of each (job, page) in event order."""
     keys = ["job_id", "page_number"]
-    return row_numbers(events, keys, time_block("timestamp", seconds_per_block), ORDER, "seq")
+    return row_numbers(events, keys, fitted_time_block(events, keys, *ORDER, seconds_per_block), ORDER, "seq")
 
 
-def progress_violations(events: DataFrame, seconds_per_block: int = SECONDS_PER_BLOCK) -> DataFrame:
+def progress_violations(events: DataFrame, seconds_per_block: int | None = None) -> DataFrame:
     """Rows whose percent is below that of the preceding row of the job."""
-    rows = previous(
-        events, ["job_id"], time_block("timestamp", seconds_per_block), ORDER, "progress_pct", "previous_pct"
-    )
+    block = fitted_time_block(events, ["job_id"], *ORDER, seconds_per_block)
+    rows = previous(events, ["job_id"], block, ORDER, "progress_pct", "previous_pct")
     return rows.where(F.col("progress_pct") < F.col("previous_pct"))
 
 
@@ -106,7 +112,7 @@ def metric_value(metric: str) -> Column:
     }[metric]
 
 
-def timeline(log: DataFrame, metric: str, keys: tuple[str, ...] = (), seconds_per_block: int = SECONDS_PER_BLOCK) -> DataFrame:
+def timeline(log: DataFrame, metric: str, keys: tuple[str, ...] = (), seconds_per_block: int | None = None) -> DataFrame:
     """(index, timestamp, value) points of one metric with its alert thresholds.
 
     The index counts all samples in order from 0; points without a value are
@@ -115,7 +121,7 @@ def timeline(log: DataFrame, metric: str, keys: tuple[str, ...] = (), seconds_pe
     warn, error = (
         (fp.WARN_CELSIUS, fp.ERROR_CELSIUS) if metric == "gpu_temp" else (fp.WARN_PERCENT, fp.ERROR_PERCENT)
     )
-    rows = row_numbers(log, list(keys), time_block("timestamp", seconds_per_block), ORDER, "__n")
+    rows = row_numbers(log, list(keys), fitted_time_block(log, list(keys), *ORDER, seconds_per_block), ORDER, "__n")
     return rows.select(
         *keys,
         (F.col("__n") - 1).alias("index"),
@@ -154,10 +160,12 @@ def job_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def stage_transitions(log: DataFrame, seconds_per_block: int = SECONDS_PER_BLOCK) -> DataFrame:
+def stage_transitions(log: DataFrame, seconds_per_block: int | None = None) -> DataFrame:
     """The stage transitions of each job numbered in event order."""
     rows = log.where(F.col("event_type") == "stage_transition")
-    numbered = row_numbers(rows, ["job_id"], time_block("timestamp", seconds_per_block), ORDER, "transition_no")
+    numbered = row_numbers(
+        rows, ["job_id"], fitted_time_block(rows, ["job_id"], *ORDER, seconds_per_block), ORDER, "transition_no"
+    )
     return numbered.select("job_id", "transition_no", "timestamp", "from_stage", "to_stage")
 
 

@@ -52,13 +52,6 @@ PROMPTS = {
     },
 }
 FALLBACK_PROMPTS = {"deepseek": "<image>\nFree OCR. ", "qwen": "Extract all text from this image."}
-STRATEGIES = {
-    "quality": "qwen3-vl-8b",
-    "intermediate": "qwen3-vl-4b",
-    "speed": "qwen3-vl-2b",
-    "balanced": "deepseek-ocr",
-    "ocr_specialized": "deepseek-ocr",
-}
 
 
 def model_catalog(spark: SparkSession) -> DataFrame:
@@ -75,14 +68,14 @@ def resolve_prompts(jobs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds ``prompt``: the job's own, else the catalog's, else the family default.
 
     ``jobs`` has model, prompt_type and custom_prompt. The catalog is a fixed
-    list of a few rows, hence the broadcast.
+    list of a few rows, which Spark broadcasts by itself.
     """
     known = catalog.select("model", "prompt_type", "template")
     family = F.when(F.lower("model").contains("deepseek"), FALLBACK_PROMPTS["deepseek"]).otherwise(
         FALLBACK_PROMPTS["qwen"]
     )
     return (
-        jobs.join(F.broadcast(known), ["model", "prompt_type"], "left")
+        jobs.join(known, ["model", "prompt_type"], "left")
         .withColumn("prompt", F.coalesce("custom_prompt", "template", family))
         .drop("template")
     )

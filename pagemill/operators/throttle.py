@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.times import micros
-from pagemill.operators.blocked import page_block, row_numbers, time_block
+from pagemill.operators.blocked import fitted_block, page_block, row_numbers, time_block, time_blocks
 
 ROWS_PER_BLOCK = 8192
 
@@ -239,9 +239,8 @@ def throttle_snapshots(
     snapshots have one part.
     """
     keys, order = ["job_id", "page_num"], ["created_at", "chunk_sequence"]
-    marked = throttle_marks(
-        chunks, keys, time_block("created_at", 60), order, "created_at", tokens, ms, force="is_final", **blocks
-    )
+    block = fitted_block(chunks, keys, [time_block("created_at", 60), *time_blocks("created_at")[2:]])
+    marked = throttle_marks(chunks, keys, block, order, "created_at", tokens, ms, force="is_final", **blocks)
     segments = marked.withColumn("snapshot_no", F.col("__marks") - F.col("mark").cast("int") + 1)
     parts = F.array_sort(F.collect_list(F.struct("__n", "chunk_text")))
     deltas = (

@@ -518,6 +518,16 @@ def chosen_models(spark, sf_dir):
     return oj.choose_model(s.jobs(spark, sf_dir), F.col("model") == "qwen3-vl-8b").select("job_id", "merge_model")
 
 
+@query("""
+SELECT job_id, CASE job_id % 7 WHEN 0 THEN 'qwen3-vl-8b' WHEN 1 THEN 'qwen3-vl-4b' WHEN 2 THEN 'qwen3-vl-2b' WHEN 3 THEN 'deepseek-ocr'
+  WHEN 4 THEN 'deepseek-ocr' ELSE CASE WHEN model = 'qwen3-vl-8b' THEN 'qwen3-vl-8b' ELSE 'qwen3-vl-4b' END END AS merge_model FROM v_jobs""")
+def strategy_models(spark, sf_dir):
+    """M9 by named strategy; unknown names and none fall back on the preference."""
+    names = [*oj.STRATEGIES, "no such strategy"]
+    strategy = F.get(F.array(*[F.lit(n) for n in names]), (F.col("job_id") % 7).cast("int"))
+    return oj.choose_model(s.jobs(spark, sf_dir), F.col("model") == "qwen3-vl-8b", strategy).select("job_id", "merge_model")
+
+
 # Mutations
 
 

@@ -390,10 +390,12 @@ def dpi_ladders(spark, sf_dir):
 
 
 @query("""
-SELECT job_id, page_num, CASE WHEN page_num IS NULL THEN 'page_num missing' END AS reject FROM v_changes""")
+SELECT job_id, page_num, CASE WHEN page_num IS NULL THEN 'page_num missing' END AS reject
+FROM (SELECT job_id, nullif(page_num, 7) AS page_num FROM v_changes)""")
 def page_result_validity(spark, sf_dir):
-    """F17."""
-    ok, rejects = om.split_valid_page_results(s.page_changes(spark, sf_dir).select("job_id", "page_num"))
+    """F17; results of page 7 have lost their number."""
+    number = F.expr("nullif(page_num, 7)").alias("page_num")
+    ok, rejects = om.split_valid_page_results(s.page_changes(spark, sf_dir).select("job_id", number))
     none = F.lit(None).cast("string")
     return ok.withColumn("reject", none).unionByName(rejects.withColumn("reject", F.lit("page_num missing")))
 
@@ -436,6 +438,22 @@ def blocks_in_reading_order(spark, sf_dir):
     )
 
 
+@query("""
+SELECT doc_id, CAST(n AS INTEGER) AS text_tokens, t AS vision_tokens,
+  (q + CASE WHEN 2 * r > t OR 2 * r = t AND q %% 2 = 1 THEN 1 ELSE 0 END) / 100.0::DOUBLE AS ratio
+FROM (SELECT *, 100 * n // t AS q, 100 * n %% t AS r FROM (SELECT doc_id, greatest(1, length(text) // 4) AS n, CASE lang WHEN 'en' THEN %d WHEN 'fr' THEN %d ELSE %d END AS t FROM documents))""" % (
+    ft.VISION_TOKENS["tiny"], ft.VISION_TOKENS["large"], ft.DEFAULT_VISION_TOKENS))
+def compression_ratios(spark, sf_dir):
+    """X3 over whole texts, with a mode for each language."""
+    mode = F.when(F.col("lang") == "en", "tiny").when(F.col("lang") == "fr", "large").otherwise(F.lit("no such mode"))
+    return s.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        ft.estimated_text_tokens(F.col("text")).alias("text_tokens"),
+        ft.vision_tokens(mode).alias("vision_tokens"),
+        ft.compression_ratio(F.col("text"), mode).alias("ratio"),
+    )
+
+
 @query("SELECT source AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1")
 def registered_files(spark, sf_dir):
     """Texts written as files by Spark, then registered; sizes summed per folder."""

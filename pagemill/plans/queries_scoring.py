@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pagemill.functions.layout import SCALE_STEPS
+from pagemill.functions.layout import RESOLUTION_STEPS, SCALE_STEPS
 from pagemill.functions.times import moment
 from pagemill.operators import documents as od
 from pagemill.operators import scoring as os_
@@ -89,6 +89,28 @@ def retried_pages(spark, sf_dir):
     return df.select("job_id", "page_num", "text", "attempts", "scale", "error")
 
 
+def _load_merging_reader():
+    """The merge stage at falling image sizes; texts too long for a size need the next."""
+
+    def merge(row, pixels):
+        if len(row["text_in"]) * pixels > 200_000:
+            raise RuntimeError("CUDA out of memory")
+        return row["text_in"]
+
+    return os_.with_retry(merge, RESOLUTION_STEPS, os_.is_oom_error)
+
+
+@query("""
+SELECT job_id, page_num, CASE WHEN n * 512 > 200000 THEN '' ELSE text END AS text,
+  CAST(CASE WHEN n * 1024 <= 200000 THEN 1 WHEN n * 768 <= 200000 THEN 2 ELSE 3 END AS INTEGER) AS attempts,
+  CASE WHEN n * 1024 <= 200000 THEN 1024.0::DOUBLE WHEN n * 768 <= 200000 THEN 768.0::DOUBLE ELSE 512.0::DOUBLE END AS pixels
+FROM (SELECT *, length(text) AS n FROM v_lines)""")
+def resized_pages(spark, sf_dir):
+    """M4, X8 with the ladder of resolutions."""
+    df = os_.score_pages(_pages(spark, sf_dir), _load_merging_reader, "merge")
+    return df.select("job_id", "page_num", "text", "attempts", F.col("scale").alias("pixels"))
+
+
 def _load_fallback_reader():
     def first(row):
         if len(row["text_in"]) > 300:

@@ -79,3 +79,28 @@ def test_text_ids_keep_their_order_over_blocks(rows):
     numbers = rows([(1, i) for i in range(0, 20000, 999)], "k int, file_id bigint")
     got = blocked.row_numbers(numbers, ["k"], blocked.id_block(numbers, "file_id"), ["file_id"]).collect()
     assert all(r.file_id == (r.seq - 1) * 999 for r in got)
+
+
+def test_blocks_are_as_fine_as_their_rows_ask(rows):
+    ids = [f"job_{i:06d}" for i in range(300)]
+    df = rows([(1, i) for i in ids], "k int, file_id string")
+    block = blocked.id_block(df, "file_id", ["k"], limit=50)
+    assert df.groupBy(block.alias("b")).count().agg({"count": "max"}).first()[0] <= 50
+    got = blocked.row_numbers(df, ["k"], block, ["file_id"]).collect()
+    assert [r.file_id for r in sorted(got, key=lambda r: r.seq)] == ids
+
+
+def test_one_busy_instant_is_split_by_the_tie_break(spark):
+    df = spark.range(20_000).selectExpr("1 AS k", "timestamp'2024-01-01 00:00:30' AS timestamp", "id AS event_id")
+    block = blocked.fitted_block(df, ["k"], blocked.time_blocks("timestamp", "event_id"), limit=5000)
+    assert df.groupBy(block.alias("b")).count().agg({"count": "max"}).first()[0] <= 5000
+    got = blocked.row_numbers(df, ["k"], block, ["timestamp", "event_id"])
+    assert got.where("seq <> event_id + 1").count() == 0
+
+
+def test_last_n_beyond_the_group_limit(spark):
+    log = spark.range(8000).selectExpr("id % 2 AS job_id", "id AS event_id", "timestamp_millis(id * 40000) AS timestamp")
+    got = monitoring.last_n(log, "job_id", ["timestamp", "event_id"], 3000).collect()
+    assert [r.event_id for r in got] == [*range(2000, 8000, 2), *range(2001, 8000, 2)]
+    by_id = monitoring.last_n(log, "job_id", ["event_id"], 3000).collect()
+    assert [r.event_id for r in by_id] == [r.event_id for r in got]
