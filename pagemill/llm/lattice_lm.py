@@ -8,10 +8,10 @@ training has one more arc, over the whole word, with its relative frequency; Wit
 unseen words are weighed by their pieces alone. The base model smooths word counts by one.
 
 How it runs. A table of all words does not fit anywhere, so words meet their counts by shuffles, but not one row per word
-and document: a task packs some thousand documents into one row per bucket of words, holding the distinct words of the
-bucket once and, as arrays, which document has them how often. The packed rows are written to the shared folder. They are then
-grouped by bucket to count words over all documents; piece expectations are summed from these counts; each word's
-probability is computed once, in its bucket, and sums per document go back, grouped by the pack they came from. Buckets are hashed, and a word is in a pack once, so
+and document: a task packs some thousand documents, whose distinct words are stored once, in buckets by hash, and whose contents become arrays of
+positions in these words. Only the words of the packs travel: grouped by bucket they are counted over all documents; piece expectations are summed from these
+counts; each word's probability is computed once, in its bucket, and counts and probabilities go back to the packs, in the order in which the pack
+holds its words. What is moved depends on the distinct words of the packs, not on the number of buckets. Buckets are hashed, and a word is in a pack once, so
 frequent words are no hot keys. The driver gets sums per piece, whose number is that of the vocabulary.
 
 Words are runs of characters other than white space, A to Z lower-cased; every text ends with one end token.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,33 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import partitions, stored
 from pagemill.llm.lattice import MARK, Lattice
 
-PACK_DOCS, PACK_BYTES = 2000, 12_000_000
+PACK_DOCS, PACK_BYTES = 8000, 32_000_000
 ROUNDS = 2
 SMOOTHING = 0.1
 
-_PACKED = "pack bigint, bucket int, words binary, train binary, uses binary, docs binary, counts binary"
-_FIELDS = [x.split()[0] for x in _PACKED.split(", ")]
-_SUMS = ["pack", "docs", "base", "known", "model", "pure"]
+_PACKED = {
+    "pack": pa.int64(),
+    "bucket": pa.int32(),
+    "words": pa.binary(),
+    "train": pa.binary(),
+    "ends": pa.int64(),
+    "ids": pa.binary(),
+    "held": pa.binary(),
+    "tokens": pa.binary(),
+    "cuts": pa.binary(),
+    "lengths": pa.binary(),
+    "index": pa.binary(),
+    "counts": pa.binary(),
+}
+_PACKED_DDL = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for n, t in _PACKED.items())
+
+
+def _shut(data: np.ndarray | bytes) -> bytes:
+    return zstd.compress(data if isinstance(data, bytes) else data.tobytes())
+
+
+def _open(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstd.decompress(data), dtype=kind)
 
 
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
@@ -80,47 +101,52 @@ def _text_words(words: list[bytes]) -> list[str]:
 
 
 def _pack(buckets: int):
-    """Rows (id, held, text) to one row per pack and bucket, and one of bucket -1 for the documents themselves."""
+    """Rows (id, held, text) to one row per pack and bucket with its words, and one of bucket -1 with the documents."""
 
     def one(number: int, ids: list, held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
-        add = known.setdefault
-        docs, words, counts, tokens = [], [], [], []
-        for k, raw in enumerate(texts):
+        words, counts, tokens, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], []
+        for raw in texts:
             own = raw.lower().split()
+            for x in own:
+                if x not in known:
+                    known[x] = len(known)
+            w, c = np.unique(np.array([known[x] for x in own], dtype=np.int32), return_counts=True)
+            words.append(w)
+            counts.append(c)
             tokens.append(len(own) + 1)
-            if own:
-                w, c = np.unique(np.array([add(x, len(known)) for x in own], dtype=np.int32), return_counts=True)
-                words.append(w)
-                counts.append(c)
-                docs.append(np.full(len(w), k, dtype=np.int32))
-        rows = [(number, -1, b"", np.array(held, dtype=np.int8).tobytes(), b"", _ids(ids), np.array(tokens, np.int64).tobytes())]
-        if known:
-            word, doc, count = np.concatenate(words), np.concatenate(docs), np.concatenate(counts)
-            names = list(known)
-            bucket = np.array([zlib.crc32(x) % buckets for x in names], dtype=np.int32)
-            train = np.bincount(word, count * ~np.array(held, dtype=bool)[doc], minlength=len(names)).astype(np.int64)
-            by_bucket = np.lexsort((doc, word, bucket[word]))
-            word, doc, count = word[by_bucket], doc[by_bucket], count[by_bucket]
-            cuts = np.searchsorted(bucket[word], np.arange(buckets + 1))
-            for b in range(buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo == hi:
-                    continue
-                own, uses = np.unique(word[lo:hi], return_counts=True)
-                rows.append(
-                    (
-                        number,
-                        b,
-                        b" ".join([names[x] for x in own]),
-                        train[own].astype(np.int32).tobytes(),
-                        uses.astype(np.int32).tobytes(),
-                        doc[lo:hi].astype(np.uint16).tobytes(),
-                        count[lo:hi].astype(np.int32).tobytes(),
-                    )
-                )
-        types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_FIELDS)
+            lengths.append(len(w))
+        word, count = np.concatenate(words), np.concatenate(counts)
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        names = list(known)
+        bucket = np.array([zlib.crc32(x) % buckets for x in names], dtype=np.int32)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        word = place[word].astype(np.int64)
+        learned = np.bincount(word, count * ~np.array(held, dtype=bool)[doc], minlength=len(names)).astype(np.int64)
+        by_doc = np.lexsort((word, doc))
+        index = np.diff(word[by_doc], prepend=0)
+        rows = [
+            {
+                "pack": number,
+                "bucket": -1,
+                "ends": held.count(False),
+                "ids": _ids(ids),
+                "held": _shut(np.array(held, dtype=np.int8)),
+                "tokens": _shut(np.array(tokens, dtype=np.int64)),
+                "cuts": _shut(cuts.astype(np.int64)),
+                "lengths": _shut(np.array(lengths, dtype=np.int32)),
+                "index": _shut(index.astype(np.int32)),
+                "counts": _shut(count[by_doc].astype(np.int32)),
+            }
+        ]
+        for b in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[b], cuts[b + 1])
+            joined = b" ".join([names[x] for x in order[at]])
+            rows.append({"pack": number, "bucket": int(b), "words": _shut(joined), "train": _shut(learned[at])})
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(_PACKED.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -151,18 +177,30 @@ def _ids(ids: list) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+_COUNTED_DDL = "bucket int, words binary, train binary, packs binary, sizes binary, index binary, n bigint, types bigint"
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: its distinct words and their training counts."""
-    total: dict[bytes, int] = {}
+    """One bucket: its distinct words, their training counts, and for each pack where its words are among them."""
+    known: dict[bytes, int] = {}
+    places, learned = [], []
     for words, train in zip(table.column("words").to_pylist(), table.column("train").to_pylist()):
-        for w, c in zip(words.split(b" "), np.frombuffer(train, dtype=np.int32).tolist()):
-            total[w] = total.get(w, 0) + c
-    counts = np.fromiter(total.values(), dtype=np.int64, count=len(total))
+        own = zstd.decompress(words).split(b" ")
+        for w in own:
+            if w not in known:
+                known[w] = len(known)
+        places.append(np.array([known[w] for w in own], dtype=np.int64))
+        learned.append(_open(train, np.int64))
+    index = np.concatenate(places)
+    counts = np.bincount(index, np.concatenate(learned), minlength=len(known)).astype(np.int64)
     return pa.table(
         {
             "bucket": table.column("bucket").slice(0, 1).cast(pa.int32()),
-            "words": pa.array([b" ".join(total)], pa.binary()),
-            "train": pa.array([counts.tobytes()], pa.binary()),
+            "words": pa.array([_shut(b" ".join(known))], pa.binary()),
+            "train": pa.array([_shut(counts)], pa.binary()),
+            "packs": pa.array([_shut(table.column("pack").to_numpy())], pa.binary()),
+            "sizes": pa.array([_shut(np.array([len(p) for p in places], dtype=np.int64))], pa.binary()),
+            "index": pa.array([_shut(index.astype(np.int32))], pa.binary()),
             "n": pa.array([int(counts.sum())], pa.int64()),
             "types": pa.array([int((counts > 0).sum())], pa.int64()),
         }
@@ -174,10 +212,10 @@ def _expect(lattice: Lattice):
         uses, in_bytes = np.zeros(len(lattice.pieces)), 0.0
         for b in batches:
             for words, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts = np.frombuffer(train, dtype=np.int64)
-                seen = counts > 0
-                names = words.split(b" ")
-                own, spelled = lattice.expected(_text_words([names[k] for k in np.flatnonzero(seen)]), counts[seen].astype(float))
+                counts = _open(train, np.int64)
+                names = zstd.decompress(words).split(b" ")
+                seen = np.flatnonzero(counts)
+                own, spelled = lattice.expected(_text_words([names[k] for k in seen]), counts[seen].astype(float))
                 uses += own
                 in_bytes += spelled
         hit = np.flatnonzero(uses)
@@ -194,60 +232,61 @@ def _with_words(log_lattice: np.ndarray, counts: np.ndarray, n: int, types: int)
     return np.log10((counts + types * np.exp(log_lattice)) / (n + types))
 
 
-def _score(lattice: Lattice, n: int, types: int):
-    """One bucket: per pack the sums of its documents, as arrays."""
-
-    def run(packs: pa.Table, words: pa.Table) -> pa.Table:
-        names = words.column("words")[0].as_py().split(b" ")
-        counts = np.frombuffer(words.column("train")[0].as_py(), dtype=np.int64)
-        place = {w: k for k, w in enumerate(names)}
-        plus_one, known = np.log10(counts + 1.0), counts > 0
-        pure = lattice.log_marginals(_text_words(names))
-        model = _with_words(pure, counts, n, types)
-        pure = pure / math.log(10)
-        out = []
-        for row in packs.select(["pack", "words", "uses", "docs", "counts"]).to_pylist():
-            own = np.array([place[w] for w in row["words"].split(b" ")], dtype=np.int64)
-            word = np.repeat(own, np.frombuffer(row["uses"], dtype=np.int32))
-            doc = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int64)
-            times = np.frombuffer(row["counts"], dtype=np.int32).astype(float)
-            hit, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, times * v[word], minlength=len(hit)) for v in (plus_one, known, model, pure)]
-            out.append((row["pack"], hit.astype(np.uint16).tobytes(), *(s.tobytes() for s in sums)))
-        columns = list(zip(*out)) or [[] for _ in _SUMS]
-        kinds = [pa.int64(), *[pa.binary()] * (len(_SUMS) - 1)]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=_SUMS)
+def _score(lattice: Lattice):
+    """Each bucket: counts and lattice probabilities of its words, for every pack in the pack's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                counts = _open(row["train"], np.int64)
+                pure = lattice.log_marginals(_text_words(zstd.decompress(row["words"]).split(b" "))).astype(np.float32)
+                index, packs = _open(row["index"], np.int32), _open(row["packs"], np.int64)
+                parts = np.split(index, np.cumsum(_open(row["sizes"], np.int64))[:-1])
+                values = [(_shut(counts[p]), _shut(pure[p])) for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(packs),
+                        pa.array([row["bucket"]] * len(packs), pa.int32()),
+                        pa.array([v[0] for v in values], pa.binary()),
+                        pa.array([v[1] for v in values], pa.binary()),
+                    ],
+                    names=["pack", "bucket", "seen", "pure"],
+                )
 
     return run
 
 
 def _gather(n: int, types: int, end_count: int, end_score: float):
-    """One pack: the documents' rows from their sums over the buckets."""
+    """One pack: the scores of its documents from the values of its words."""
     unit = math.log10(n + types + 1.0)
 
-    def run(packs: pa.Table, sums: pa.Table) -> pa.Table:
+    def run(packs: pa.Table, values: pa.Table) -> pa.Table:
         own = packs.to_pylist()[0]
-        ids = pa.ipc.open_stream(own["docs"]).read_all().column("id").combine_chunks()
-        tokens = np.frombuffer(own["counts"], dtype=np.int64)
-        held = np.frombuffer(own["train"], dtype=np.int8) > 0
-        base = np.full(len(tokens), math.log10(end_count + 1.0))
-        known = np.full(len(tokens), float(end_count > 0))
-        model = np.full(len(tokens), _with_words(np.array([end_score]), np.array([end_count]), n, types)[0])
-        pure = np.full(len(tokens), end_score / math.log(10))
-        for row in sums.sort_by("docs").to_pylist() if sums.num_rows else []:
-            at = np.frombuffer(row["docs"], dtype=np.uint16)
-            for total, name in ((base, "base"), (known, "known"), (model, "model"), (pure, "pure")):
-                total[at] += np.frombuffer(row[name])
+        ids = pa.ipc.open_stream(own["ids"]).read_all().column("id").combine_chunks()
+        tokens, held = _open(own["tokens"], np.int64), _open(own["held"], np.int8) > 0
+        cuts, lengths = _open(own["cuts"], np.int64), _open(own["lengths"], np.int32)
+        seen, pure = np.zeros(cuts[-1], dtype=np.int64), np.zeros(cuts[-1])
+        for row in values.to_pylist():
+            at = slice(cuts[row["bucket"]], cuts[row["bucket"] + 1])
+            seen[at], pure[at] = _open(row["seen"], np.int64), _open(row["pure"], np.float32)
+        word, times = np.cumsum(_open(own["index"], np.int32), dtype=np.int64), _open(own["counts"], np.int32)
+        doc = np.repeat(np.arange(len(tokens)), lengths)
+
+        def total(of_word: np.ndarray, of_end: float) -> np.ndarray:
+            return np.bincount(doc, times * of_word[word], minlength=len(tokens)) + of_end
+
+        ends = np.array([end_count]), np.array([end_score])
+        base = total(np.log10(seen + 1.0), math.log10(end_count + 1.0)) - tokens * unit
         return pa.table(
             {
                 "id": ids,
                 "held_out": pa.array(held),
                 "n_tokens": pa.array(tokens),
-                "n_known": pa.array(np.rint(known).astype(np.int64)),
+                "n_known": pa.array(np.rint(total(seen > 0, float(end_count > 0))).astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(tokens), n, dtype=np.int64)),
-                "base_score": pa.array(base - tokens * unit),
-                "score": pa.array(model),
-                "lattice_score": pa.array(pure),
+                "base_score": pa.array(base),
+                "score": pa.array(total(_with_words(pure, seen, n, types), _with_words(ends[1], ends[0], n, types)[0])),
+                "lattice_score": pa.array(total(pure / math.log(10), end_score / math.log(10))),
             }
         )
 
@@ -263,16 +302,11 @@ def score_documents(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("t")
     )
-    packed = stored(rows.mapInArrow(_pack(buckets), _PACKED), "packed")
-    own, parts = packed.where("bucket < 0"), packed.where("bucket >= 0")
-    words = stored(
-        parts.select("bucket", "words", "train")
-        .groupBy("bucket")
-        .applyInArrow(_count, "bucket int, words binary, train binary, n bigint, types bigint"),
-        "words",
-    )
-    held_flags = own.select(F.length("train").alias("n"), F.length(F.regexp_replace(F.hex("train"), "0", "")).alias("held"))
-    ends = held_flags.agg(F.sum(F.col("n") - F.col("held"))).first()[0] or 0
+    packed = stored(rows.mapInArrow(_pack(buckets), _PACKED_DDL), "packed")
+    own = packed.where("bucket < 0").drop("bucket", "words", "train", "ends")
+    parts = packed.where("bucket >= 0").select("pack", "bucket", "words", "train")
+    words = stored(parts.groupBy("bucket").applyInArrow(_count, _COUNTED_DDL), "words")
+    ends = packed.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     n, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n, types = int(n + ends), int(types + (ends > 0))
 
@@ -293,11 +327,9 @@ def score_documents(
         scores, byte_score, end_score = learned_scores(uses, float(use[piece < 0].sum()), float(ends))
         lattice.set_scores(scores, byte_score)
 
-    sums = (
-        parts.groupBy("bucket")
-        .cogroup(words.groupBy("bucket"))
-        .applyInArrow(_score(lattice, n, types), "pack bigint, docs binary, base binary, known binary, model binary, pure binary")
+    values = words.select("bucket", "words", "train", "packs", "sizes", "index").mapInArrow(
+        _score(lattice), "pack bigint, bucket int, seen binary, pure binary"
     )
     schema = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
-    scored = own.groupBy("pack").cogroup(sums.groupBy("pack")).applyInArrow(_gather(n, types, ends, end_score), schema)
+    scored = own.groupBy("pack").cogroup(values.groupBy("pack")).applyInArrow(_gather(n, types, ends, end_score), schema)
     return scored.withColumnRenamed("id", id_col)
