@@ -71,15 +71,19 @@ def pages_to_do(pages: DataFrame, done: DataFrame) -> DataFrame:
     return pages.join(done.select("job_id", "page_num"), ["job_id", "page_num"], "left_anti")
 
 
-def few_shot_context(pages: DataFrame, n: int) -> DataFrame:
-    """Pages after the first ``n``, each with those first pages as ``context``."""
-    first = (
+def first_pages(pages: DataFrame, n: int) -> DataFrame:
+    """(job_id, context), the text of the first ``n`` pages of each document."""
+    return (
         pages.where(F.col("page_num") <= n)
         .groupBy("job_id")
         .agg(F.array_sort(F.collect_list(F.struct("page_num", "text"))).alias("__first"))
         .select("job_id", F.array_join(F.transform("__first", lambda p: p["text"]), "\n\n").alias("context"))
     )
-    return pages.where(F.col("page_num") > n).join(first, "job_id", "left")
+
+
+def few_shot_context(pages: DataFrame, n: int) -> DataFrame:
+    """Pages after the first ``n``, each with those first pages as ``context``."""
+    return pages.where(F.col("page_num") > n).join(first_pages(pages, n), "job_id", "left")
 
 
 def union_calibrated(first: DataFrame, rest: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.times import moment
@@ -14,12 +15,11 @@ from pagemill.functions.times import moment
 def latest_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The row with the greatest version per key.
 
-    An aggregate, not a window: rows are reduced map-side before the shuffle,
-    so a key with very many versions costs one row per map task.
+    The rank filter becomes a window group limit: every task keeps one row per
+    key before the shuffle, so a key with very many versions stays small.
     """
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*version))
-    return df.groupBy(*keys).agg(newest.alias("__row")).select(*keys, "__row.*").select(*df.columns)
+    newest = W.partitionBy(*keys).orderBy(*[F.desc(v) for v in version])
+    return df.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
 
 
 def upsert(

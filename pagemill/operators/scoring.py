@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import progress as fp
-from pagemill.operators.documents import few_shot_context, page_batches, union_calibrated
+from pagemill.operators.documents import first_pages, page_batches, union_calibrated
 from pagemill.session import ensure_checkpoint_dir
 
 Scorer = Callable[[dict], str]
@@ -307,12 +307,9 @@ def score_with_calibration(pages: DataFrame, load_fn: LoadFn, n: int = 3) -> Dat
     first = score_pages(
         source.where(F.col("page_num") <= n).withColumn("context", F.lit(None).cast("string")), load_fn
     ).checkpoint()
+    # One context row per document meets its pages; the pages with it are not shuffled again.
     rest = source.where(F.col("page_num") > n)
-    shown = first.select("job_id", "page_num", "text").unionByName(
-        rest.select("job_id", "page_num", F.lit("").alias("text"))
-    )
-    context = few_shot_context(shown, n).select("job_id", "page_num", "context")
-    with_context = rest.join(context, ["job_id", "page_num"]).select(*columns, "context")
+    with_context = rest.join(first_pages(first, n), "job_id", "left").select(*columns, "context")
     return union_calibrated(first, score_pages(with_context, load_fn))
 
 
