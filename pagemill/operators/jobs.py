@@ -230,12 +230,17 @@ def group_by_filename(results: DataFrame) -> DataFrame:
     )
 
 
-def job_result(jobs: DataFrame, docs: DataFrame) -> DataFrame:
+def job_result(jobs: DataFrame, docs: DataFrame, page_keys: DataFrame | None = None) -> DataFrame:
     """A10: result envelope of each completed job, one row per document part.
 
-    ``docs`` is (job_id, part, content, pages).
+    ``docs`` is (job_id, part, content, pages). Pages are counted from
+    ``page_keys`` (job_id, page_num), which may repeat, where given: counting
+    them from ``docs`` assembles a document that is not stored a second time.
     """
-    totals = docs.groupBy("job_id").agg(F.sum("pages").alias("total_pages"))
+    if page_keys is None:
+        totals = docs.groupBy("job_id").agg(F.sum("pages").alias("total_pages"))
+    else:
+        totals = page_keys.select("job_id", "page_num").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("total_pages"))
     return (
         jobs.where(F.col("status") == "completed")
         .join(totals, "job_id")

@@ -471,7 +471,8 @@ def job_results(spark, sf_dir):
     pages = s.page_results(spark, sf_dir).select(
         "job_id", "page_num", "method", "processing_time", F.col("ocr_text").alias("text")
     )
-    return oj.job_result(s.jobs(spark, sf_dir), od.assemble_documents(pages, pages_per_part=4))
+    docs = od.assemble_documents(pages, pages_per_part=4)
+    return oj.job_result(s.jobs(spark, sf_dir), docs, s.page_changes(spark, sf_dir).where("page_num IS NOT NULL"))
 
 
 @query("""
