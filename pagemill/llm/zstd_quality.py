@@ -1,19 +1,20 @@
 """Quality score from compression (operator 1).
 
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad. A text is cut into
-blocks of equal size and every block is compressed with both; the text's feature is
+blocks of equal size and every block is compressed with both; the text's features are
 
     d = (bytes with the bad dictionary - bytes with the good one) / bytes of the text
+    r = bytes with the good dictionary / bytes of the text
 
 so text like the good samples has a high d. Blocks keep d comparable for short and long texts, since a dictionary helps
-only the beginning of what it compresses. A logistic curve fitted on labelled texts that no dictionary has seen turns d
-into the probability of label 1.
+only the beginning of what it compresses. A logistic curve fitted on labelled texts that no dictionary has seen turns d into the
+probability of label 1; r corrects it for texts that repeat themselves, which both dictionaries compress alike.
 
 The dictionaries and the curve come from a bounded sample, ``SAMPLE_ROWS`` labelled texts of at most ``SAMPLE_CHARS``
 characters, the rows with the smallest hash of id and text. The model is at most 2 * ``DICT_BYTES`` and a few
 numbers, so it goes to the executors with the function. Every text is scored whole.
 
-Cases: a null or empty text has no bytes; its d is 0. A label may be null or name an unknown document, and is then not used;
+Cases: a null or empty text has no bytes; its d is 0 and its r is 1. A label may be null or name an unknown document, and is then not used;
 of several labels of one document the largest counts. Repeated rows get the same score each. Without labels of both
 kinds there is nothing to learn: the model then gives everything the share of good labels, or 0.5 without any. Other
 columns are not looked at and may have any name.
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 32_768
 DICT_BYTES = 65_536
-BLOCK_BYTES = 4096
+#: Blocks that dictionaries are trained on, and blocks that texts are measured in.
+SAMPLE_BLOCK, BLOCK_BYTES = 4096, 512
 LEVEL = 3
 
 
@@ -42,7 +44,7 @@ LEVEL = 3
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     offset: float
 
     def scorer(self):
@@ -50,16 +52,16 @@ class QualityModel:
         measure = difference_measure(self.good, self.bad)
 
         def score(texts: list[str | None]) -> np.ndarray:
-            d = np.array([measure(t) for t in texts], dtype=float)
-            return 1.0 / (1.0 + np.exp(-np.clip(self.slope * d + self.offset, -60, 60)))
+            x = np.array([measure(t) for t in texts], dtype=float).reshape(-1, 2)
+            return 1.0 / (1.0 + np.exp(-np.clip(x @ np.array(self.slopes) + self.offset, -60, 60)))
 
         return score
 
 
 def difference_measure(good: bytes, bad: bytes):
-    """A function from a text to d; 0 for every text where a dictionary is missing."""
+    """A function from a text to d and r; 0 and 1 for every text where a dictionary is missing."""
     if not good or not bad:
-        return lambda text: 0.0
+        return lambda text: (0.0, 1.0)
 
     def compressor(data: bytes) -> zstd.ZstdCompressor:
         return zstd.ZstdCompressor(
@@ -72,15 +74,16 @@ def difference_measure(good: bytes, bad: bytes):
 
     with_good, with_bad = compressor(good), compressor(bad)
 
-    def measure(text: str | None) -> float:
+    def measure(text: str | None) -> tuple[float, float]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0
-        size = 0
+            return 0.0, 1.0
+        like_good = like_bad = 0
         for at in range(0, len(raw), BLOCK_BYTES):
             block = raw[at : at + BLOCK_BYTES]
-            size += len(with_bad.compress(block)) - len(with_good.compress(block))
-        return size / len(raw)
+            like_good += len(with_good.compress(block))
+            like_bad += len(with_bad.compress(block))
+        return (like_bad - like_good) / len(raw), like_good / len(raw)
 
     return measure
 
@@ -90,29 +93,28 @@ def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
     blocks = []
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
-        blocks += [raw[at : at + BLOCK_BYTES] for at in range(0, len(raw), BLOCK_BYTES)]
+        blocks += [raw[at : at + SAMPLE_BLOCK] for at in range(0, len(raw), SAMPLE_BLOCK)]
     try:
         return zstd.train_dictionary(size, blocks, level=LEVEL).as_bytes()
     except (zstd.ZstdError, ValueError):
         return b"".join(blocks)[-size:]
 
 
-def fit_curve(d: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton's method with a weak prior on the slope."""
-    if len(d) == 0:
-        return 0.0, 0.0
-    scale = float(d.std()) or 1.0
-    x = np.column_stack([d / scale, np.ones_like(d)])
-    w = np.zeros(2)
+def fit_curve(x: np.ndarray, label: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Slopes and offset of the logistic curve, by Newton's method with a weak prior on the slopes."""
+    middle, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
+    prior = np.array([0.05, 0.05, 0.01])
+    w = np.zeros(3)
     for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (label - p) - np.array([0.05, 0.01]) * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.01])
-        step = np.linalg.solve(hess, grad)
-        w += np.clip(step, -5, 5)
+        p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(prior), z.T @ (label - p) - prior * w)
+        w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    slopes = w[:2] / scale
+    return (float(slopes[0]), float(slopes[1])), float(w[2] - slopes @ middle)
 
 
 def labelled_sample(
@@ -143,15 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     share = (sum(r["label"] for r in rows) + 1) / (len(rows) + 2)
     offset = math.log(share / (1 - share))
     if not good or not bad:
-        return QualityModel(b"", b"", 0.0, offset)
+        return QualityModel(b"", b"", (0.0, 0.0), offset)
     good_dict, bad_dict = build_dictionary(good), build_dictionary(bad)
     rest = [r for r in rows if r["part"] == 0]
     if len({r["label"] for r in rest}) < 2:
         rest = rows
     measure = difference_measure(good_dict, bad_dict)
-    d = np.array([measure(r["t"]) for r in rest])
-    slope, offset = fit_curve(d, np.array([float(r["label"]) for r in rest]))
-    return QualityModel(good_dict, bad_dict, slope, offset)
+    x = np.array([measure(r["t"]) for r in rest])
+    slopes, offset = fit_curve(x, np.array([float(r["label"]) for r in rest]))
+    return QualityModel(good_dict, bad_dict, slopes, offset)
 
 
 def score_texts(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
