@@ -185,15 +185,21 @@ def similar_documents(
     groups = components(edges.distinct())
     wanted = stored(groups.join(classes.select("id", "key", "weight"), "id"), "members")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    members = texts.join(wanted, "id").select("component", "id", "weight", "key", "t")
+    # The same plan at every size: texts are shuffled once, whether or not the ids would fit a broadcast.
+    members = texts.join(wanted.hint("merge"), "id").select("component", "id", "weight", "key", "t")
     linked = classes_linked(verified(members, similar_pairs(limit)))
     return spread_classes(rows.select("id"), owners.select("id", "key"), classes, linked, id_col)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents with all their columns, one row for each component; rows without an id all stay."""
-    gone = stored(found.where("NOT kept").select(id_col).distinct(), "dropped")
-    again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    once = kept.join(again, id_col, "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    again = ids.where("__n > 1").select("__id", F.lit(True).alias("__again"))
+    gone = found.where("NOT kept").select(F.col(id_col).alias("__id"), F.lit(True).alias("__gone")).distinct()
+    marks = stored(gone.join(again, "__id", "full"), "marks")
+    named = docs.where(F.col(id_col).isNotNull())
+    marked = named.join(marks.hint("merge"), F.col(id_col) == F.col("__id"), "left").where("__gone IS NULL")
+    once = marked.where("__again IS NULL").select(docs.columns)
+    if not marks.where("__again").isEmpty():
+        once = once.unionByName(marked.where("__again").select(docs.columns).dropDuplicates([id_col]))
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
