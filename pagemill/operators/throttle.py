@@ -233,7 +233,7 @@ def throttle_snapshots(
 
     ``chunks`` has job_id, page_num, chunk_sequence, chunk_text, created_at and
     is_final. Rows out: snapshot_no, tokens, flushed_at, is_final and the text
-    since the last snapshot (``delta``) or, cumulative, ``snapshot_text`` since
+    since the last snapshot (``delta``) or, cumulative, ``part_text`` since
     the start of its ``part``. The text of a page at a snapshot is that of the
     last snapshot of each earlier part followed by this one; pages of up to 64
     snapshots have one part.
@@ -268,4 +268,9 @@ def throttle_snapshots(
     so_far = (
         W.partitionBy(*keys, "part").orderBy("snapshot_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    return deltas.withColumn("snapshot_text", F.array_join(F.collect_list("delta").over(so_far), "")).drop("delta")
+    return deltas.withColumn("part_text", F.array_join(F.collect_list("delta").over(so_far), "")).drop("delta")
+
+
+def text_parts(snapshots: DataFrame) -> DataFrame:
+    """(job_id, page_num, part, text) as of the newest cumulative snapshot; the parts in order are the whole text."""
+    return snapshots.groupBy("job_id", "page_num", "part").agg(F.max_by("part_text", "snapshot_no").alias("text"))

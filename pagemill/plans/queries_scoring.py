@@ -321,7 +321,7 @@ g AS (SELECT c.*, f.mark, coalesce(sum(f.mark::INT) OVER (PARTITION BY c.job_id
 d AS (SELECT job_id, CAST(no AS BIGINT) AS snapshot_no, count(*) AS tokens, max(created_at) AS flushed_at, bool_or(is_final) AS is_final,
     string_agg(chunk_text, '' ORDER BY n) AS delta FROM g GROUP BY 1, 2 HAVING bool_or(mark))
 SELECT job_id, 1 AS page_num, snapshot_no, CAST((snapshot_no - 1) // 64 AS BIGINT) AS part, tokens, flushed_at, is_final,
-  string_agg(delta, '') OVER (PARTITION BY job_id, (snapshot_no - 1) // 64 ORDER BY snapshot_no) AS snapshot_text FROM d"""
+  string_agg(delta, '') OVER (PARTITION BY job_id, (snapshot_no - 1) // 64 ORDER BY snapshot_no) AS part_text FROM d"""
 
 
 @query(SNAPSHOT_SQL)

@@ -16,7 +16,7 @@ SNAPSHOTS_PER_PART = 64
 
 
 class SnapshotThrottle(StatefulProcessor):
-    """Buffers the chunks of a page; state is the open buffer and the text of the open part."""
+    """Buffers the chunks of a page; state is the open buffer and the text of the open part, until the final chunk."""
 
     def __init__(self, wait_us: int, tokens: int, cumulative: bool, per_part: int) -> None:
         self.wait_us, self.tokens, self.cumulative, self.per_part = wait_us, tokens, cumulative, per_part
@@ -26,11 +26,12 @@ class SnapshotThrottle(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         buffer, n, last, no, part_text = self.state.get() if self.state.exists() else ("", 0, None, 0, "")
-        held = [buffer]
+        held, done = [buffer], False
         for row in sorted(rows, key=lambda r: (r.at, r.chunk_sequence)):
             last = row.at if last is None else last
             held.append(row.chunk_text)
             n += 1
+            done = False
             if row.is_final or n >= self.tokens or row.at - last >= self.wait_us:
                 delta = "".join(held)
                 if no % self.per_part == 0:
@@ -45,10 +46,14 @@ class SnapshotThrottle(StatefulProcessor):
                     tokens=n,
                     flushed_us=row.at,
                     is_final=row.is_final,
-                    snapshot_text=part_text if self.cumulative else delta,
+                    **({"part_text": part_text} if self.cumulative else {"delta": delta}),
                 )
                 held, n, last = [], 0, row.at
-        self.state.update(("".join(held), n, last, no, part_text))
+                done = row.is_final
+        if done:  # the stream of this page is over
+            self.state.clear()
+        else:
+            self.state.update(("".join(held), n, last, no, part_text))
 
     def close(self) -> None:
         pass
@@ -72,7 +77,7 @@ def throttle_snapshot_stream(
     types = dict(stream.dtypes)
     schema = (
         f"job_id {types['job_id']}, page_num {types['page_num']}, snapshot_no bigint, part bigint,"
-        " tokens bigint, flushed_us bigint, is_final boolean, snapshot_text string"
+        " tokens bigint, flushed_us bigint, is_final boolean, " + ("part_text string" if cumulative else "delta string")
     )
     rows = stream.select(
         "job_id",

@@ -71,7 +71,7 @@ def test_snapshot_stream_equals_batch(spark, tmp_path):
     stream = as_stream(spark, str(tmp_path / "in"), parts, CHUNKS, [0, 1, 2])
     path = drain(snapshots.throttle_snapshot_stream(stream, 100, 5, snapshots_per_part=8), tmp_path, "append")
     batch = throttle_snapshots(spark.createDataFrame(data, CHUNKS), 100, 5, snapshots_per_part=8, rows_per_block=16)
-    cols = ["job_id", "snapshot_no", "part", "tokens", "flushed_at", "is_final", "snapshot_text"]
+    cols = ["job_id", "snapshot_no", "part", "tokens", "flushed_at", "is_final", "part_text"]
     rows = lambda df: sorted(tuple(r[c] for c in cols) for r in df.collect())
     assert rows(tables.read_updates(spark, path)) == rows(batch)
 

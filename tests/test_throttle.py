@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from pagemill.operators.blocked import page_block
-from pagemill.operators.throttle import checkpoint_marks, throttle_marks, throttle_snapshots
+from pagemill.operators.throttle import checkpoint_marks, throttle_marks, text_parts, throttle_snapshots
 
 START = datetime(2024, 1, 1)
 
@@ -88,9 +88,15 @@ def test_cumulative_text_in_parts(spark):
     got = throttle_snapshots(chunks, snapshots_per_part=4).orderBy("snapshot_no").collect()
     last = {}
     for r in got:
-        last[r.part] = r.snapshot_text
+        last[r.part] = r.part_text
     assert "".join(last[p] for p in sorted(last)) == "".join(f"c{i} " for i in range(9))
-    assert got[1].snapshot_text.startswith(got[0].snapshot_text)
+    assert got[1].part_text.startswith(got[0].part_text)
+
+
+def test_200_snapshots_make_the_whole_text(spark):
+    chunks = _chunks(spark, [i * 100 for i in range(201)], final={200})
+    parts = text_parts(throttle_snapshots(chunks)).orderBy("part").collect()
+    assert len(parts) == 4 and "".join(r.text for r in parts) == "".join(f"c{i} " for i in range(201))
 
 
 def test_checkpoint_marks(spark):
