@@ -33,12 +33,15 @@ HEADLINE = (
     "memory_deltas",
     "metrics_history",
     "expired_files",
+    "job_by_id",
+    "events_of_job",
     "old_events",
     "block_types",
     "chat_commands",
     "scored_pages",
     "checkpoint_marks",
     "text_snapshots",
+    "text_snapshot_stream",
     "stream_rows",
     "reassembled_text",
 )
@@ -75,7 +78,13 @@ def main() -> None:
         "expired_files": ("files_checked_for_expiry_per_s", "documents"),
         "old_events": ("items_checked_for_age_per_s", "events"),
     }
-    rates = {label: round(rows[t] / seconds[q]) for q, (label, t) in table_of.items() if q in seconds}
+    ratio = {}
+    if "text_snapshots" in seconds:
+        from pagemill.sources.standins import line_chunks
+
+        chunks = line_chunks(spark, sf_dir).count()
+        ratio["snapshots_per_chunk"] = round(queries["text_snapshots"].build(spark, sf_dir).count() / max(1, chunks), 4)
+    rates = ratio | {label: round(rows[t] / seconds[q]) for q, (label, t) in table_of.items() if q in seconds}
     print(
         json.dumps(
             {

@@ -98,6 +98,8 @@ def score_pages(pages: DataFrame, load_fn: LoadFn, prompt_type: str = "ocr", bat
     With ``batched`` the loaded scorer takes the rows of an Arrow batch as a
     list and returns as many texts, or exceptions, in order.
     """
+    if clash := {"prompt_type", *RESULTS} & set(pages.columns):
+        raise ValueError(f"rename the columns {sorted(clash)}: scoring adds columns of these names")
     schema = f"{_ddl(pages)}, prompt_type string, {RESULT_DDL}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import documents as od
+from pagemill.operators.jobs import choose_model
+from pagemill.operators.mutations import upsert_page_results
+from pagemill.operators.prompts import resolve_prompts
 from pagemill.operators.scoring import LoadFn, score_pages
 from pagemill.sources.cache import read_ocr_cache, write_ocr_cache
 
 
-def extract_documents(
+def stage_one(
     pages: DataFrame,
     load_ocr: LoadFn,
     cache_path: str,
@@ -19,16 +22,12 @@ def extract_documents(
     start: int | None = None,
     end: int | None = None,
     run: int = 1,
-    timed: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Range, routing, stage 1, stage table, merge, assembly.
-
-    ``pages`` is (job_id, page_num, embedded_text). The stage table at
-    ``cache_path`` is the barrier between the stages and the point of recovery:
-    a call with a higher ``run`` scores only pages without a success in an
-    earlier run, and repeating a call gives the same again. Returns the document
-    parts and the pages still without a result; parts of documents with such
-    pages have ``is_complete`` false (J1: a caller fails these jobs).
+    """Range, routing, scoring and stage table: pages with their stored text, and those still without one.
+
+    The stage table at ``cache_path`` is the barrier between the stages and the
+    point of recovery: a call with a higher ``run`` scores only pages without a
+    success in an earlier run, and repeating a call gives the same again.
     """
     spark = pages.sparkSession
     routed = od.route_pages(
@@ -50,21 +49,108 @@ def extract_documents(
     stage1 = read_ocr_cache(spark, cache_path).where("success").drop("success", "error")
     merged = routed.join(stage1, ["job_id", "page_num"], "left")
     missing = merged.where("route <> 'embedded' AND ocr_text IS NULL").select("job_id", "page_num")
-    text = (
+    return merged, missing
+
+
+def _by_rule() -> Column:
+    return (
         F.when(F.col("route") == "ocr", F.coalesce("ocr_text", F.lit("")))
         .when(F.col("route") == "embedded", F.col("embedded_text"))
         .otherwise(od.rule_merge(F.col("embedded_text"), F.col("ocr_text")))
     )
+
+
+def _assembled(pages: DataFrame, missing: DataFrame) -> DataFrame:
+    """Document parts; those of documents with missing pages have ``is_complete`` false (J1: a caller fails these jobs)."""
+    incomplete = missing.select("job_id").distinct().withColumn("__missing", F.lit(True))
+    docs = od.assemble_documents(pages).join(incomplete, "job_id", "left")
+    return docs.withColumn("is_complete", F.col("__missing").isNull()).drop("__missing")
+
+
+def extract_documents(
+    pages: DataFrame,
+    load_ocr: LoadFn,
+    cache_path: str,
+    method: str = "auto",
+    force_ocr: bool = False,
+    start: int | None = None,
+    end: int | None = None,
+    run: int = 1,
+    timed: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Stage one, rule merge, assembly.
+
+    ``pages`` is (job_id, page_num, embedded_text). Returns the document parts
+    and the pages still without a result.
+    """
+    merged, missing = stage_one(pages, load_ocr, cache_path, method, force_ocr, start, end, run)
     seconds = F.coalesce("processing_time", F.lit(0.0)) if timed else F.lit(0.0)
-    docs = od.assemble_documents(
-        merged.select(
-            "job_id",
-            "page_num",
-            F.col("route").alias("method"),
-            seconds.alias("processing_time"),
-            text.alias("text"),
-        )
+    texts = merged.select(
+        "job_id",
+        "page_num",
+        F.col("route").alias("method"),
+        seconds.alias("processing_time"),
+        _by_rule().alias("text"),
     )
-    incomplete = missing.select("job_id").distinct().withColumn("__missing", F.lit(True))
-    docs = docs.join(incomplete, "job_id", "left").withColumn("is_complete", F.col("__missing").isNull())
-    return docs.drop("__missing"), missing
+    return _assembled(texts, missing), missing
+
+
+def two_stage_documents(
+    pages: DataFrame,
+    jobs: DataFrame,
+    catalog: DataFrame,
+    load_ocr: LoadFn,
+    load_merge: LoadFn,
+    load_format: LoadFn,
+    cache_path: str,
+    current: DataFrame | None = None,
+    run: int = 1,
+    timed: bool = True,
+    **routing,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole document job: stage one, model merge, format, upsert, assembly.
+
+    ``jobs`` has job_id, prefer_quality, strategy, custom_prompt and
+    output_format; each page meets its job's merge model and prompt. Pages with
+    both texts go to the merge model, which gets merge_model, prompt, embedded_text
+    and ocr_text; where it fails the rule merge stands in. Formats other than
+    text go to the format model, and keep the merged text where that fails.
+    Returns document parts, the page results upserted into ``current`` and the
+    pages without a result.
+    """
+    merged, missing = stage_one(pages, load_ocr, cache_path, run=run, **routing)
+    chosen = choose_model(jobs, F.coalesce("prefer_quality", F.lit(True)), F.col("strategy"))
+    asked = resolve_prompts(
+        chosen.withColumnRenamed("merge_model", "model").withColumn("prompt_type", F.lit("merge")), catalog
+    ).select("job_id", F.col("model").alias("merge_model"), "prompt", "output_format")
+    ready = merged.join(asked, "job_id").withColumn("by_rule", _by_rule())
+
+    def merge_hybrids():
+        merge = load_merge()
+        return lambda row: merge(row) if row["route"] == "hybrid" else row["by_rule"]
+
+    def format_wanted():
+        shape = load_format()
+        return lambda row: row["merged"] if row["output_format"] == "text" else shape(row)
+
+    keys = ["job_id", "page_num", "route", "processing_time", "ocr_text", "output_format"]
+    second = score_pages(ready, merge_hybrids, "merge")
+    text = F.when(F.col("success"), F.col("text")).otherwise(F.col("by_rule"))
+    shaped = score_pages(second.select(*keys, text.alias("merged")), format_wanted, "format")
+    final = shaped.select(
+        "job_id",
+        "page_num",
+        F.col("route").alias("method"),
+        (F.coalesce("processing_time", F.lit(0.0)) if timed else F.lit(0.0)).alias("processing_time"),
+        "ocr_text",
+        F.when(F.col("success"), F.col("text")).otherwise(F.col("merged")).alias("merge_text"),
+    )
+    results = upsert_page_results(
+        final.withColumn("run", F.lit(run)),
+        jobs,
+        F.col("run"),
+        ["method", "processing_time", "ocr_text", "merge_text"],
+        current,
+    )
+    docs = _assembled(results.withColumn("text", F.coalesce("merge_text", F.lit(""))), missing)
+    return docs, results, missing

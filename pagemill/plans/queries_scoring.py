@@ -11,7 +11,9 @@ from pagemill.functions.times import moment
 from pagemill.operators import documents as od
 from pagemill.operators import scoring as os_
 from pagemill.operators import throttle as ot
+from pagemill.operators import prompts as op
 from pagemill.plans.extraction import extract_documents
+from pagemill.plans.extraction import two_stage_documents as two_stage
 from pagemill.plans.registry import query
 from pagemill.session import scratch_dir
 from pagemill.sources import cache as sc
@@ -229,6 +231,51 @@ def extracted_documents(spark, sf_dir):
     return docs
 
 
+def _load_second_merger():
+    """Puts both texts under the model's name; fails on long pages, so the rule merge stands in."""
+
+    def merge(row):
+        if len(row["embedded_text"]) > 300:
+            raise TimeoutError("too slow")
+        return f"{row['merge_model']}|{row['prompt']}|{row['embedded_text']}|{row['ocr_text']}"
+
+    return merge
+
+
+@query("""
+WITH p AS (SELECT l.job_id, page_num, l.text, d.lang, length(regexp_replace(l.text, '^\\s+|\\s+$', '', 'g')) < 10 AS scan,
+    CASE d.lang WHEN 'en' THEN 'qwen3-vl-2b' WHEN 'fr' THEN 'qwen3-vl-8b' ELSE 'qwen3-vl-4b' END AS model
+  FROM v_lines l JOIN documents d ON d.doc_id = l.job_id),
+m AS (SELECT *, CASE WHEN scan THEN 'scan of ' || text WHEN length(text) > 300 THEN text || chr(10) || 'scan of ' || text
+    ELSE model || '|own prompt|' || text || '|scan of ' || text END AS merged FROM p),
+f AS (SELECT *, CASE WHEN lang = 'de' THEN merged ELSE '# ' || merged END AS out FROM m)
+SELECT job_id, CAST((page_num - 1) // 512 AS BIGINT) AS part, true AS is_complete, count(*) AS pages, string_agg('<!-- Page ' || page_num
+  || ' | Method: ' || CASE WHEN scan THEN 'OCR' ELSE 'HYBRID' END || ' | Time: 0.00s | Chars: ' || length(out) || ' -->' || chr(10)
+  || out || chr(10) || chr(10), '' ORDER BY page_num) AS content FROM f GROUP BY 1, 2""")
+def two_stage_documents(spark, sf_dir):
+    """The two-stage job over all pages: M3, M8, M9, M10, S3, S8, A13."""
+    pages = s.document_pages(spark, sf_dir).select("job_id", "page_num", F.col("text").alias("embedded_text"))
+    lang = F.col("lang")
+    jobs = s.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"),
+        (lang == "fr").alias("prefer_quality"),
+        F.when(lang == "en", "speed").alias("strategy"),
+        F.lit("own prompt").alias("custom_prompt"),
+        F.when(lang == "de", "text").otherwise("markdown").alias("output_format"),
+    )
+    docs, _, _ = two_stage(
+        pages,
+        jobs,
+        op.model_catalog(spark),
+        _load_page_reader,
+        _load_second_merger,
+        lambda: lambda row: "# " + row["merged"],
+        scratch_dir(spark, "two-stage"),
+        timed=False,
+    )
+    return docs
+
+
 def _load_failing_reader(modulus):
     """Fails on every page whose number the modulus divides; 0 never fails."""
 
