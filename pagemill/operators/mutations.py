@@ -53,14 +53,22 @@ def split_valid_page_results(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("page_num IS NOT NULL"), df.where("page_num IS NULL")
 
 
-def partial_update(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """U4: only fields the change supplies (non-null) change; the rest stay.
+def partial_update(df: DataFrame, changes: DataFrame, key: str, supplied: str = "supplied") -> DataFrame:
+    """U4: only fields the change supplies change; the rest stay.
 
-    ``changes`` holds at most one row per key.
+    ``changes`` holds at most one row per key. A column ``supplied`` names, as
+    an array, the fields of each change, which may then be null to clear the
+    stored value; without that column a null is a field not supplied.
     """
-    fields = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in fields])
-    updated = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}
+    fields = [c for c in changes.columns if c not in (key, supplied)]
+    new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
+    if supplied in changes.columns:
+        named = F.coalesce(F.col(f"__{supplied}"), F.array().cast("array<string>"))
+        updated = {
+            c: F.when(F.array_contains(named, c), F.col(f"__{c}")).otherwise(F.col(c)) for c in fields
+        }
+    else:
+        updated = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}
     return df.join(new, key, "left").withColumns(updated).select(*df.columns)
 
 

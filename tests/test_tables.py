@@ -203,3 +203,13 @@ def test_prompt_libraries(spark, rows):
     got = dict(found(prompts.resolve_prompts(wanted, catalog_rows), "model", "prompt"))
     assert got["qwen3-vl-2b"] == prompts.FALLBACK_PROMPTS["qwen"]
     assert got["deepseek-x"] == prompts.FALLBACK_PROMPTS["deepseek"] and got["x"] == "own"
+
+
+def test_a_supplied_null_clears_a_field(rows):
+    jobs = rows([(1, "a", 5), (2, "b", 6), (3, "c", 7)], "job_id int, note string, n int")
+    changes = rows([(1, None, None, ["note"]), (2, "z", None, ["note", "n"]), (3, "x", 1, None)],
+                   "job_id int, note string, n int, supplied array<string>")
+    got = mutations.partial_update(jobs, changes, "job_id")
+    assert found(got, "job_id", "note", "n") == [(1, None, 5), (2, "z", None), (3, "c", 7)]
+    plain = mutations.partial_update(jobs, changes.drop("supplied"), "job_id")
+    assert found(plain, "job_id", "note", "n") == [(1, "a", 5), (2, "z", 6), (3, "x", 1)]
