@@ -121,7 +121,7 @@ class ToxicityModel:
 
 def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS) -> ToxicityModel:
     """FTRL-proximal over the rows, in a seeded order. The bias has a coordinate of its own, without L1."""
-    z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    z, n = np.zeros(DIMENSIONS, dtype=np.float32), np.zeros(DIMENSIONS, dtype=np.float32)
     bz = bn = bias = 0.0
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -144,9 +144,18 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS) -> Toxi
             bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / ALPHA * bias
             bn += g * g
     bias = -bz / ((BETA + bn**0.5) / ALPHA)
-    w = weights(np.arange(DIMENSIONS))
-    index = np.flatnonzero(w).astype(np.int32)
-    return ToxicityModel(index, w[index].astype(np.float32), float(bias))
+    index = np.flatnonzero(np.abs(z) > L1)
+    return ToxicityModel(index.astype(np.int32), weights(index).astype(np.float32), float(bias))
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed features of each row, without copies."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+        data = np.frombuffer(chunk.buffers()[2], dtype=np.int32) if len(chunk) and ends[-1] else np.empty(0, np.int32)
+        out += [data[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id") -> ToxicityModel:
@@ -160,5 +169,4 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["x", "label"])
 
     rows = sample.mapInArrow(hashed, "x binary, label int").toArrow()
-    x = [np.frombuffer(v, dtype=np.int32) for v in rows.column("x").to_pylist()]
-    return fit(x, np.array(rows.column("label").to_pylist(), dtype=float))
+    return fit(_views(rows.column("x")), np.array(rows.column("label").to_pylist(), dtype=float))
