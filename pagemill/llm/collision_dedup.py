@@ -2,13 +2,14 @@
 
 Two vectors of unit length with cosine c lie sqrt(2 - 2c) apart, so their projections on a random direction differ by a normal variable of that
 deviation. Vectors are projected on many directions. For each of ``tables`` groups of directions the vectors are
-sorted by the cells of these projections and, inside a cell, along a projection; a vector collides with the others of its cell
-that lie in a window around its own value. For such pairs the windows, centred on the vector, of ``counted``
+sorted by the cells of these projections and, inside a cell, along one more projection of the table's own; a vector collides with the others of
+its cell that lie in a window around its own value. For such pairs the windows, centred on the vector, of ``counted``
 further projections are compared, and a pair becomes a candidate if it collides in at least ``calibrated_count`` of them: so many that a pair
-at the threshold passes with the wanted recall, by the binomial law. Candidates are verified by their cosine in double precision.
+at the threshold passes with chance ``COUNT_RECALL``, by the binomial law. Candidates are verified by their cosine in double precision.
 
 The number of directions per table grows with the logarithm of the number of vectors, so that a cell holds about as many
-unrelated vectors at every size; the number of tables follows from it and from the wanted recall at the threshold itself. Closer pairs are found almost surely.
+unrelated vectors at every size; the number of tables follows from the chances of cell, window and count and from the wanted recall at the threshold
+itself. Closer pairs are found almost surely.
 
 Equal vectors are made one first and counted, so copies cost nothing; large groups of close vectors are cut into tiles
 (``linking``). No pair becomes a row.
@@ -36,6 +37,8 @@ from pagemill.llm.linking import classes_linked, components, group_starts, label
 #: Window of a cell and of a count, in deviations of a pair at the threshold.
 CELL_WIDTH, WINDOW = 4.0, 2.0
 COUNTED = 32
+#: Chance that a pair at the threshold passes the count, which is the same for all tables.
+COUNT_RECALL = 0.9999
 SCALE = 1024.0
 
 
@@ -81,15 +84,17 @@ class Plan:
         far = cell_chance(math.sqrt(2.0), width)
         per_table = max(2, math.ceil(math.log(max(n, 2)) / -math.log(far)))
         hit = cell_chance(near, width) ** per_table
-        tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-        window = WINDOW * near
         chance = 2 * _phi(WINDOW) - 1
-        return Plan(dim, per_table, tables, width, window, calibrated_count(COUNTED, chance, 0.9999))
+        missed = 1 - min(recall / COUNT_RECALL, 1 - 1e-9)
+        tables = max(1, math.ceil(math.log(missed) / math.log(1 - hit * chance)))
+        return Plan(dim, per_table, tables, width, WINDOW * near, calibrated_count(COUNTED, chance, COUNT_RECALL))
 
-    def directions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def directions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Directions of the cells, their offsets, the direction each table is sorted along, the counted directions."""
         rng = np.random.default_rng(self.seed)
         cells = rng.standard_normal((self.dim, self.tables * self.per_table))
-        return cells, rng.uniform(0, self.width, self.tables * self.per_table), rng.standard_normal((self.dim, COUNTED))
+        offsets, counted = rng.uniform(0, self.width, self.tables * self.per_table), rng.standard_normal((self.dim, COUNTED))
+        return cells, offsets, rng.standard_normal((self.dim, self.tables)), counted
 
 
 def _vectors(table: pa.Table, name: str, dim: int) -> np.ndarray:
@@ -115,7 +120,7 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
     keys = ["t", "cell", "tile_a", "tile_b"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, offsets, counted = plan.directions()
+        cells, offsets, alongs, counted = plan.directions()
         salt = np.random.default_rng(plan.seed + 1).integers(1, 1 << 62, plan.per_table, dtype=np.uint64) | np.uint64(1)
         for b in batches:
             if not b.num_rows:
@@ -127,6 +132,7 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
             for k in range(plan.per_table):
                 h = (h ^ (grid[:, :, k] + np.uint64(0x9E3779B97F4A7C15))) * salt[k]
                 h ^= h >> np.uint64(31)
+            along = np.rint(x @ alongs * SCALE).astype(np.int32)
             sketch = np.clip(np.rint(x @ counted * SCALE), -32767, 32767).astype(np.int16)
             rows = np.repeat(np.arange(len(x)), plan.tables)
             packed = pa.array([r.tobytes() for r in sketch], pa.binary(2 * COUNTED)).cast(pa.binary())
@@ -135,7 +141,7 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
                     pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), len(x))),
                     pa.array(h.reshape(-1).view(np.int64)),
                     b.column(0).take(pa.array(rows)),
-                    pa.array(sketch[rows, 0].astype(np.int32)),
+                    pa.array(along.reshape(-1)),
                     packed.take(pa.array(rows)),
                 ],
                 names=["t", "cell", "id", "along", "sketch"],

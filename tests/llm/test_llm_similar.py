@@ -155,6 +155,25 @@ def test_plan_meets_the_recall_at_every_size(n):
     assert 1 - (1 - hit) ** p.tables >= 0.99
 
 
+def isolated_pairs(pairs, dim, low, high):
+    """Pairs of random vectors at a cosine between ``low`` and ``high``."""
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.linspace(low, high, pairs)[:, None]
+    return np.stack([a, c * a + np.sqrt(1 - c * c) * b], axis=1).reshape(-1, dim)
+
+
+@pytest.mark.parametrize("low, high", [(0.9501, 0.9502), (0.9501, 0.97)])
+def test_isolated_pairs_at_the_threshold_are_found(spark, low, high):
+    frame = spark.createDataFrame(enumerate(isolated_pairs(2000, 64, low, high).tolist()), "vec_id bigint, embedding array<double>")
+    rows = collision_dedup.near_duplicates(frame, recall=0.99).collect()
+    assert all(r.component_id in (r.vec_id, r.vec_id - r.vec_id % 2) for r in rows)
+    assert sum(r.n_links for r in rows) >= 0.985 * len(rows)
+
+
 def test_empty_tables(spark, docs):
     assert forest_jaccard.similar_documents(docs([])).count() == 0
     assert collision_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
