@@ -14,7 +14,9 @@ itself. Closer pairs are found almost surely.
 Equal vectors are made one first and counted, so copies cost nothing; large groups of close vectors are cut into tiles
 (``linking``). No pair becomes a row.
 
-Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with nothing; they come
+Vectors link only with those of their own length. Every length has a plan for its own number of vectors, and cells of different lengths never meet.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; they come
 out alone. Rows that repeat an id are one vector, the one with the smallest
 digest if they differ, and come out as often as they went in. Rows without an id come
 out with no links and a null component, kept. Other columns are not looked at.
@@ -25,9 +27,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +101,9 @@ class Plan:
         return cells, offsets, rng.standard_normal((self.dim, self.tables)), counted
 
 
-def _vectors(table: pa.Table, name: str, dim: int) -> np.ndarray:
+def _vectors(table: pa.Table, name: str) -> np.ndarray:
+    """The vectors, all of one length, scaled to unit length."""
+    dim = len(table.column(name)[0])
     flat = pa.concat_arrays([c.flatten() for c in table.column(name).chunks])
     x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -115,17 +121,17 @@ def keyed(frame: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
-    """Edges (a, b) between classes that collide often enough; at most one per row and table."""
-    keys = ["t", "cell", "tile_a", "tile_b"]
+def candidates(classes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """Edges (a, b) between classes that collide often enough, by the plan of their length; at most one per row and table."""
+    keys = ["dim", "t", "cell", "tile_a", "tile_b"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, offsets, alongs, counted = plan.directions()
-        salt = np.random.default_rng(plan.seed + 1).integers(1, 1 << 62, plan.per_table, dtype=np.uint64) | np.uint64(1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _vectors(pa.Table.from_batches([b]), "vec", plan.dim)
+        directions = lru_cache(maxsize=8)(lambda dim: plans[dim].directions())
+
+        def one(b: pa.RecordBatch, plan: Plan) -> pa.RecordBatch:
+            cells, offsets, alongs, counted = directions(plan.dim)
+            salt = np.random.default_rng(plan.seed + 1).integers(1, 1 << 62, plan.per_table, dtype=np.uint64) | np.uint64(1)
+            x = _vectors(pa.Table.from_batches([b]), "vec")
             grid = np.floor((x @ cells + offsets) / plan.width).astype(np.int64).view(np.uint64)
             grid = grid.reshape(len(x), plan.tables, plan.per_table)
             h = np.zeros((len(x), plan.tables), dtype=np.uint64)
@@ -136,18 +142,26 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
             sketch = np.clip(np.rint(x @ counted * SCALE), -32767, 32767).astype(np.int16)
             rows = np.repeat(np.arange(len(x)), plan.tables)
             packed = pa.array([r.tobytes() for r in sketch], pa.binary(2 * COUNTED)).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.full(len(rows), plan.dim, dtype=np.int32)),
                     pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), len(x))),
                     pa.array(h.reshape(-1).view(np.int64)),
                     b.column(0).take(pa.array(rows)),
                     pa.array(along.reshape(-1)),
                     packed.take(pa.array(rows)),
                 ],
-                names=["t", "cell", "id", "along", "sketch"],
+                names=["dim", "t", "cell", "id", "along", "sketch"],
             )
 
-    window = np.int32(math.ceil(plan.window * SCALE) + 1)
+        for b in batches:
+            length = pc.list_value_length(b.column(1)).to_numpy()
+            for dim in np.unique(length).tolist():
+                if dim in plans:
+                    yield one(b.filter(pa.array(length == dim)), plans[dim])
+
+    shared = next(iter(plans.values()))  # window and count follow from the threshold alone
+    window = np.int32(math.ceil(shared.window * SCALE) + 1)
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, keys):
@@ -172,7 +186,7 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
                 right = left + offset
                 apart = ~split[left] | (side[left] != side[right])
                 i, j = left[apart], right[apart]
-                hits = (np.abs(sketch[i].astype(np.int32) - sketch[j]) <= window).sum(axis=1) >= plan.count
+                hits = (np.abs(sketch[i].astype(np.int32) - sketch[j]) <= window).sum(axis=1) >= shared.count
                 found_i.append(i[hits])
                 found_j.append(j[hits])
             i, j = np.concatenate(found_i or [left]), np.concatenate(found_j or [left])
@@ -183,8 +197,8 @@ def candidates(classes: DataFrame, plan: Plan) -> DataFrame:
             ids = table.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
 
-    points = classes.select("id", "vec").mapInArrow(project, "t int, cell bigint, id bigint, along int, sketch binary")
-    split = tiles(points, ["t", "cell"], "id")
+    points = classes.select("id", "vec").mapInArrow(project, "dim int, t int, cell bigint, id bigint, along int, sketch binary")
+    split = tiles(points, ["dim", "t", "cell"], "id")
     return split.repartition(*keys).sortWithinPartitions(*keys, "along", "id").mapInArrow(collide, "a bigint, b bigint")
 
 
@@ -203,15 +217,16 @@ def near_duplicates(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")
     )
     classes = stored(classes, "vector-classes")
-    dims = classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    most = dims.orderBy(F.desc("n"), "dim").first()
-    dim, n = (most["dim"], most["n"]) if most else (1, 1)
-    plan = Plan.of(n, dim, threshold, recall)
-    same = classes.where(F.size("vec") == dim)
-    members = components(candidates(same, plan)).join(same, "id").select("component", "id", "weight", "vec")
+    dims = classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()
+    if dims:
+        plans = {r["dim"]: Plan.of(r["n"], r["dim"], threshold, recall) for r in dims}
+        edges = candidates(classes, plans)
+    else:
+        edges = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    members = components(edges).join(classes, "id").select("component", "id", "weight", "vec")
 
     def close(part: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        x = _vectors(part, "vec", dim)
+        x = _vectors(part, "vec")
         hit = np.triu(x @ x.T >= threshold, 1)
         if side is not None:
             hit &= side[:, None] != side[None, :]

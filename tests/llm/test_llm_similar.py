@@ -174,6 +174,15 @@ def test_isolated_pairs_at_the_threshold_are_found(spark, low, high):
     assert sum(r.n_links for r in rows) >= 0.985 * len(rows)
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    sets = [isolated_pairs(40, 16, 0.98, 0.99), isolated_pairs(25, 24, 0.98, 0.99), isolated_pairs(1, 3, 0.99, 0.99)]
+    vecs = [v.tolist() for s in sets for v in s] + [[1.0] * 5]
+    got = collision_dedup.near_duplicates(spark.createDataFrame(enumerate(vecs), "vec_id bigint, embedding array<double>")).collect()
+    unit = [np.array(v) / np.linalg.norm(v) for v in vecs]
+    want = expected(range(len(vecs)), lambda a, b: len(vecs[a]) == len(vecs[b]) and unit[a] @ unit[b] >= 0.95)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
 def test_empty_tables(spark, docs):
     assert forest_jaccard.similar_documents(docs([])).count() == 0
     assert collision_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
