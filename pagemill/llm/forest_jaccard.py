@@ -10,9 +10,9 @@ verified exactly on its shingle sets.
 Documents with the same shingle set are one class and counted, so copies are never paired. Texts are moved only for documents in a candidate group, once, and
 large groups are cut into tiles (``linking``). No pair becomes a row.
 
-Cases: null and empty texts have no shingle and link with nothing. Rows that repeat an id are one document, the one with the smallest
-digest if the texts differ, and come out as often as they went in. Rows without an id come out with no links and a null component, kept. Ties
-do not occur: the component is the smallest id. Other columns are not looked at.
+Cases: null and empty texts have no shingle and link with nothing. Rows that repeat an id and a shingle set are one document and come out as often
+as they went in; rows that repeat an id with another shingle set are another document, compared and judged for itself. Rows without an id come out with no links and a null component, kept. The
+component is the smallest id; of several documents with that id the one with the smallest digest is kept. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import WORD, stored
-from pagemill.llm.linking import classes_linked, components, spread_classes, verified
+from pagemill.llm.linking import classes_linked, components, verified
 
 SHINGLE = 5
 TREES, DEPTH = 20, 8
@@ -84,8 +84,13 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.sha1(shingles.tobytes()).digest()
 
 
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, t): hash tells the texts of one id apart."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("t"))
+
+
 def sketches(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, prefixes): key is the digest of the shingle set, null without shingles."""
+    """(id, hash, key, prefixes): hash is that of the text, key the digest of the shingle set, null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED + 1)
@@ -95,7 +100,7 @@ def sketches(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFra
         shingled = Shingles()
         for b in batches:
             keys, prefixes = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingled(t)
                 if not len(s):
                     keys.append(None)
@@ -105,12 +110,11 @@ def sketches(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFra
                 keys.append(_digest(s))
                 prefixes.append((labels * mix).sum(axis=1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "key", "prefixes"],
+                [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "hash", "key", "prefixes"],
             )
 
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return picked.mapInArrow(run, "id bigint, key binary, prefixes array<bigint>")
+    return hashed(docs, id_col, text_col).mapInArrow(run, "id bigint, hash bigint, key binary, prefixes array<bigint>")
 
 
 def similar_pairs(threshold: Fraction):
@@ -168,38 +172,80 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row. ``recall`` is that of a pair exactly at the threshold."""
+    """(id, n_links, component_id, kept, text_hash, digest) of every row. ``recall`` is that of a pair exactly at the threshold.
+
+    ``text_hash`` and ``digest``, of the shingle set, tell ``one_of_each`` the documents of one id apart.
+    """
     limit = Fraction(str(threshold))
     rows = stored(sketches(docs, prefix_depth(threshold, recall), id_col, text_col), "sketches")
-    owners = rows.where("id IS NOT NULL AND key IS NOT NULL").groupBy("id")
-    owners = owners.agg(F.min(F.struct("key", "prefixes")).alias("o")).select("id", "o.key", "o.prefixes")
-    owners = stored(owners, "owners")
+    owners = rows.where("id IS NOT NULL AND key IS NOT NULL").groupBy("id", "key")
+    owners = owners.agg(F.min("hash").alias("hash"), F.first("prefixes").alias("prefixes"))
     classes = owners.groupBy("key").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes")
+        F.min(F.struct("id", "hash")).alias("o"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes")
     )
-    classes = stored(classes, "classes")
-    nodes = classes.select("id", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = nodes.groupBy("tree", "prefix").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
+    # Classes are numbered, as several of them may begin with the same id; the number holds once it is stored.
+    node = F.monotonically_increasing_id().alias("node")
+    classes = stored(classes.select(node, "key", "o.id", "o.hash", "weight", "prefixes"), "classes")
+    nodes = classes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
+    heads = nodes.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = stored(heads.where("n > 1").select("tree", "prefix", "head"), "heads")
-    edges = nodes.join(heads, ["tree", "prefix"]).where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    groups = components(edges.distinct())
-    wanted = stored(groups.join(classes.select("id", "key", "weight"), "id"), "members")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    edges = nodes.join(heads, ["tree", "prefix"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    groups = components(edges.distinct()).withColumnRenamed("id", "node")
+    wanted = stored(groups.join(classes.select("node", "id", "hash", "key", "weight"), "node"), "members")
     # The same plan at every size: texts are shuffled once, whether or not the ids would fit a broadcast.
-    members = texts.join(wanted.hint("merge"), "id").select("component", "id", "weight", "key", "t")
-    linked = classes_linked(verified(members, similar_pairs(limit)))
-    return spread_classes(rows.select("id"), owners.select("id", "key"), classes, linked, id_col)
+    members = hashed(docs, id_col, text_col).join(wanted.hint("merge"), ["id", "hash"])
+    members = members.select("component", F.col("node").alias("id"), "weight", "key", "t")
+    linked = classes_linked(verified(members, similar_pairs(limit))).withColumnRenamed("id", "node")
+    return _spread(rows, classes, linked, id_col)
+
+
+def _spread(rows: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
+    """The result of every row, from (id, hash, key), (node, key, id, weight) and (node, links, component)."""
+    found = linked.join(classes.select("node", "id", "key"), "node")
+    first = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    found = found.join(first, "component").select("node", "links", "first")
+    result = classes.join(found, "node", "left").select(
+        "key",
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("first", F.struct("id", "key")).alias("first"),
+    )
+    alone = F.col("id").isNull() | F.col("key").isNull()
+    judged = rows.where(~alone).join(result, "key").select(
+        F.col("id").alias(id_col),
+        F.col("n_links").cast("bigint").alias("n_links"),
+        F.col("first.id").alias("component_id"),
+        F.coalesce((F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key")), F.lit(True)).alias("kept"),
+        F.col("hash").alias("text_hash"),
+        F.col("key").alias("digest"),
+    )
+    others = rows.where(alone).select(
+        F.col("id").alias(id_col),
+        F.lit(0).cast("bigint").alias("n_links"),
+        F.col("id").alias("component_id"),
+        F.lit(True).alias("kept"),
+        F.col("hash").alias("text_hash"),
+        F.coalesce("key", F.lit(b"")).alias("digest"),
+    )
+    return judged.unionByName(others)
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one row for each component; rows without an id all stay."""
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    again = ids.where("__n > 1").select("__id", F.lit(True).alias("__again"))
-    gone = found.where("NOT kept").select(F.col(id_col).alias("__id"), F.lit(True).alias("__gone")).distinct()
-    marks = stored(gone.join(again, "__id", "full"), "marks")
-    named = docs.where(F.col(id_col).isNotNull())
-    marked = named.join(marks.hint("merge"), F.col(id_col) == F.col("__id"), "left").where("__gone IS NULL")
+    rows = found.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.col("digest").alias("__digest"), "kept"
+    )
+    same = rows.where("kept").groupBy("__id", "__digest").agg(F.min("__hash").alias("__one"), F.count(F.lit(1)).alias("__n"))
+    same = stored(same.where("__n > 1").select("__id", "__digest", "__one"), "repeats")
+    other = rows.join(same, ["__id", "__digest"]).where("kept AND __hash <> __one").select("__id", "__hash")
+    gone = rows.where("NOT kept").select("__id", "__hash").unionByName(other).distinct()
+    gone = gone.withColumn("__gone", F.lit(True))
+    again = same.select("__id", F.col("__one").alias("__hash"), F.lit(True).alias("__again"))
+    marks = stored(gone.join(again, ["__id", "__hash"], "full"), "marks")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__text_hash", F.xxhash64(text_col))
+    here = (F.col(id_col) == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    marked = named.join(marks.hint("merge"), here, "left").where("__gone IS NULL")
     once = marked.where("__again IS NULL").select(docs.columns)
     if not marks.where("__again").isEmpty():
-        once = once.unionByName(marked.where("__again").select(docs.columns).dropDuplicates([id_col]))
+        repeated = marked.where("__again").dropDuplicates([id_col, "__text_hash"])
+        once = once.unionByName(repeated.select(docs.columns))
     return once.unionByName(docs.where(F.col(id_col).isNull()))

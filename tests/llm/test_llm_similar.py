@@ -102,6 +102,17 @@ def test_one_of_each_keeps_columns_and_rows_without_id(docs):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3]
 
 
+def test_different_texts_of_one_id_are_judged_for_themselves(docs):
+    one, two, three = text(60), text(60), text(60)
+    frame = docs([(5, one), (5, two), (5, two), (5, three), (6, edited(one, 1)), (7, two), (8, three.replace(" ", "  ")), (5, three + " ")])
+    found = forest_jaccard.similar_documents(frame)
+    digests = {r.text_hash: r for r in found.collect()}
+    assert len(digests) == 6  # three texts, an edit and two other spacings
+    assert sorted((r.doc_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == [(5, 1, 5, True)] * 5 + [(k, 1, 5, False) for k in (6, 7, 8)]
+    kept = [(r.doc_id, " ".join(r.text.split())) for r in forest_jaccard.one_of_each(frame, found).collect()]
+    assert sorted(kept) == sorted([(5, one), (5, two), (5, three)])
+
+
 def test_prefix_depth_meets_the_recall():
     for recall in (0.9, 0.99, 0.999):
         k = forest_jaccard.prefix_depth(0.8, recall)
