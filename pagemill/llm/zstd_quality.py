@@ -120,9 +120,9 @@ def fit_curve(x: np.ndarray, label: np.ndarray) -> tuple[tuple[float, float], fl
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, use: Column | None, id_col: str = "doc_id", rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """At most ``rows`` labelled texts: id, text and label. ``use`` is a condition on the label table's id column.
+    """At most ``rows`` labelled texts, each once however often its row is repeated: id, text and label. ``use`` is a condition on the label table's id column.
 
-    The label ids are narrowed to twice the bound before they meet the documents, so texts are not shuffled for it.
+    The label ids are narrowed to twice the bound before they meet the documents, so only their texts are shuffled.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if use is not None:
@@ -132,7 +132,7 @@ def labelled_sample(
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").alias("t")).where(
         F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS)
     )
-    found = texts.join(F.broadcast(few), "id")
+    found = texts.join(F.broadcast(few), "id").distinct()
     return found.orderBy(F.xxhash64("id", "t"), "id").limit(rows)
 
 

@@ -66,3 +66,11 @@ def test_weights_are_sparse(docs, labels):
     frame = docs([(k, good() if k % 2 else insult()) for k in range(200)])
     model = ftrl_toxicity.train(frame, labels([(k, 1, 1 - k % 2) for k in range(200)]))
     assert 0 < len(model.index) < 500
+
+
+def test_repeated_rows_take_one_place_in_the_sample(docs, labels):
+    rows = [(k, f"text {k}") for k in range(20)]
+    many = docs([*rows, *[row for row in rows for _ in range(30)], (3, "another")])
+    known = labels([(k, k % 2, 0) for k in range(20)])
+    got = zstd_quality.labelled_sample(many, known, "quality", None, rows=25).collect()
+    assert sorted((r["id"], r["t"], r["label"]) for r in got) == sorted([(k, t, k % 2) for k, t in rows] + [(3, "another", 1)])
