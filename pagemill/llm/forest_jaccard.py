@@ -1,9 +1,9 @@
-"""Similarity join on word shingles with a MinHash LSH forest (operator 4).
+"""Similarity join on word shingles with fixed MinHash bands in place of an LSH forest (operator 4).
 
 A document is the set of its five-word shingles (all words as one shingle where there are fewer). Two documents link if the Jaccard
-similarity of their sets is at least the threshold. Every document gets a MinHash signature, cut into ``TREES`` labels of ``DEPTH`` values; each tree is the trie of
-one label over all documents, kept as sorted prefixes. A pair meets in a tree if their labels share a prefix. Prefixes are shortened from the full label until a pair
-exactly at the threshold meets in some tree with the wanted recall; a shorter prefix would only add pairs to verify. All
+similarity of their sets is at least the threshold. Every document gets a MinHash signature of ``TREES`` bands. The length of a band is the
+longest, up to ``DEPTH`` values, with which a pair exactly at the threshold meets in some band with the wanted recall; it follows from threshold and recall alone.
+A pair meets in a band if all its values agree. The code calls a band a tree and its values a prefix, but keeps no tries and shortens nothing by the data. All
 documents below one prefix are joined to its smallest id, the components of these edges are the candidate groups, and inside them every pair is
 verified exactly on its shingle sets.
 
