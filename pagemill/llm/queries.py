@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import collision_dedup, dom_marginals, flow_mix, forest_jaccard, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe, rule_ledger, url_intervals, zstd_quality
+from pagemill.llm import collision_dedup, dom_marginals, flow_mix, forest_jaccard, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe
+from pagemill.llm import rule_ledger, source_audit, url_intervals, whole_tokens, zstd_quality
 from pagemill.llm.common import fold, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +169,44 @@ def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and lattice likelihoods of all documents, learned from the rows outside fold 2 of 7."""
     docs = table(spark, sf_dir, "documents")
     return lattice_lm.score_documents(docs, pieces_path(), fold(F.col("doc_id"), 7) == 2)
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(v, 0)::HUGEINT AS v, coalesce(t, 0)::HUGEINT AS t FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS t FROM c GROUP BY 1, 2) USING (lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (any_value(t) + 5 * any_value(v)) AS q FROM c JOIN v USING (lang)
+  JOIN (SELECT lang, sum(n) AS t FROM c GROUP BY 1) USING (lang) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (t + 5 * v) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a
+  JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a
+  JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (
+  PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x
+QUALIFY part = 'pair' OR rank <= 50""")
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language and their most outstanding terms, over all documents."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents."""
+    return whole_tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
