@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import collision_dedup, dom_marginals, flow_mix, forest_jaccard, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe
+from pagemill.llm import collision_dedup, collocations, dom_marginals, flow_mix, forest_jaccard, ftrl_toxicity, lattice_lm, page_labels, prefix_bpe
 from pagemill.llm import rule_ledger, source_audit, url_intervals, whole_tokens, zstd_quality
 from pagemill.llm.common import fold, table
 
@@ -210,3 +210,26 @@ def vocabulary_path() -> str:
 def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of all documents."""
     return whole_tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query(rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i : i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+x AS (SELECT c.*, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT x.lang, x.k, x.phrase, x.a, x.j, l.a AS l, r.a AS r, n, CAST((1000 * x.a::HUGEINT * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM x
+  JOIN f l ON l.lang = x.lang AND l.k = j AND l.phrase = array_to_string(ws[1 : j], ' ')
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - j AND r.phrase = array_to_string(ws[j + 1 :], ' ') JOIN n ON n.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 100 * b.a
+  AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+QUALIFY rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of each language over all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
