@@ -53,23 +53,35 @@ def split_valid_page_results(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("page_num IS NOT NULL"), df.where("page_num IS NULL")
 
 
-def partial_update(df: DataFrame, changes: DataFrame, key: str, supplied: str = "supplied") -> DataFrame:
-    """U4: only fields the change supplies change; the rest stay.
+def partial_update(
+    df: DataFrame, changes: DataFrame, key: str, supplied: str = "supplied", version: str | None = None
+) -> DataFrame:
+    """U4: only fields the change supplies change; the rest stay, and so does the number of rows.
 
-    ``changes`` holds at most one row per key. A column ``supplied`` names, as
-    an array, the fields of each change, which may then be null to clear the
-    stored value; without that column a null is a field not supplied.
+    A column ``supplied`` names, as an array, the fields of each change, which may then be null to clear the
+    stored value; without that column a null is a field not supplied. Several changes of one key are
+    taken in the order of the column ``version``, which must tell them apart, each field from the newest change that supplies it; without ``version``
+    the query fails on them. Changes without a key change nothing.
     """
-    fields = [c for c in changes.columns if c not in (key, supplied)]
-    new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
+    fields = [c for c in changes.columns if c not in (key, supplied, version)]
     if supplied in changes.columns:
-        named = F.coalesce(F.col(f"__{supplied}"), F.array().cast("array<string>"))
-        updated = {
-            c: F.when(F.array_contains(named, c), F.col(f"__{c}")).otherwise(F.col(c)) for c in fields
-        }
+        named = F.coalesce(F.col(supplied), F.array().cast("array<string>"))
+        given = {c: F.array_contains(named, c) for c in fields}
+    else:
+        given = {c: F.col(c).isNotNull() for c in fields}
+    value = {c: F.when(given[c], F.struct(F.col(c).alias("v"))) for c in fields}
+    if version:
+        newest = [F.max_by(value[c], F.when(given[c], F.col(version))).alias(f"__new {c}") for c in fields]
     else:
-        updated = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}
-    return df.join(new, key, "left").withColumns(updated).select(*df.columns)
+        newest = [F.max_by(value[c], given[c].cast("int")).alias(f"__new {c}") for c in fields]
+    new = changes.where(F.col(key).isNotNull()).groupBy(key).agg(*newest, F.count(F.lit(1)).alias("__changes of key"))
+    if not version:
+        repeated = F.raise_error(F.concat(F.lit("several changes of key "), F.col(key).cast("string"), F.lit(" and no version")))
+        new = new.withColumn("__changes of key", F.when(F.col("__changes of key") > 1, repeated.cast("bigint")).otherwise(F.col("__changes of key")))
+    updated = {c: F.when(F.col(f"__new {c}").isNotNull(), F.col(f"__new {c}")["v"]).otherwise(F.col(c)) for c in fields}
+    # The count is looked at in every matching row, so that repeats are noticed even where no field changes.
+    merged = df.join(new, key, "left").where("`__changes of key` IS NULL OR `__changes of key` > 0")
+    return merged.withColumns(updated).select(*df.columns)
 
 
 def soft_delete(files: DataFrame, keys: DataFrame, now: datetime | Column) -> DataFrame:

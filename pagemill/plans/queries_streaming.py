@@ -10,10 +10,12 @@ from pagemill.plans.registry import query
 from pagemill.session import scratch_dir
 from pagemill.sources import standins as s
 from pagemill.streaming import chunks as tc
+from pagemill.streaming import completions as tcomp
 from pagemill.streaming import feeds as tf
 from pagemill.streaming import snapshots as ts
 from pagemill.streaming import stream_rows as tr
 from pagemill.streaming import tables as tt
+from pagemill.streaming import upserts as tu
 
 
 def _paths(spark, name):
@@ -33,6 +35,18 @@ def followed_jobs(spark, sf_dir):
     return tf.followed_rows(spark, keys, version, path)
 
 
+@query("SELECT job_id, page_num, method, processing_time, completed_at, ocr_text, merge_text, is_done FROM v_pages "
+       "WHERE job_id IN (SELECT job_id FROM v_jobs)")
+def page_upsert_stream(spark, sf_dir):
+    """S8 as a stream: page writes in four micro-batches, upserted into a bucketed table."""
+    path, checkpoint = _paths(spark, "upserts")
+    keys = ["job_id", "page_num"]
+    changes = s.micro_batches(s.split_rows(s.page_changes(spark, sf_dir), "version", 4))
+    known = s.jobs(spark, sf_dir).select("job_id")
+    tu.write_upserts(changes, path, checkpoint, keys, F.col("version"), s.PAGE_COLUMNS, known, buckets=16).awaitTermination()
+    return tu.upserted_rows(spark, path, keys)
+
+
 _CHUNKS = """
 SELECT conv_id AS job_id, 1 AS page_num, 0::BIGINT AS part, string_agg(text, '' ORDER BY turn) AS text, count(*) AS chunks,
   count(*) AS tokens FROM conversations GROUP BY 1"""
@@ -59,7 +73,7 @@ def text_snapshot_stream(spark, sf_dir):
     path, checkpoint = _paths(spark, "snapshots")
     snapshots = ts.throttle_snapshot_stream(s.line_chunks(spark, sf_dir, s.stream_table), ms=100, tokens=4)
     tt.write_updates(snapshots, path, checkpoint).awaitTermination()
-    return tt.read_updates(spark, path).drop("batch_id")
+    return tt.stored_rows(spark, path)
 
 
 _STREAM_ROWS = """
@@ -103,6 +117,35 @@ def stream_rows_live(spark, sf_dir):
     return tt.current_rows(spark, path, tr.KEYS, ["seq"])
 
 
+@query(_STREAM_ROWS)
+def stream_rows_recovered(spark, sf_dir):
+    """T4 after a lost checkpoint: a new stream goes on from the rows that the first one stored, into the same table."""
+    base = scratch_dir(spark, "recovered")
+    path = f"{base}/table"
+    commands = s.stream_commands(spark, sf_dir)
+    early = F.col("updated_at") < F.lit("2024-01-15").cast("timestamp_ntz")
+    first = s.micro_batches([commands.where(early).coalesce(1)])
+    tt.write_updates(tr.current_stream_rows(first), path, f"{base}/first", mode="update").awaitTermination()
+    stored = stored_snapshot(tt.current_rows(spark, path, tr.KEYS, ["seq"]), f"{base}/initial")
+    rest = s.micro_batches(_by_time(commands.where(~early), ["2024-01-20", "2024-01-25"]))
+    tt.write_updates(tr.current_stream_rows(rest, initial=stored), path, f"{base}/second", mode="update").awaitTermination()
+    return tt.current_rows(spark, path, tr.KEYS, ["seq"])
+
+
+def stored_snapshot(df, path):
+    """The rows as of now: a table that is still written to can't be read along with the stream that writes it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _by_time(commands, days):
+    """Commands in order of time, cut at the given days; one file each."""
+    cuts = [F.lit(d).cast("timestamp_ntz") for d in days]
+    at = F.col("updated_at")
+    ranges = [at < cuts[0], *[(at >= a) & (at < b) for a, b in zip(cuts, cuts[1:])], at >= cuts[-1]]
+    return [commands.where(r).coalesce(1) for r in ranges]
+
+
 _FINISHED = "SELECT c_custkey FROM customer WHERE c_acctbal > 5000"
 
 
@@ -115,6 +158,22 @@ def cleared_streams(spark, sf_dir):
     return removed
 
 
+@query(f"SELECT job_id, CAST(count(*) AS BIGINT) AS removed FROM ({_STREAM_ROWS}) WHERE job_id IN ({_FINISHED}) GROUP BY 1")
+def cleared_streams_live(spark, sf_dir):
+    """T5 as a stream: commands in three micro-batches, then the ends of jobs in the same stream."""
+    path, checkpoint = _paths(spark, "cleared")
+    commands = s.stream_commands(spark, sf_dir)
+    ends = s.table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(
+        F.col("c_custkey").alias("job_id"), F.lit("finish").alias("kind"), F.lit(1 << 62).alias("order_no")
+    )
+    others = [F.lit(None).cast(t).alias(c) for c, t in commands.dtypes if c not in ends.columns]
+    ends = ends.select("*", *others).select([F.col(c).cast(t).alias(c) for c, t in commands.dtypes])
+    stream = s.micro_batches([*_by_time(commands, ["2024-01-10", "2024-01-20"]), ends.coalesce(1)])
+    tt.write_updates(tr.cleared_stream(stream), path, checkpoint, mode="update").awaitTermination()
+    removed = tt.stored_rows(spark, path).groupBy("job_id").agg(F.sum("removed").alias("removed"))
+    return removed.where("removed > 0")
+
+
 @query("""
 SELECT job_id, event_id, timestamp, cpu_percent FROM v_log
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY timestamp DESC, event_id DESC) = 1""")
@@ -123,7 +182,7 @@ def live_metrics(spark, sf_dir):
     path, checkpoint = _paths(spark, "live")
     log = s.log(spark, sf_dir, s.stream_table).select("job_id", "event_id", "timestamp", "cpu_percent")
     tf.live_latest(log, path, checkpoint, every_s=None).awaitTermination()
-    return tt.current_rows(spark, path, ["job_id"])
+    return tt.current_rows(spark, path, ["job_id"], ["timestamp", "event_id"])
 
 
 def _page_events(spark, sf_dir, read):
@@ -189,6 +248,20 @@ def completion_events(spark, sf_dir):
     return tf.completion_events(tf.stage_counts(spark, path), _job_totals(spark, sf_dir))
 
 
+@query(f"""
+SELECT job_id, 'merge' AS stage, ts AS timestamp, unnest(['stage_complete', 'job_complete']) AS event FROM {_JOB_PROGRESS} JOIN (
+  SELECT job_id, max(completed_at) AS ts FROM (SELECT job_id, page_num, max(completed_at) AS completed_at FROM v_changes
+    WHERE is_done GROUP BY 1, 2) GROUP BY 1) USING (job_id) WHERE done >= total""")
+def completion_stream(spark, sf_dir):
+    """T8 as a stream, job level: pages and totals in several micro-batches, each completion given out once."""
+    path, checkpoint = _paths(spark, "completions")
+    events = latest_rows(_page_events(spark, sf_dir, s.table), ["job_id", "stage", "page_num"], ["timestamp"])
+    pages = s.micro_batches(s.split_rows(events, "page_num", 3))
+    totals = s.micro_batches(s.split_rows(_job_totals(spark, sf_dir).select("job_id", "total_pages"), "job_id", 2))
+    tt.write_updates(tcomp.completion_stream(pages, totals), path, checkpoint).awaitTermination()
+    return tt.stored_rows(spark, path)
+
+
 @query("""
 SELECT job_id, page_num, stage, model, event, CASE event WHEN 'inference_start' THEN timestamp - to_microseconds(CAST(s * 1000000 AS BIGINT)) ELSE timestamp END AS timestamp,
   CASE WHEN event LIKE '%page_complete' THEN text END AS text, CASE WHEN event <> 'inference_start' THEN s END AS duration_seconds
@@ -207,7 +280,7 @@ def page_result_events(spark, sf_dir):
         F.concat(F.lit("page "), "event_id").alias("text"),
     )
     tt.write_updates(tf.page_result_events(pages), path, checkpoint).awaitTermination()
-    return tt.read_updates(spark, path).drop("batch_id")
+    return tt.stored_rows(spark, path)
 
 
 @query("""
@@ -217,4 +290,4 @@ def chunk_events(spark, sf_dir):
     path, checkpoint = _paths(spark, "chunk-events")
     events = tf.merge_chunk_events(s.line_chunks(spark, sf_dir, s.stream_table))
     tt.write_updates(events, path, checkpoint).awaitTermination()
-    return tt.read_updates(spark, path).drop("batch_id")
+    return tt.stored_rows(spark, path)

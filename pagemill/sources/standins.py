@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.times import moment
 from pagemill.operators.mutations import upsert
+from pagemill.session import scratch_dir
 
 EPOCH = datetime(2024, 1, 1)
 PAGE_VERSION = [
@@ -40,6 +41,23 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def micro_batches(parts: list[DataFrame]) -> DataFrame:
+    """A stream that brings the rows of each frame in turn, in micro-batches of at most one file.
+
+    The frames are staged as files one after the other; a file source takes the oldest first.
+    """
+    spark = parts[0].sparkSession
+    path = scratch_dir(spark, "micro-batches")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def split_rows(df: DataFrame, by: str, n: int) -> list[DataFrame]:
+    """The rows in ``n`` parts, by a hash of a column; each is one file when staged."""
+    return [df.where(F.pmod(F.xxhash64(by), F.lit(n)) == k).coalesce(1) for k in range(n)]
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"),

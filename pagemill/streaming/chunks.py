@@ -92,8 +92,9 @@ def reassemble_chunks(
     """Streaming form: the same columns, one row per part whenever it changes (update mode).
 
     State is keyed by part, so even a page with endless chunks is spread over
-    tasks and no key holds more than ``chunks_per_part`` of them. ``ttl_ms``
-    lets the state of finished pages expire.
+    tasks and no key holds more than ``chunks_per_part`` of them. With ``ttl_ms`` parts leave the
+    state so long after their last chunk; their text has been given out by then. Give it to streams that run on; a run that drains its source
+    and stops would wait for the clock for ever.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     types = dict(stream.dtypes)

@@ -142,43 +142,77 @@ def clear_streams(rows: DataFrame, finished_jobs: DataFrame) -> tuple[DataFrame,
     return rows.join(jobs, "job_id", "left_anti"), removed
 
 
+ROW = "stage string, text string, seq bigint, is_final boolean, error string, at bigint"
+#: Pages of a job are dealt into so many keys, so that a job with very many pages is spread over tasks.
+SLOTS = 16
+
+
+def applied(row: list | None, c: Row) -> list | None:
+    """The row of a page (stage, text, seq, is_final, error, at) after one command; None while there is none."""
+    if c.kind == "snapshot":
+        return [c.stage, c.snapshot_text, row[2] + 1 if row else 1, c.is_final, c.error, c.at]
+    if c.kind == "stage":
+        return [c.stage, row[1], row[2] + 1, row[3], row[4], c.at] if row else [c.stage, "", 0, False, None, c.at]
+    if row and c.kind == "complete":
+        return ["complete", c.snapshot_text, row[2] + 1, True, row[4], c.at]
+    if row and c.kind == "failed":
+        return ["failed", row[1], row[2] + 1, True, c.error, c.at]
+    return row
+
+
+def _out(key: tuple, row: list) -> Row:
+    names = ["stage", "snapshot_text", "seq", "is_final", "error", "at"]
+    return Row(**dict(zip([*KEYS, *names], [*key, *row])))
+
+
 class StreamRow(StatefulProcessor):
     """Keyed state of one page's row; emits the row after every micro-batch that changed it."""
 
-    def __init__(self, clear_when_final: bool) -> None:
-        self.clear_when_final = clear_when_final
+    def __init__(self, clear_when_final: bool, ttl_ms: int | None) -> None:
+        self.clear_when_final, self.ttl_ms = clear_when_final, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState(
-            "row", "stage string, text string, seq bigint, is_final boolean, error string, at bigint"
-        )
+        self.row = handle.getValueState("row", ROW, self.ttl_ms)
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        r = initialState
+        self.row.update((r.stage, r.snapshot_text, r.seq, r.is_final, r.error, r.at))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         row = list(self.row.get()) if self.row.exists() else None
         before = row[2] if row else None
         for c in sorted(rows, key=lambda r: r.order_no):
-            if c.kind == "snapshot":
-                row = [c.stage, c.snapshot_text, row[2] + 1 if row else 1, c.is_final, c.error, c.at]
-            elif c.kind == "stage":
-                row = [c.stage, row[1], row[2] + 1, row[3], row[4], c.at] if row else [c.stage, "", 0, False, None, c.at]
-            elif row and c.kind == "complete":
-                row = ["complete", c.snapshot_text, row[2] + 1, True, row[4], c.at]
-            elif row and c.kind == "failed":
-                row = ["failed", row[1], row[2] + 1, True, c.error, c.at]
+            row = applied(row, c)
         if row is None or row[2] == before:
             return
         if self.clear_when_final and row[3]:
             self.row.clear()
         else:
             self.row.update(tuple(row))
-        names = ["stage", "snapshot_text", "seq", "is_final", "error", "at"]
-        yield Row(**dict(zip([*KEYS, *names], [key[0], key[1], *row])))
+        yield _out((key[0], key[1]), row)
 
     def close(self) -> None:
         pass
 
 
-def current_stream_rows(commands: DataFrame, clear_when_final: bool = False) -> DataFrame:
+def _commands(commands: DataFrame) -> DataFrame:
+    return commands.select(
+        *KEYS, "order_no", "kind", "stage", "snapshot_text", F.coalesce("is_final", F.lit(False)).alias("is_final"),
+        "error", micros(F.col("updated_at")).alias("at"),
+    )
+
+
+def _schema(commands: DataFrame) -> str:
+    types = dict(commands.dtypes)
+    return (
+        f"job_id {types['job_id']}, page_num {types['page_num']}, stage string, snapshot_text string,"
+        " seq bigint, is_final boolean, error string, at bigint"
+    )
+
+
+def current_stream_rows(
+    commands: DataFrame, clear_when_final: bool = False, initial: DataFrame | None = None, ttl_ms: int | None = None
+) -> DataFrame:
     """T4: streaming form in update mode. A sink keeps the row with the greatest seq per page.
 
     Commands of one micro-batch are applied by ``order_no``; across batches the
@@ -186,21 +220,78 @@ def current_stream_rows(commands: DataFrame, clear_when_final: bool = False) ->
     limit the source; for pages hotter than that use ``apply_stream_commands`` in
     foreachBatch, which spreads a page over blocks. ``clear_when_final`` drops the state of a finished
     page (T5), which bounds it when no command follows the final one.
+
+    ``initial`` has the rows stored before, one per page: a stream that lost its checkpoint goes on from them, with
+    their seq, and counts on from there. With ``ttl_ms`` a page without a command for so long leaves the state. That is for streams that
+    run on: a run that drains its source and stops would wait for the clock for ever.
     """
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    types = dict(commands.dtypes)
-    schema = (
-        f"job_id {types['job_id']}, page_num {types['page_num']}, stage string, snapshot_text string,"
-        " seq bigint, is_final boolean, error string, at bigint"
-    )
-    rows = commands.select(
-        *KEYS, "order_no", "kind", "stage", "snapshot_text", F.coalesce("is_final", F.lit(False)).alias("is_final"),
-        "error", micros(F.col("updated_at")).alias("at"),
-    )
-    out = rows.groupBy(*KEYS).transformWithState(
-        statefulProcessor=StreamRow(clear_when_final),
-        outputStructType=schema,
+    stored = None
+    if initial is not None:
+        stored = initial.select(
+            *[F.col(k).cast(dict(commands.dtypes)[k]).alias(k) for k in KEYS], "stage", "snapshot_text",
+            F.col("seq").cast("bigint").alias("seq"), "is_final", "error", micros(F.col("updated_at")).alias("at"),
+        ).groupBy(*KEYS)
+    out = _commands(commands).groupBy(*KEYS).transformWithState(
+        statefulProcessor=StreamRow(clear_when_final, ttl_ms),
+        outputStructType=_schema(commands),
         outputMode="Update",
-        timeMode="None",
+        timeMode="ProcessingTime" if ttl_ms else "None",
+        initialState=stored,
     )
     return out.withColumn("updated_at", F.timestamp_micros("at").cast("timestamp_ntz")).drop("at")
+
+
+class JobRows(StatefulProcessor):
+    """State of the pages of one (job, slot). A finish command removes them and gives out how many they were."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", "page bigint", ROW, self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        commands = sorted(rows, key=lambda r: (r.order_no, r.kind == "finish"))
+        removed, changed = None, {}
+        for c in commands:
+            if c.kind == "finish":
+                removed = (removed or 0) + self._clear(changed)
+                changed = {}
+                continue
+            page = c.page_num
+            if page not in changed:
+                changed[page] = list(self.rows.getValue((page,))) if self.rows.containsKey((page,)) else None
+            changed[page] = applied(changed[page], c)
+        for page, row in changed.items():
+            if row is not None:
+                self.rows.updateValue((page,), tuple(row))
+        if removed is not None:
+            yield Row(job_id=key[0], slot=key[1], removed=removed)
+
+    def _clear(self, changed: dict) -> int:
+        held = {k[0] for k in self.rows.keys()}
+        self.rows.clear()
+        return len(held | {page for page, row in changed.items() if row is not None})
+
+    def close(self) -> None:
+        pass
+
+
+def cleared_stream(commands: DataFrame, slots: int = SLOTS, ttl_ms: int | None = None) -> DataFrame:
+    """T5 as a stream: (job_id, slot, removed) whenever a job ends, in update mode; the rows of a job are the sum over its slots.
+
+    Ends come in the stream of commands as kind ``finish`` with an ``order_no`` and no page; what follows one starts the job anew. A job's
+    pages are dealt into slots, each a key of its own, and its end goes to all of them.
+    """
+    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    own = F.array(F.pmod(F.xxhash64("page_num"), F.lit(slots)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(slots - 1))
+    rows = _commands(commands).withColumn("page_num", F.col("page_num").cast("bigint"))
+    rows = rows.select("*", F.explode(F.when(F.col("kind") == "finish", every).otherwise(own)).alias("slot"))
+    return rows.groupBy("job_id", "slot").transformWithState(
+        statefulProcessor=JobRows(ttl_ms),
+        outputStructType=f"job_id {dict(commands.dtypes)['job_id']}, slot int, removed bigint",
+        outputMode="Update",
+        timeMode="ProcessingTime" if ttl_ms else "None",
+    )

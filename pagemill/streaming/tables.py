@@ -1,18 +1,40 @@
 """Tables fed by a stream.
 
-Each micro-batch is written to its own folder, replaced whole when the batch is
-retried, so the sink is exactly-once. Readers take the newest row per key.
+Each micro-batch is written to its own folder, replaced whole when the batch is retried, so the sink is exactly-once. The folder carries the id
+of the streaming query, which lives in its checkpoint: a stream that starts anew numbers its batches from 0 again, and writes
+beside what earlier streams left. Readers take the newest row per key.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators.mutations import latest_rows
 
+#: Where a stored row came from: the query, its micro-batch, and when that was written.
+ORIGIN = ["query", "batch_id", "stored_us"]
+_WRITTEN = ["stored_us", "batch_id"]
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the streaming query that owns a checkpoint; it outlives restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def started(
+    stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every_s: float | None = None
+) -> StreamingQuery:
+    """Starts a stream whose micro-batches ``store`` takes in; without ``every_s`` it drains what is there and stops."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(store)
+    writer = writer.trigger(processingTime=f"{every_s} seconds") if every_s else writer.trigger(availableNow=True)
+    return writer.start()
+
 
 def write_updates(
     stream: DataFrame,
@@ -22,27 +44,35 @@ def write_updates(
     every_s: float | None = None,
     reduce: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Starts a stream into an update table; without ``every_s`` it drains what is there and stops."""
+    """Starts a stream into an update table."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = reduce(batch) if reduce else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = rows.withColumn("stored_us", F.lit(time.time_ns() // 1000))
+        rows.write.mode("overwrite").parquet(f"{path}/query={query_id(batch.sparkSession, checkpoint)}/batch_id={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(store)
-    writer = writer.trigger(processingTime=f"{every_s} seconds") if every_s else writer.trigger(availableNow=True)
-    return writer.start()
+    return started(stream, store, checkpoint, mode, every_s)
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """All stored updates with their ``batch_id``."""
+    """All stored updates with the columns of their origin."""
     return spark.read.parquet(path)
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All stored updates as the streams gave them."""
+    return read_updates(spark, path).drop(*ORIGIN)
+
+
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
-    """Newest row of each key, by the given version columns and then by micro-batch."""
-    return latest_rows(read_updates(spark, path), keys, [*version, "batch_id"]).drop("batch_id")
+    """Newest row of each key, by the given version columns and then by when it was stored."""
+    return latest_rows(read_updates(spark, path), keys, [*version, *_WRITTEN]).drop(*ORIGIN)
 
 
 def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], version: Sequence[str] = ()) -> None:
-    """Writes the current rows as one batch of a new table, to bound what readers scan."""
-    current_rows(spark, path, keys, version).write.mode("overwrite").parquet(f"{target}/batch_id=0")
+    """Writes the current rows as one batch of a new table, to bound what readers scan.
+
+    A stream may then go on into ``target`` with its old checkpoint: its next batches have folders of their own, and their rows are newer.
+    """
+    newest = latest_rows(read_updates(spark, path), keys, [*version, *_WRITTEN]).drop("query", "batch_id")
+    newest.write.mode("overwrite").parquet(f"{target}/query=compacted/batch_id=0")
