@@ -21,12 +21,12 @@ go to the smaller item in UTF-8 order. Very long texts and terms are taken whole
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,20 +39,15 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTHING = 5
-FIRST_LEVEL = 4
+FIRST_LEVEL = 6
 #: Terms of a block and sources of a tile.
 BLOCK, TILE = 4096, 64
-_HELD = 500_000
+_BYTES = 16 << 20
 _END = b"\0"
 #: Bytes of terms stay, A to Z become small letters, all others become spaces.
 _TO_TERMS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
 
 
-def terms_of(text: str) -> list[bytes]:
-    """The terms of a text in UTF-8, in order."""
-    return text.encode("utf-8").translate(_TO_TERMS).split()
-
-
 def _hash(lang: str, key: bytes) -> int:
     return xxhash.xxh64_intdigest(key, xxhash.xxh64_intdigest(lang.encode("utf-8")))
 
@@ -62,64 +57,100 @@ def _hashes(b: pa.RecordBatch) -> np.ndarray:
     return np.fromiter((_hash(lang, key) for lang, key in keys), np.uint64, b.num_rows)
 
 
-class Wanted:
-    """Whether the prefix of a term passes the filter of the level before; answers are remembered for a bounded number of terms."""
-
-    def __init__(self, bits: np.ndarray | None, length: int | None) -> None:
-        self.bits, self.length = bits, length
-        self.known: dict[tuple[str, bytes], bool] = {}
-
-    def __call__(self, lang: str, terms: set[bytes]) -> list[bytes]:
-        if self.bits is None:
-            return list(terms)
-        known = self.known
-        new = [t for t in terms if (lang, t) not in known]
-        if new:
-            if len(known) > _HELD:
-                known.clear()
-                new = list(terms)
-            asked = np.fromiter((_hash(lang, prefix(t, self.length)) for t in new), np.uint64, len(new))
-            known.update(zip([(lang, t) for t in new], passes(self.bits, asked).tolist()))
-        return [t for t in terms if known[lang, t]]
-
-
 def prefix(term: bytes, length: int | None) -> bytes:
     """The first bytes of a term with its end mark: where the mark is among them the term is complete. Without a length, the term alone."""
     return term if length is None else (term + _END)[:length]
 
 
-def _counts(found: Counter, names: list[str]) -> pa.RecordBatch:
-    keys = list(zip(*found)) or [()] * (len(names) - 1)
-    kinds = [pa.string()] * (len(names) - 2) + [pa.binary()]
-    return pa.RecordBatch.from_arrays([*map(pa.array, keys, kinds), pa.array(list(found.values()), pa.int64())], names=names)
-
-
-def _prefix_counts(batches: Iterator[pa.RecordBatch], length: int, wanted: Wanted) -> Iterator[pa.RecordBatch]:
-    """(lang, prefix, documents) of a task, in parts of bounded size; complete terms of earlier levels are left out."""
-    found: Counter = Counter()
-    done = wanted.length or 0
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            terms = wanted(lang, {t for t in terms_of(text) if len(t) >= done})
-            found.update((lang, p) for p in {prefix(t, length) for t in terms})
-            if len(found) > _HELD:
-                yield _counts(found, ["lang", "prefix", "n"])
-                found.clear()
-    yield _counts(found, ["lang", "prefix", "n"])
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch], wanted: Wanted) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, occurrences) of a task, in parts of bounded size."""
-    found: Counter = Counter()
+@dataclass
+class Block:
+    """The terms of many documents of one language: the term at each place and the document it stands in."""
+
+    lang: str
+    terms: list[bytes]
+    ids: np.ndarray
+    document: np.ndarray
+    sources: list[str]
+
+    def wanted(self, bits: np.ndarray | None, length: int | None) -> np.ndarray:
+        """For each term, whether it is new at this level and its prefix passed the level before."""
+        sizes = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
+        good = sizes >= (length or 1)
+        if bits is not None:
+            seed = xxhash.xxh64_intdigest(self.lang.encode("utf-8"))
+            at = np.flatnonzero(good)
+            asked = (xxhash.xxh64_intdigest(prefix(self.terms[k], length), seed) for k in at.tolist())
+            good[at] = passes(bits, np.fromiter(asked, np.uint64, len(at)))
+        return good
+
+
+def block_of(lang: str, texts: list[bytes], sources: list[str]) -> Block:
+    """The terms of the texts, numbered."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    codes = split.flatten().dictionary_encode()
+    document = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    return Block(lang, codes.dictionary.cast(pa.large_binary()).to_pylist(), codes.indices.to_numpy().astype(np.int64), document, sources)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of bounded size, by language, from batches (lang, source, text)."""
+    held: dict[str, tuple[list[bytes], list[str]]] = {}
+    size = 0
     for b in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
-            own = Counter(terms_of(text))
-            for t in wanted(lang, set(own)):
-                found[lang, source, t] += own[t]
-            if len(found) > _HELD:
-                yield _counts(found, ["lang", "source", "term", "n"])
-                found.clear()
-    yield _counts(found, ["lang", "source", "term", "n"])
+            texts, sources = held.setdefault(lang, ([], []))
+            texts.append(text.encode("utf-8").translate(_TO_TERMS))
+            sources.append(source)
+            size += len(texts[-1]) + 64
+            if size >= _BYTES:
+                yield from (block_of(lang, *of_lang) for lang, of_lang in held.items())
+                held, size = {}, 0
+    yield from (block_of(lang, *of_lang) for lang, of_lang in held.items())
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, dtype=np.int64)
+    return codes[first], np.diff(first, append=len(codes))
+
+
+def _prefix_counts(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | None, done: int | None) -> Iterator[pa.RecordBatch]:
+    """(lang, prefix, documents) of the blocks of a task: every document counts once for each of its prefixes.
+
+    Terms shorter than the level before, ``done``, were complete there.
+    """
+    for b in blocks(batches):
+        prefixes: dict[bytes, int] = {}
+        of_term = np.full(len(b.terms), -1, dtype=np.int64)
+        for k in np.flatnonzero(b.wanted(bits, done)).tolist():
+            of_term[k] = prefixes.setdefault(prefix(b.terms[k], length), len(prefixes))
+        at = of_term[b.ids]
+        new = at >= 0
+        once, _ = distinct(b.document[new] << 32 | at[new])
+        n = np.bincount(once & 0xFFFFFFFF, minlength=len(prefixes))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b.lang] * len(prefixes), pa.string()), pa.array(list(prefixes), pa.binary()), pa.array(n.astype(np.int64))],
+            names=["lang", "prefix", "n"],
+        )
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, occurrences) of the blocks of a task."""
+    for b in blocks(batches):
+        names = {s: k for k, s in enumerate(dict.fromkeys(b.sources))}
+        of_document = np.fromiter((names[s] for s in b.sources), np.int64, len(b.sources))
+        good = b.wanted(bits, None)[b.ids]
+        found, n = distinct(of_document[b.document[good]] << 32 | b.ids[good])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([b.lang] * len(found), pa.string()),
+                pa.array(list(names), pa.string()).take(pa.array(found >> 32)),
+                pa.array(b.terms, pa.binary()).take(pa.array(found & 0xFFFFFFFF)),
+                pa.array(n.astype(np.int64)),
+            ],
+            names=["lang", "source", "term", "n"],
+        )
 
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
@@ -128,13 +159,13 @@ def _rows(docs: DataFrame, *names: str) -> DataFrame:
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST_LEVEL) -> DataFrame:
     """(lang, term as bytes, n_docs) of the terms that at least ``min_docs`` documents of a language hold."""
-    texts = _rows(docs, "lang", "text")
+    texts = _rows(docs, "lang", "source", "text")
     send = docs.sparkSession.sparkContext.broadcast
     levels, length, wanted = [], first, send((None, None))
     while True:
 
         def count(batches: Iterator[pa.RecordBatch], length=length, wanted=wanted) -> Iterator[pa.RecordBatch]:
-            return _prefix_counts(batches, length, Wanted(*wanted.value))
+            return _prefix_counts(batches, length, *wanted.value)
 
         partial_counts = texts.mapInArrow(count, "lang string, prefix binary, n bigint")
         level = partial_counts.groupBy("lang", "prefix").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
@@ -154,10 +185,10 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST_LEV
 
 def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) of the kept terms that occur in a group."""
-    wanted = docs.sparkSession.sparkContext.broadcast((key_filter(kept.select("lang", "term"), _hashes), None))
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(kept.select("lang", "term"), _hashes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _term_counts(batches, Wanted(*wanted.value))
+        return _term_counts(batches, wanted.value)
 
     found = _rows(docs, "lang", "source", "text").mapInArrow(count, "lang string, source string, term binary, n bigint")
     found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
