@@ -10,7 +10,8 @@ from pagemill.operators.jobs import choose_model
 from pagemill.operators.mutations import upsert_page_results
 from pagemill.operators.prompts import resolve_prompts
 from pagemill.operators.scoring import LoadFn, score_pages
-from pagemill.sources.cache import read_ocr_cache, write_ocr_cache
+from pagemill.session import path_exists
+from pagemill.sources.cache import KEYS, read_ocr_cache, write_ocr_cache
 
 
 def stage_one(
@@ -52,6 +53,27 @@ def stage_one(
     return merged, missing
 
 
+def stage_texts(
+    pages: DataFrame, inputs: list[str], load: LoadFn, prompt_type: str, path: str, run: int, name: str
+) -> DataFrame:
+    """``pages`` with the model's text as ``name``, null where the model failed, by way of a stage table at ``path``.
+
+    The table is a barrier: each page meets the model once, however many results are read from here, and a job that fails later keeps what the
+    model gave. A call with a higher ``run`` leaves out pages with a success in an earlier run on the same ``inputs``.
+    """
+    spark = pages.sparkSession
+    asked = pages.withColumn("__asked", F.xxhash64(*inputs))
+    keys = [*KEYS, "__asked"]
+    to_do = asked
+    if run > 1 and path_exists(spark, path):
+        done = read_ocr_cache(spark, path, before_run=run).where("success")
+        to_do = asked.join(done.select(keys), keys, "left_anti")
+    given = score_pages(to_do, load, prompt_type).select(*keys, "text", "success", "error")
+    write_ocr_cache(given, path, run)
+    texts = read_ocr_cache(spark, path).where("success").select(*keys, F.col("text").alias(name))
+    return asked.join(texts, keys, "left").drop("__asked")
+
+
 def _by_rule() -> Column:
     return (
         F.when(F.col("route") == "ocr", F.coalesce("ocr_text", F.lit("")))
@@ -114,7 +136,8 @@ def two_stage_documents(
     output_format; each page meets its job's merge model and prompt. Pages with
     both texts go to the merge model, which gets merge_model, prompt, embedded_text
     and ocr_text; where it fails the rule merge stands in. Formats other than
-    text go to the format model, and keep the merged text where that fails.
+    text go to the format model, and keep the merged text where that fails. Both models write stage tables beside ``cache_path``, so
+    that each page meets them once and a resumed job does not ask them again.
     Returns document parts, the page results upserted into ``current`` and the
     pages without a result.
     """
@@ -125,25 +148,23 @@ def two_stage_documents(
     ).select("job_id", F.col("model").alias("merge_model"), "prompt", "output_format")
     ready = merged.join(asked, "job_id").withColumn("by_rule", _by_rule())
 
-    def merge_hybrids():
-        merge = load_merge()
-        return lambda row: merge(row) if row["route"] == "hybrid" else row["by_rule"]
-
-    def format_wanted():
-        shape = load_format()
-        return lambda row: row["merged"] if row["output_format"] == "text" else shape(row)
-
-    keys = ["job_id", "page_num", "route", "processing_time", "ocr_text", "output_format"]
-    second = score_pages(ready, merge_hybrids, "merge")
-    text = F.when(F.col("success"), F.col("text")).otherwise(F.col("by_rule"))
-    shaped = score_pages(second.select(*keys, text.alias("merged")), format_wanted, "format")
+    hybrid = F.col("route") == "hybrid"
+    to_merge = ready.where(hybrid).select(*KEYS, "merge_model", "prompt", "embedded_text", "ocr_text", "by_rule", "route", "output_format")
+    merged_texts = stage_texts(
+        to_merge, ["merge_model", "prompt", "embedded_text", "ocr_text"], load_merge, "merge", f"{cache_path}-merge", run, "merged"
+    )
+    keys = [*KEYS, "route", "processing_time", "ocr_text", "output_format"]
+    second = ready.join(merged_texts.select(*KEYS, "merged"), KEYS, "left").select(*keys, F.coalesce("merged", "by_rule").alias("merged"))
+    to_format = second.where("output_format IS DISTINCT FROM 'text'").select(*KEYS, "output_format", "merged", "route", "ocr_text")
+    formatted = stage_texts(to_format, ["output_format", "merged"], load_format, "format", f"{cache_path}-format", run, "formatted")
+    shaped = second.join(formatted.select(*KEYS, "formatted"), KEYS, "left")
     final = shaped.select(
         "job_id",
         "page_num",
         F.col("route").alias("method"),
         (F.coalesce("processing_time", F.lit(0.0)) if timed else F.lit(0.0)).alias("processing_time"),
         "ocr_text",
-        F.when(F.col("success"), F.col("text")).otherwise(F.col("merged")).alias("merge_text"),
+        F.coalesce("formatted", "merged").alias("merge_text"),
     )
     results = upsert_page_results(
         final.withColumn("run", F.lit(run)),

@@ -15,6 +15,8 @@ from pagemill.operators import documents as od
 from pagemill.operators import jobs as oj
 from pagemill.operators import mutations as om
 from pagemill.plans.registry import query
+from pagemill.session import scratch_dir
+from pagemill.sources import clustered as cl
 from pagemill.sources import standins as s
 
 NOW = datetime(2024, 1, 1, 12, 0, 0)
@@ -30,6 +32,14 @@ def job_by_id(spark, sf_dir):
     return oc.get_by_id(s.jobs(spark, sf_dir), "job_id", 77)
 
 
+@query("SELECT * FROM v_jobs WHERE job_id = 77")
+def job_by_id_clustered(spark, sf_dir):
+    """F1, S3: jobs stored by their id; the lookup reads one row group."""
+    path = scratch_dir(spark, "jobs-by-id")
+    cl.write_clustered(s.jobs(spark, sf_dir), path, ["job_id"])
+    return oc.get_by_id(cl.lookup(spark, path, "job_id", [77]), "job_id", 77)
+
+
 @query("""
 SELECT * FROM v_jobs WHERE status = 'completed' AND model = 'qwen3-vl-8b' ORDER BY job_id LIMIT 100""")
 def filtered_jobs(spark, sf_dir):

@@ -13,6 +13,7 @@ from pagemill.functions.times import moment
 from pagemill.operators import monitoring as om
 from pagemill.plans.registry import query
 from pagemill.session import scratch_dir
+from pagemill.sources import clustered as cl
 from pagemill.sources import files as sf
 from pagemill.sources import logs as sl
 from pagemill.sources import standins as s
@@ -29,6 +30,27 @@ def metrics_history(spark, sf_dir):
     return rows.select("event_id", "job_id", "timestamp", "event_type")
 
 
+@query("""
+SELECT event_id, job_id, timestamp, event_type FROM v_log
+WHERE timestamp >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 600 MINUTE AND event_type = 'stage_transition'""")
+def recent_log(spark, sf_dir):
+    """The log stored by day; the bound on time leaves out the folders of earlier days."""
+    path = scratch_dir(spark, "log-by-day")
+    cl.write_log_by_day(s.log(spark, sf_dir), path)
+    log = cl.read_log_since(spark, path, cl.history_cutoff(NOW, 600))
+    return om.metrics_history(log, NOW, 600, event_type="stage_transition").select("event_id", "job_id", "timestamp", "event_type")
+
+
+@query("""
+SELECT event_id, job_id, event_type, timestamp AS created_at FROM v_log WHERE job_id = 7 ORDER BY created_at, event_id LIMIT 100""")
+def events_of_job_clustered(spark, sf_dir):
+    """O2, S3: events stored by job; the filter reads the row groups of the job."""
+    path = scratch_dir(spark, "events-by-job")
+    events = s.log(spark, sf_dir).select("event_id", "job_id", "event_type", F.col("timestamp").alias("created_at"))
+    cl.write_clustered(events, path, ["job_id", "created_at", "event_id"])
+    return om.job_events(cl.lookup(spark, path, "job_id", [7]), 7, limit=100)
+
+
 @query("""
 SELECT event_id, job_id, timestamp, page_number, page_duration_s FROM v_log
 WHERE event_type = 'page_completion' AND stage = 'merge'""")

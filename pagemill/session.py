@@ -45,6 +45,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if there is a file or folder at ``path``, on whatever file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Makes DataFrame.checkpoint() usable when the session named no folder."""
     context = spark.sparkContext

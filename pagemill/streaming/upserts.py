@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
+from pagemill.session import path_exists
 from pagemill.streaming.tables import started
 
 BUCKETS = 64
@@ -59,7 +60,7 @@ def upsert_changes(
         if not touched:
             return
         rows = new
-        if exists(spark, path):
+        if path_exists(spark, path):
             old = _stored(spark, path, new.schema).where(F.col(BUCKET).isin(touched))
             rows = old.select(new.columns).unionByName(new)
         writer = _merged(rows, keys, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -68,12 +69,6 @@ def upsert_changes(
         new.unpersist()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """True if there is a folder at ``path``, on whatever file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def write_upserts(
     stream: DataFrame,
     path: str,
