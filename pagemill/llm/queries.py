@@ -133,7 +133,7 @@ spots AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i +
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  upper(t) = t AS no_lower,
+  upper(t) = t AND lower(t) <> t AS no_lower,
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   coalesce(spots.n, 0) AS n_repeat_words FROM w LEFT JOIN spots USING (r)),
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT

@@ -107,7 +107,7 @@ def measurements(text: Column) -> Column:
             F.size(ws).cast("bigint").alias("n_words"),
             F.length(F.array_join(ws, "")).cast("bigint").alias("word_chars"),
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-            (F.upper(t) == t).alias("no_lower"),
+            ((F.upper(t) == t) & (F.lower(t) != t)).alias("no_lower"),
             F.size(ls).cast("bigint").alias("n_lines"),
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
             _repeated_words(ws).alias("n_repeat_words"),

@@ -36,6 +36,13 @@ def test_bits_follow_the_rules(docs):
     assert got[10].failed_bits & R.mask(["few_words"]) == 0
 
 
+def test_scripts_without_case_are_not_held_to_it(docs):
+    words = "שלום עולם טוב היום גשם"
+    text = " ".join(f"{words.split()[k % 5]}{words.split()[(k * 7 + 1) % 5]}{words.split()[k // 5 % 5]}{words.split()[k // 25]}" for k in range(120))
+    got = {r.doc_id: r.failed_bits for r in R.ledger(docs([(1, text), (2, "ABC " + text)])).collect()}
+    assert got[1] & R.mask(["no_lower_case"]) == 0 and got[2] & R.mask(["no_lower_case"])
+
+
 def test_ablations_match_brute_force(docs):
     ledger = R.ledger(docs(list(enumerate(TEXTS)) * 2))
     bits = [r.failed_bits for r in ledger.collect()]
