@@ -200,10 +200,10 @@ def mix(
         .groupBy("pattern_id")
         .applyInPandas(_plan, "size_class int, whole int, last_bucket int, pattern_id int")
         .join(F.broadcast(want), "pattern_id")
-        .select("pattern", "size_class", "whole", "last_bucket")
+        .select(*[F.col(c).alias(f"__{c}") for c in ("pattern", "size_class", "whole", "last_bucket")])
     )
-    copies = F.coalesce(F.col("whole") + (F.col("__bucket") <= F.col("last_bucket")).cast("int"), F.lit(0))
-    same = F.col("__members").eqNullSafe(F.col("pattern")) & (F.col("__class") == F.col("size_class"))
+    copies = F.coalesce(F.col("__whole") + (F.col("__bucket") <= F.col("__last_bucket")).cast("int"), F.lit(0))
+    same = F.col("__members").eqNullSafe(F.col("__pattern")) & (F.col("__class") == F.col("__size_class"))
     joined = marked.join(F.broadcast(plan), same, "left")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, "__members", "__size", copies.alias("__copies")), list(zip(names, sizes, goals))

@@ -101,3 +101,16 @@ def test_empty_tables(docs):
     assert mixed.count() == 0 and sources == []
     mixed, _ = flow_mix.mix_by_source(docs([(1, None), (2, "")]))
     assert [r["__copies"] for r in mixed.collect()] == [0, 0]
+
+
+def test_columns_named_as_inner_ones(spark, docs):
+    names = ["pattern", "whole", "size_class", "last_bucket", "bucket", "words", "want", "pattern_id"]
+    frame = docs([(k, "a b c " * (k % 5 + 1), f"s{k % 3}") for k in range(30)])
+    clashing = frame.selectExpr("*", *[f"'x' AS {n}" for n in names])
+    plain = {r.doc_id: r["__copies"] for r in flow_mix.mix_by_source(frame)[0].collect()}
+    mixed = flow_mix.mix_by_source(clashing)[0]
+    assert {r.doc_id: r["__copies"] for r in mixed.collect()} == plain
+    assert set(names) <= set(mixed.columns)
+    import corpus_pipeline
+
+    assert corpus_pipeline.mix_sources(spark, clashing, "").columns == clashing.columns
