@@ -17,9 +17,9 @@ Equal vectors are made one first and counted, so copies cost nothing; large grou
 Vectors link only with those of their own length. Every length has a plan for its own number of vectors, and cells of different lengths never meet.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; they come
-out alone. Rows that repeat an id are one vector, the one with the smallest
-digest if they differ, and come out as often as they went in. Rows without an id come
-out with no links and a null component, kept. Other columns are not looked at.
+out alone. Rows that repeat an id and a vector are one vector and come out as often as they went in; rows that repeat an id with another
+vector are another vector, compared for itself. Rows without an id are compared too, each a vector of its own; their component is the smallest id they reach, null if there is none,
+and they are kept only then. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
-from pagemill.llm.linking import classes_linked, components, group_starts, labels_of, sorted_groups, spread_classes, tiles, verified
+from pagemill.llm.linking import classes_linked, components, group_starts, labels_of, sorted_groups, tiles, verified
 
 #: Window of a cell and of a count, in deviations of a pair at the threshold.
 CELL_WIDTH, WINDOW = 4.0, 2.0
@@ -114,7 +114,7 @@ def keyed(frame: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    usable = F.col("id").isNotNull() & F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0)
+    usable = F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0)
     text = F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), " ")
     return frame.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).select(
         "id", "vec", F.when(usable, F.when(norm > 0, F.sha2(text, 256))).alias("key")
@@ -211,12 +211,14 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row. ``recall`` is that of a pair exactly at the threshold."""
     rows = stored(keyed(frame, id_col, vec_col), "vectors")
-    owners = rows.where("key IS NOT NULL").groupBy("id").agg(F.min(F.struct("key", "vec")).alias("o"))
-    owners = stored(owners.select("id", "o.key", "o.vec"), "vector-owners")
+    owners = rows.where("key IS NOT NULL").groupBy("key", F.col("id").alias("own")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")
+    )
     classes = owners.groupBy("key").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")
+        F.min("own").alias("own"), F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(1)).alias("weight"), F.first("vec").alias("vec")
     )
-    classes = stored(classes, "vector-classes")
+    # Classes are numbered, as several of them may begin with the same id, or with none; the number holds once it is stored.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "own", "weight", "vec"), "vector-classes")
     dims = classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()
     if dims:
         plans = {r["dim"]: Plan.of(r["n"], r["dim"], threshold, recall) for r in dims}
@@ -233,4 +235,16 @@ def near_duplicates(
         return np.nonzero(hit)
 
     linked = classes_linked(verified(members, close))
-    return spread_classes(rows.select("id"), owners.select("id", "key"), classes, linked, id_col)
+    found = linked.join(classes.select("id", "own"), "id")
+    least = found.groupBy("component").agg(F.min("own").alias("least"))
+    found = found.join(least, "component").select("id", "links", "least")
+    result = classes.join(found, "id", "left").select(
+        "key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "own").alias("component_id")
+    )
+    component = F.coalesce("component_id", "id")
+    return rows.select("id", "key").join(result, "key", "left").select(
+        F.col("id").alias(id_col),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        component.alias("component_id"),
+        F.when(component.isNull(), True).otherwise(F.coalesce(F.col("id") == component, F.lit(False))).alias("kept"),
+    )

@@ -142,16 +142,19 @@ def test_vectors_match_brute_force(spark):
     want = expected(list(unit), lambda a, b: unit[a] @ unit[b] >= 0.95)
     frame = spark.createDataFrame([*rows, *BROKEN, rows[7], (None, rows[7][1])], "vec_id bigint, embedding array<float>")
     frame = frame.selectExpr("*", "1 AS id", "'x' AS key", "2 AS component")
-    exact = {r.vec_id: np.array(r.embedding, dtype=float) for r in frame.collect() if r.vec_id is not None and r.vec_id < 900}
+    no_id = 10**9  # stands for the row without an id, which is never the smallest
+    exact = {no_id if r.vec_id is None else r.vec_id: np.array(r.embedding, dtype=float) for r in frame.collect() if r.vec_id is None or r.vec_id < 900}
     unit = {i: v / np.linalg.norm(v) for i, v in exact.items()}
     want = expected(list(unit), lambda a, b: unit[a] @ unit[b] >= 0.95)
     got = collision_dedup.near_duplicates(frame).collect()
     assert len(got) == len(rows) + len(BROKEN) + 2
-    found = sum(r.n_links for r in got if r.vec_id in want)
+    found = sum({r.vec_id: r.n_links for r in got if r.vec_id is None or r.vec_id < 900}.values())
     true = sum(w[0] for w in want.values())
     assert found >= 0.98 * true
     for r in got:
-        if r.vec_id is None or r.vec_id >= 900:
+        if r.vec_id is None:
+            assert 0 < r.n_links <= want[no_id][0] and r.component_id == want[no_id][1] and not r.kept
+        elif r.vec_id >= 900:
             assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
         else:
             assert r.n_links <= want[r.vec_id][0]
@@ -159,6 +162,18 @@ def test_vectors_match_brute_force(spark):
             assert r.component_id == 5
 
 
+def test_every_vector_of_an_id_is_compared(spark):
+    a, b, c = ([float(k == i) for k in range(16)] for i in range(3))
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (3, near(b)), (None, near(c)), (None, c), (4, [1.0] * 16)]
+    got = collision_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got) == [
+        (0, 1, None, True), (0, 1, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)
+    ]
+    empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert collision_dedup.near_duplicates(empty).count() == 0
+
+
 @pytest.mark.parametrize("n", [10, 10_000, 10**9])
 def test_plan_meets_the_recall_at_every_size(n):
     p = collision_dedup.Plan.of(n, 64, 0.95, 0.99)
