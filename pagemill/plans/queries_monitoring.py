@@ -11,6 +11,7 @@ from pagemill.functions import progress as fp
 from pagemill.functions import text as ft
 from pagemill.functions.times import moment
 from pagemill.operators import monitoring as om
+from pagemill.operators import rollups as ro
 from pagemill.plans.registry import query
 from pagemill.session import scratch_dir
 from pagemill.sources import clustered as cl
@@ -199,6 +200,39 @@ def request_telemetry(spark, sf_dir):
     return om.request_telemetry(requests).withColumn("avg_time", F.round("avg_time", 6))
 
 
+def _rollup(spark, sf_dir):
+    """The log rolled up in two runs, each with whole days."""
+    path = scratch_dir(spark, "rollup")
+    log = s.log(spark, sf_dir)
+    early = F.col("timestamp") < F.lit("2024-01-12").cast("timestamp_ntz")
+    ro.write_rollup(log.where(early), path)
+    ro.write_rollup(log.where(~F.coalesce(early, F.lit(False))), path)
+    return ro.read_rollup(spark, path)
+
+
+@query("""
+SELECT coalesce(stage, 'other') AS model, count(*) FILTER (event_type <> 'error') AS request_count,
+  count(*) FILTER (event_type = 'error') AS error_count,
+  round(coalesce(avg(page_duration_s) FILTER (event_type <> 'error'), 0), 6) AS avg_time FROM v_log GROUP BY 1""")
+def rolled_up_telemetry(spark, sf_dir):
+    """A15 from daily partials."""
+    return ro.telemetry(_rollup(spark, sf_dir)).withColumn("avg_time", F.round("avg_time", 6))
+
+
+@query("""
+SELECT count(DISTINCT gpu_id) AS total_gpus, round(avg(cpu_percent), 1) AS avg_cpu, round(avg(ram_percent), 1) AS avg_ram
+FROM v_log""")
+def rolled_up_dashboard(spark, sf_dir):
+    """A20 from daily partials."""
+    return ro.averages(_rollup(spark, sf_dir)).drop("about_jobs")
+
+
+@query("SELECT min(timestamp) AS start, max(timestamp) AS \"end\", count(*) AS duration_seconds FROM v_log")
+def rolled_up_time_range(spark, sf_dir):
+    """A18 from daily partials."""
+    return ro.time_range(_rollup(spark, sf_dir))
+
+
 @query("""
 WITH p AS (SELECT coalesce(stage, 'other') AS model, page_number % 3 AS dpi, page_duration_s AS peak,
     progress_pct AS forecast, timestamp FROM v_log),
