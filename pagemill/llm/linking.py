@@ -10,42 +10,83 @@ A group of any size is split into chunks of at most ``CHUNK`` members, and every
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
 
 CHUNK = 512
+#: Edges that a task holds at a time.
+EDGES = 4_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b); component is the smallest id reachable.
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Stars with the same connections as the edges (a, b): every node and the smallest one it is connected to, and whether the edges were something else."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = labels_of(len(nodes), i, j)
+    moved = bool((label[np.maximum(i, j)] != np.minimum(i, j)).any())
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[linked], nodes[label[linked]], moved
+
 
-    Alternates large-star and small-star steps until nothing changes; each is a minimum per node (combined before the shuffle) and a
-    join, and their number grows with the logarithm of the component's size. Every round is written to the shared folder.
+def _contract(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """Replaces edges (a, b) by stars, ``held`` at a time.
+
+    Where edges are sorted and a node has more than fit, its smallest neighbour, which came first, goes along into the next part.
     """
+    held_a, held_b, size = [], [], 0
+    first = (None, None)  # the node under way and its first neighbour
+
+    def flush() -> pa.RecordBatch:
+        u, v, moved = contracted(np.concatenate(held_a), np.concatenate(held_b))
+        marks = np.full(len(u), moved)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(marks)], names=["a", "b", "moved"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = int(np.searchsorted(a, a[-1])) if (a[1:] >= a[:-1]).all() else len(a) - 1
+        if a[start] != first[0]:
+            first = (a[start], b[start])
+        held_a.append(a)
+        held_b.append(b)
+        size += len(a)
+        if size >= held:
+            yield flush()
+            held_a, held_b, size = [np.array([first[0]])], [np.array([first[1]])], 1
+    if size:
+        yield flush()
+
+
+def components(edges: DataFrame, held: int = EDGES) -> DataFrame:
+    """(id, component) of every id in ``edges`` (a, b); component is the smallest id reachable.
 
-    def saved(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = stored(e.where("u > v").distinct(), "edges")
-        mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        return e, tuple(mark)
-
-    e, mark = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, now = saved(small.unionByName(least.select("u", F.col("m").alias("v"))))
-        if now == mark:
+    Every round deals the edges out by both ends and replaces what meets in a task by stars on the smallest node. When no task finds
+    anything but stars, all edges together are stars: a node with two smaller neighbours, or with a smaller and a larger one, would have met both.
+    A task keeps at most ``held`` edges at a time, and gives out at most one edge for each node it saw. A round is one shuffle and one table in the shared folder.
+
+    Edges with a null end and edges from a node to itself count for nothing; repeated edges count once.
+    """
+    contract, kinds = partial(_contract, held=held), "a bigint, b bigint, moved boolean"
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
+    e = ends.mapInArrow(contract, kinds)
+    while True:
+        both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+        dealt = e.select(both).select("e.a", "e.b").repartition("a").sortWithinPartitions("a", "b")
+        seen = Observation()
+        moved = F.count_if("moved").alias("moved")
+        e = stored(dealt.mapInArrow(contract, kinds).observe(seen, moved), "edges")
+        if not seen.get["moved"]:
             break
-        mark = now
-    heads = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads)
+    stars = e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
+    heads = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return stars.unionByName(heads)
 
 
 def tiles(frame: DataFrame, keys: Sequence[str], spread: str, chunk: int = CHUNK) -> DataFrame:
@@ -158,20 +199,3 @@ def classes_linked(found: DataFrame) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("id").alias("a"), F.col("reach").alias("b")))
     return links.join(reach, "id", "left").select("id", "links", F.coalesce("component", "id").alias("component"))
-
-
-def spread_classes(rows: DataFrame, owners: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row, from (id), (id, key), (key, id, weight) and the links of the classes."""
-    result = classes.join(linked, "id", "left").select(
-        "key",
-        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-    )
-    of_ids = owners.join(result, "key").select("id", "n_links", "component_id")
-    component = F.coalesce("component_id", "id")
-    return rows.join(of_ids, "id", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
