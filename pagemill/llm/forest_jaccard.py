@@ -7,8 +7,8 @@ A pair meets in a band if all its values agree. The code calls a band a tree and
 documents below one prefix are joined to its smallest id, the components of these edges are the candidate groups, and inside them every pair is
 verified exactly on its shingle sets.
 
-Documents with the same shingle set are one class and counted, so copies are never paired. Texts are moved only for documents in a candidate group, once, and
-large groups are cut into tiles (``linking``). No pair becomes a row.
+Documents with the same shingle set are one class and counted, so copies are never paired. All texts are shuffled once, to meet the list of documents in a candidate
+group; those found there are moved on to their group, and large groups are cut into tiles (``linking``). No pair becomes a row.
 
 Cases: null and empty texts have no shingle and link with nothing. Rows that repeat an id and a shingle set are one document and come out as often
 as they went in; rows that repeat an id with another shingle set are another document, compared and judged for itself. Rows without an id come out with no links and a null component, kept. The
