@@ -62,7 +62,7 @@ def batches_by_status(batches: DataFrame, status: str, limit: int | None = None)
     return first_rows(ordered, limit)
 
 
-# Validation: each adds or returns error texts, never raises.
+# Validation: each adds or returns error texts, never raises. The wording of these texts.
 
 
 def image_errors(df: DataFrame, min_size: int = 32, max_size: int = 4096) -> DataFrame:
