@@ -11,8 +11,9 @@ Documents with the same shingle set are one class and counted, so copies are nev
 group; those found there are moved on to their group, and large groups are cut into tiles (``linking``). No pair becomes a row.
 
 Cases: null and empty texts have no shingle and link with nothing. Rows that repeat an id and a shingle set are one document and come out as often
-as they went in; rows that repeat an id with another shingle set are another document, compared and judged for itself. Rows without an id come out with no links and a null component, kept. The
-component is the smallest id; of several documents with that id the one with the smallest digest is kept. Other columns are not looked at.
+as they went in; rows that repeat an id with another shingle set are another document, compared and judged for itself. Rows without an id are compared as all others, each a document of its own. The
+component is the smallest id, null where no member has one; of several documents with that id the one with the smallest digest is kept. Rows without an id are kept only where
+their component has no id, and ``one_of_each`` leaves one of them. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -89,6 +90,14 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("t"))
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, noid, hash, t): rows without an id have id 0 and ``noid``, and each of their texts comes once, so that copies don't travel."""
+    rows = hashed(docs, id_col, text_col)
+    nameless = rows.where("id IS NULL").groupBy("hash", F.length("t").alias("n")).agg(F.first("t").alias("t"))
+    named = rows.where("id IS NOT NULL").select("id", F.lit(False).alias("noid"), "hash", "t")
+    return named.unionByName(nameless.select(F.lit(0).cast("bigint").alias("id"), F.lit(True).alias("noid"), "hash", "t"))
+
+
 def sketches(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, key, prefixes): hash is that of the text, key the digest of the shingle set, null without shingles."""
 
@@ -178,10 +187,14 @@ def similar_documents(
     """
     limit = Fraction(str(threshold))
     rows = stored(sketches(docs, prefix_depth(threshold, recall), id_col, text_col), "sketches")
-    owners = rows.where("id IS NOT NULL AND key IS NOT NULL").groupBy("id", "key")
-    owners = owners.agg(F.min("hash").alias("hash"), F.first("prefixes").alias("prefixes"))
+    owners = rows.where("key IS NOT NULL").groupBy("id", "key")
+    documents = F.when(F.col("id").isNull(), F.count(F.lit(1))).otherwise(F.lit(1)).alias("documents")
+    owners = owners.agg(F.min("hash").alias("hash"), F.first("prefixes").alias("prefixes"), documents)
+    # A class goes by its smallest id; only one without any id goes by none.
     classes = owners.groupBy("key").agg(
-        F.min(F.struct("id", "hash")).alias("o"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes")
+        F.min(F.struct(F.col("id").isNull().alias("noid"), "id", "hash")).alias("o"),
+        F.sum("documents").alias("weight"),
+        F.first("prefixes").alias("prefixes"),
     )
     # Classes are numbered, as several of them may begin with the same id; the number holds once it is stored.
     node = F.monotonically_increasing_id().alias("node")
@@ -191,9 +204,10 @@ def similar_documents(
     heads = stored(heads.where("n > 1").select("tree", "prefix", "head"), "heads")
     edges = nodes.join(heads, ["tree", "prefix"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = components(edges.distinct()).withColumnRenamed("id", "node")
-    wanted = stored(groups.join(classes.select("node", "id", "hash", "key", "weight"), "node"), "members")
+    named = classes.select("node", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("noid"), "hash", "key", "weight")
+    wanted = stored(groups.join(named, "node"), "members")
     # The same plan at every size: texts are shuffled once, whether or not the ids would fit a broadcast.
-    members = hashed(docs, id_col, text_col).join(wanted.hint("merge"), ["id", "hash"])
+    members = texts(docs, id_col, text_col).join(wanted.hint("merge"), ["id", "noid", "hash"])
     members = members.select("component", F.col("node").alias("id"), "weight", "key", "t")
     linked = classes_linked(verified(members, similar_pairs(limit))).withColumnRenamed("id", "node")
     return _spread(rows, classes, linked, id_col)
@@ -201,51 +215,52 @@ def similar_documents(
 
 def _spread(rows: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
     """The result of every row, from (id, hash, key), (node, key, id, weight) and (node, links, component)."""
-    found = linked.join(classes.select("node", "id", "key"), "node")
-    first = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    owner = F.struct(F.col("id").isNull().alias("noid"), "id", "key")
+    found = linked.join(classes.select("node", owner.alias("owner")), "node")
+    first = found.groupBy("component").agg(F.min("owner").alias("first"))
     found = found.join(first, "component").select("node", "links", "first")
     result = classes.join(found, "node", "left").select(
         "key",
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("first", F.struct("id", "key")).alias("first"),
+        F.coalesce("first", owner).alias("first"),
     )
-    alone = F.col("id").isNull() | F.col("key").isNull()
-    judged = rows.where(~alone).join(result, "key").select(
+    judged = rows.where("key IS NOT NULL").join(result, "key").select(
         F.col("id").alias(id_col),
         F.col("n_links").cast("bigint").alias("n_links"),
         F.col("first.id").alias("component_id"),
-        F.coalesce((F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key")), F.lit(True)).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("kept"),
         F.col("hash").alias("text_hash"),
         F.col("key").alias("digest"),
     )
-    others = rows.where(alone).select(
+    others = rows.where("key IS NULL").select(
         F.col("id").alias(id_col),
         F.lit(0).cast("bigint").alias("n_links"),
         F.col("id").alias("component_id"),
         F.lit(True).alias("kept"),
         F.col("hash").alias("text_hash"),
-        F.coalesce("key", F.lit(b"")).alias("digest"),
+        F.lit(b"").alias("digest"),
     )
     return judged.unionByName(others)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one row for each component; rows without an id all stay."""
-    rows = found.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.col("digest").alias("__digest"), "kept"
+    """The documents with all their columns, one row for each component; rows with neither id nor shingles all stay."""
+    known = {"__id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), "__noid": F.col(id_col).isNull()}
+    rows = found.withColumns(known).select(
+        *known, F.col("text_hash").alias("__hash"), F.col("digest").alias("__digest"), "kept"
     )
-    same = rows.where("kept").groupBy("__id", "__digest").agg(F.min("__hash").alias("__one"), F.count(F.lit(1)).alias("__n"))
-    same = stored(same.where("__n > 1").select("__id", "__digest", "__one"), "repeats")
-    other = rows.join(same, ["__id", "__digest"]).where("kept AND __hash <> __one").select("__id", "__hash")
-    gone = rows.where("NOT kept").select("__id", "__hash").unionByName(other).distinct()
+    same = rows.where(F.col("kept") & ~(F.col("__noid") & (F.length("__digest") == 0)))
+    same = same.groupBy(*known, "__digest").agg(F.min("__hash").alias("__one"), F.count(F.lit(1)).alias("__n"))
+    same = stored(same.where("__n > 1").select(*known, "__digest", "__one"), "repeats")
+    other = rows.join(same, [*known, "__digest"]).where("kept AND __hash <> __one").select(*known, "__hash")
+    gone = rows.where("NOT kept").select(*known, "__hash").unionByName(other).distinct()
     gone = gone.withColumn("__gone", F.lit(True))
-    again = same.select("__id", F.col("__one").alias("__hash"), F.lit(True).alias("__again"))
-    marks = stored(gone.join(again, ["__id", "__hash"], "full"), "marks")
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("__text_hash", F.xxhash64(text_col))
-    here = (F.col(id_col) == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    marked = named.join(marks.hint("merge"), here, "left").where("__gone IS NULL")
+    again = same.select(*known, F.col("__one").alias("__hash"), F.lit(True).alias("__again"))
+    marks = stored(gone.join(again, [*known, "__hash"], "full"), "marks")
+    here = docs.withColumns({**known, "__hash": F.xxhash64(text_col)})
+    marked = here.join(marks.hint("merge"), [*known, "__hash"], "left").where("__gone IS NULL")
     once = marked.where("__again IS NULL").select(docs.columns)
     if not marks.where("__again").isEmpty():
-        repeated = marked.where("__again").dropDuplicates([id_col, "__text_hash"])
+        repeated = marked.where("__again").dropDuplicates([*known, "__hash"])
         once = once.unionByName(repeated.select(docs.columns))
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    return once

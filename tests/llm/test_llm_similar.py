@@ -78,6 +78,36 @@ def test_documents_match_brute_force(docs):
             assert (r.n_links, r.component_id, r.kept) == want[r.doc_id], r.doc_id
 
 
+def test_rows_without_an_id_are_compared(docs):
+    far = 10**6  # stands for rows without an id, which are never the smallest
+    rows = documents()
+    one, two = text(100), text(120)
+    base = rows[40][1]
+    nameless = [base, edited(base, 1), edited(base, 2), one, one, one, edited(one, 1), two, "", None, None, rows[0][1]]
+    every = [*rows, *((far + k, t) for k, t in enumerate(nameless))]
+    sets = {i: shingles(t) for i, t in every}
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)
+
+    want = expected(list(sets), linked)
+    frame = docs([*rows, *((None, t) for t in nameless)])
+    found = forest_jaccard.similar_documents(frame)
+    got = found.collect()
+    assert sorted((r.n_links, far if r.component_id is None else r.component_id) for r in got if r.doc_id is None) == sorted(
+        (n, min(c, far)) for i, (n, c, _) in want.items() if i >= far
+    )
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_links, r.component_id, r.kept) == want[r.doc_id], r.doc_id
+    left = forest_jaccard.one_of_each(frame, found).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == sorted(i for i, (_, _, kept) in want.items() if kept and i < far)
+    texts = [r.text for r in left if r.doc_id is None]
+    assert sorted(t or "" for t in texts if t != two)[:3] == ["", "", ""] and texts.count(two) == 1
+    assert len(texts) == 5 and shingles(one) & shingles(max((t or "" for t in texts if t != two), key=len))
+
+
 def test_large_groups_are_cut_into_tiles(docs, monkeypatch):
     monkeypatch.setattr(linking, "CHUNK", 16)
     monkeypatch.setattr(linking.tiles, "__defaults__", (16,))
@@ -94,12 +124,12 @@ def test_large_groups_are_cut_into_tiles(docs, monkeypatch):
     assert got == want
 
 
-def test_one_of_each_keeps_columns_and_rows_without_id(docs):
+def test_one_of_each_keeps_columns_and_rows_without_id_or_text(docs):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (3, "x"), (None, "a b c d e f"), (None, None)]
     frame = docs(rows)
     kept = forest_jaccard.one_of_each(frame, forest_jaccard.similar_documents(frame))
     assert kept.columns == frame.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
 def test_different_texts_of_one_id_are_judged_for_themselves(docs):
