@@ -11,14 +11,17 @@ too much or too little is made up by the next one. So the taken words come close
 and the same rows and seed always give the same documents.
 
 Scale: documents are aggregated map-side to at most (patterns x classes x buckets) rows; a task plans one pattern over at most
-64 x ``BUCKETS`` of them. The driver sees one row per pattern; more than ``MAX_PATTERNS`` is an error, not a cut. The plan that is joined back
-has a row per pattern and class. No document moves to be selected, and a source with a third of all rows is no special case.
+64 x ``BUCKETS`` of them. Sources and patterns are tables of any length: sources are numbered after a distributed sort, targets take a few sums over
+the sources, and the flow is solved apart for every set of sources that patterns connect, each in one task that holds one row per pattern and source of
+the set. Sources that share no document are sets of their own. The plan that is joined back has a row per pattern and class; Spark sends
+it to all tasks where the stored table is small. A source with a third of all rows is no special case.
 
 Targets: sources share ``total`` words by weight; a target stops at ``max_repeats`` times the words of its source and the excess
 goes to the others by weight, until none is above. If all are at their limit the rest is left out.
 
 Cases: a null or empty text has size 0 and is never taken. A null source is a source of its own, last in order. Repeated
-rows are selected each for itself, where id and text agree all alike. An empty table gives an empty mix. Other columns are not looked at.
+rows are selected each for itself, where id and text agree all alike. An empty table gives an empty mix. Documents without any source are not taken. A
+source named twice by one document counts once. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import A_WORD, SPACES, stored
+from pagemill.llm.linking import components
 
 BUCKETS = 512
-MAX_PATTERNS = 10_000
 #: Cost of the first, second and third copy of a word.
 COPY_COSTS = (0.0, 1.0, 3.0)
 
@@ -44,23 +48,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(blank, F.lit(A_WORD)), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], total: float, max_repeats: float = 3.0) -> list[float]:
-    """Targets by weight, none above ``max_repeats`` times its size, the excess shared again by weight."""
-    out = [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    left = float(total)
-    while open_:
-        share = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * share > max_repeats * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * share
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 in code point order with null last: sorted in ranges, then counted per range."""
+    ranges = stored(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    # One row per range, at most as many as there are shuffle partitions.
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.withColumn("rank", own - 1).join(starts, "range").withColumn("rank", F.col("rank") + F.col("start")).drop("range", "start")
+
+
+def targets(sources: DataFrame, total: float, max_repeats: float = 3.0) -> DataFrame:
+    """Adds ``target`` to (words, weight, ...): ``total`` by weight, none above ``max_repeats`` times its words, the excess shared again by weight.
+
+    The share of one weight only grows from round to round, as those that stop take less than their share; so a round is one sum over the sources
+    and the last one is that in which no more stop. The limits are summed as whole numbers times ``max_repeats``, so the order of rows does not matter.
+    """
+    share, stopped = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(share) > F.col("words") * F.lit(max_repeats)
+        row = sources.agg(
+            F.count_if(full).alias("n"), F.sum(F.when(full, F.col("words"))).alias("words"), F.sum(F.when(~full, F.col("weight"))).alias("weight")
+        ).first()
+        if row.n == stopped or row.weight is None:
             break
-        for i in full:
-            out[i] = max_repeats * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        stopped, share = row.n, (total - max_repeats * (row.words or 0)) / row.weight
+    return sources.withColumn("target", F.least(F.col("weight") * F.lit(share), F.col("words") * F.lit(max_repeats)))
 
 
 def route(
@@ -144,8 +158,26 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["size_class", "whole", "last_bucket"]).assign(**keys)
 
 
-def _in_order(name: str | None) -> tuple[bool, str]:
-    return name is None, name or ""
+def _routed(rows: pd.DataFrame) -> pd.DataFrame:
+    """For one connected set of sources: words that each pattern gives. One row per pattern and source."""
+    quotas = rows.drop_duplicates("rank").sort_values("rank")
+    place = {r: i for i, r in enumerate(quotas["rank"])}
+    patterns = [
+        (tuple(sorted(place[r] for r in own["rank"])), int(own["n"].iloc[0]), p) for p, own in rows.groupby("pattern_id")
+    ]
+    patterns.sort()  # the number of a pattern may differ from run to run, its sources don't
+    flows = route([(frozenset(s), n) for s, n, _ in patterns], quotas["target"].tolist())
+    return pd.DataFrame({"pattern_id": [p for *_, p in patterns], "want": [float(sum(f.values())) for f in flows]})
+
+
+def _connected(shares: DataFrame) -> DataFrame:
+    """Adds ``component`` to (pattern_id, rank): the smallest rank that patterns connect to this one."""
+    joint = shares.groupBy("pattern_id").agg(F.min("rank").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = stored(shares.join(joint, "pattern_id").select("a", F.col("rank").alias("b")).distinct(), "mix-overlaps")
+    if edges.isEmpty():
+        return shares.withColumn("component", F.col("rank"))
+    found = components(edges).withColumnRenamed("id", "rank")
+    return shares.join(found, "rank", "left").withColumn("component", F.coalesce("component", "rank"))
 
 
 def mix(
@@ -156,16 +188,15 @@ def mix(
     weight_cycle: Sequence[float] = (1, 2, 3),
     max_repeats: float = 3.0,
     seed: int = 0,
-) -> tuple[DataFrame, list[tuple[str | None, int, float]]]:
+) -> tuple[DataFrame, DataFrame]:
     """Mixes documents of any number of sources each.
 
     ``members`` is the array of source names of a document, ``key`` the columns whose hash, with the seed, selects documents. Sources in code point
     order, null last, weigh by the cycle and share all words. Returns the documents with ``__members``, ``__size`` and ``__copies`` added, and
     (source, words, target) of the sources.
     """
-    spark = docs.sparkSession
     hashed = F.xxhash64(*(F.col(f"`{c}`") for c in key), F.lit(seed))
-    marked = docs.withColumns({"__members": F.array_sort(members), "__size": size})
+    marked = docs.withColumns({"__members": F.array_sort(F.array_distinct(members)), "__size": size})
     marked = marked.withColumns(
         {
             "__class": F.when(F.col("__size") > 0, F.floor(F.log2("__size"))).cast("int"),
@@ -178,40 +209,43 @@ def mix(
         ),
         "mix-cells",
     )
-    found = cells.groupBy("__members").agg(F.sum("words").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = sorted(((tuple(r[0]), int(r[1] or 0)) for r in found), key=lambda x: [_in_order(m) for m in x[0]])
-    names = sorted({m for p, _ in patterns for m in p}, key=_in_order)
-    number = {m: i for i, m in enumerate(names)}
-    sizes = [sum(n for p, n in patterns if m in p) for m in names]
-    weights = [float(weight_cycle[i % len(weight_cycle)]) for i in range(len(names))]
-    goals = targets(sizes, weights, float(sum(n for _, n in patterns)), max_repeats)
-    flows = route([(frozenset(number[m] for m in p), n) for p, n in patterns], goals)
-
-    want = spark.createDataFrame(
-        [(i, list(p), float(sum(f.values()))) for i, ((p, _), f) in enumerate(zip(patterns, flows))],
-        "pattern_id int, pattern array<string>, want double",
-    )
+    summed = cells.groupBy("__members").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n"))
+    patterns = stored(summed.withColumn("pattern_id", F.monotonically_increasing_id()), "mix-patterns")
+    shares = patterns.select("pattern_id", "n", F.explode("__members").alias("source"))
+    sources = numbered(shares.groupBy("source").agg(F.sum("n").alias("words")))
+    cycle = F.array(*(F.lit(float(w)) for w in weight_cycle))
+    weight = F.element_at(cycle, (F.pmod("rank", F.lit(len(weight_cycle))) + 1).cast("int"))
+    sources = stored(sources.withColumn("weight", weight), "mix-sources")
+    total = float(patterns.agg(F.sum("n")).first()[0] or 0)
+    sources = targets(sources, total, max_repeats)
+
+    known = sources.select(F.col("source").alias("name"), "rank", "target")
+    routes = stored(shares.join(known, F.col("source").eqNullSafe(F.col("name"))).select("pattern_id", "n", "rank", "target"), "mix-shares")
+    want = routes.join(_connected(routes.select("pattern_id", "rank")), ["pattern_id", "rank"])
+    want = stored(want.groupBy("component").applyInPandas(_routed, "pattern_id bigint, want double"), "mix-flow")
+
+    named = patterns.join(want, "pattern_id").select("pattern_id", "want", F.col("__members").alias("__pattern"))
     plan = (
         cells.where("words > 0")
-        .join(F.broadcast(want), F.col("__members").eqNullSafe(F.col("pattern")))
+        .join(named, F.col("__members").eqNullSafe(F.col("__pattern")))
         .select("pattern_id", "want", "size_class", "bucket", "words")
         .groupBy("pattern_id")
-        .applyInPandas(_plan, "size_class int, whole int, last_bucket int, pattern_id int")
-        .join(F.broadcast(want), "pattern_id")
-        .select(*[F.col(c).alias(f"__{c}") for c in ("pattern", "size_class", "whole", "last_bucket")])
+        .applyInPandas(_plan, "size_class int, whole int, last_bucket int, pattern_id bigint")
+        .join(named, "pattern_id")
+        .select("__pattern", *[F.col(c).alias(f"__{c}") for c in ("size_class", "whole", "last_bucket")])
     )
+    # Stored, so that Spark knows its size and sends it to all tasks only where it is small.
+    plan = stored(plan, "mix-plan")
     copies = F.coalesce(F.col("__whole") + (F.col("__bucket") <= F.col("__last_bucket")).cast("int"), F.lit(0))
     same = F.col("__members").eqNullSafe(F.col("__pattern")) & (F.col("__class") == F.col("__size_class"))
-    joined = marked.join(F.broadcast(plan), same, "left")
+    joined = marked.join(plan, same, "left")
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, "__members", "__size", copies.alias("__copies")), list(zip(names, sizes, goals))
+    return joined.select(*kept, "__members", "__size", copies.alias("__copies")), sources.select("source", "words", "target")
 
 
 def mix_by_source(
     docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 0
-) -> tuple[DataFrame, list[tuple[str | None, int, float]]]:
+) -> tuple[DataFrame, DataFrame]:
     """Mixes documents of one source each."""
     members = F.array(F.col(f"`{source_col}`").cast("string"))
     return mix(docs, members, word_count(F.col(f"`{text_col}`")), (id_col, text_col), seed=seed)

@@ -78,8 +78,8 @@ def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed, sources = flow_mix.mix_by_source(docs)
-    known = spark.createDataFrame(sources, "name string, source_size bigint, target double")
-    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).select(
+    known = sources.select(F.col("source").alias("name"), F.col("words").alias("source_size"), "target")
+    return mixed.join(known, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id",
         "source",
         F.col("__size").alias("size"),
