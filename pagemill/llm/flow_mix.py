@@ -27,17 +27,20 @@ source named twice by one document counts once. Other columns are not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import A_WORD, SPACES, stored
-from pagemill.llm.linking import components
+from pagemill.llm.linking import components, group_starts, sorted_groups
 
 BUCKETS = 512
+#: Rows of a plan that a task gives out at once.
+OUT_ROWS = 10_000
 #: Cost of the first, second and third copy of a word.
 COPY_COSTS = (0.0, 1.0, 3.0)
 
@@ -136,38 +139,74 @@ def route(
     return out
 
 
-def _plan(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one pattern: copies taken of everything, and per class the number of ranges that get one copy more."""
-    rows = rows.sort_values(["size_class", "bucket"], ascending=[False, True])
-    want, size = float(rows["want"].iloc[0]), float(rows["words"].sum())
-    whole = int(want // size) if size else 0
-    part = want - whole * size
-    out, share, owed = [], (part / size if size else 0.0), 0.0
-    for size_class, own in rows.groupby("size_class", sort=False):
-        goal = share * float(own["words"].sum()) + owed
-        sums = own["words"].cumsum().to_numpy()
-        take = int((sums <= goal).sum())
-        below = float(sums[take - 1]) if take else 0.0
-        if take < len(sums) and float(sums[take]) - goal < goal - below:
-            below = float(sums[take])
-            take += 1
-        last = int(own["bucket"].iloc[take - 1]) if take else -1
-        owed = goal - below
-        out.append((int(size_class), whole, last))
-    keys = {"pattern_id": rows["pattern_id"].iloc[0]}
-    return pd.DataFrame(out, columns=["size_class", "whole", "last_bucket"]).assign(**keys)
-
-
-def _routed(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one connected set of sources: words that each pattern gives. One row per pattern and source."""
-    quotas = rows.drop_duplicates("rank").sort_values("rank")
-    place = {r: i for i, r in enumerate(quotas["rank"])}
-    patterns = [
-        (tuple(sorted(place[r] for r in own["rank"])), int(own["n"].iloc[0]), p) for p, own in rows.groupby("pattern_id")
-    ]
-    patterns.sort()  # the number of a pattern may differ from run to run, its sources don't
-    flows = route([(frozenset(s), n) for s, n, _ in patterns], quotas["target"].tolist())
-    return pd.DataFrame({"pattern_id": [p for *_, p in patterns], "want": [float(sum(f.values())) for f in flows]})
+def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: Sequence[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of every group, from rows sorted by ``key``. Many small groups come in one batch."""
+    for table in sorted_groups(batches, [key]):
+        starts = [*group_starts(table, [key]).tolist(), table.num_rows]
+        values = [table.column(c).to_numpy() for c in columns]
+        for lo, hi in zip(starts, starts[1:]):
+            yield [v[lo:hi] for v in values]
+
+
+def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pattern: copies taken of everything, and per class the number of ranges that get one copy more.
+
+    Rows are sorted by pattern, class from the largest down, and bucket.
+    """
+    kinds = [("pattern_id", pa.int64()), ("size_class", pa.int32()), ("whole", pa.int32()), ("last_bucket", pa.int32())]
+    out: list[list[int]] = [[] for _ in kinds]
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, kinds)], names=[k for k, _ in kinds])
+
+    for patterns, wants, classes, buckets, words in _groups(batches, "pattern_id", ["pattern_id", "want", "size_class", "bucket", "words"]):
+        want, size = float(wants[0]), float(words.sum())
+        whole = int(want // size) if size else 0
+        share, owed = ((want - whole * size) / size if size else 0.0), 0.0
+        cuts = [0, *(np.flatnonzero(np.diff(classes)) + 1).tolist(), len(classes)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            sums = np.cumsum(words[lo:hi])
+            goal = share * float(sums[-1]) + owed
+            take = int((sums <= goal).sum())
+            below = float(sums[take - 1]) if take else 0.0
+            if take < len(sums) and float(sums[take]) - goal < goal - below:
+                below = float(sums[take])
+                take += 1
+            owed = goal - below
+            last = int(buckets[lo + take - 1]) if take else -1
+            for held, v in zip(out, (int(patterns[0]), int(classes[lo]), whole, last)):
+                held.append(v)
+        if len(out[0]) >= OUT_ROWS:
+            yield batch()
+            out = [[] for _ in kinds]
+    if out[0]:
+        yield batch()
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that each pattern gives, one connected set of sources after the other. One row per pattern and source."""
+    names, wants = [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(wants, pa.float64())], names=["pattern_id", "want"])
+
+    for ids, ranks, sizes, goals in _groups(batches, "component", ["pattern_id", "rank", "n", "target"]):
+        quotas = dict(zip(ranks.tolist(), goals.tolist()))
+        place = {r: i for i, r in enumerate(sorted(quotas))}
+        words, sources = {}, {}
+        for p, r, n in zip(ids.tolist(), ranks.tolist(), sizes.tolist()):
+            words[p] = n
+            sources.setdefault(p, []).append(place[r])
+        # The number of a pattern may differ from run to run, its sources don't.
+        order = sorted(words, key=lambda p: sorted(sources[p]))
+        flows = route([(frozenset(sources[p]), words[p]) for p in order], [quotas[r] for r in sorted(quotas)])
+        names += order
+        wants += [float(sum(f.values())) for f in flows]
+        if len(names) >= OUT_ROWS:
+            yield batch()
+            names, wants = [], []
+    if names:
+        yield batch()
 
 
 def _connected(shares: DataFrame) -> DataFrame:
@@ -222,15 +261,17 @@ def mix(
     known = sources.select(F.col("source").alias("name"), "rank", "target")
     routes = stored(shares.join(known, F.col("source").eqNullSafe(F.col("name"))).select("pattern_id", "n", "rank", "target"), "mix-shares")
     want = routes.join(_connected(routes.select("pattern_id", "rank")), ["pattern_id", "rank"])
-    want = stored(want.groupBy("component").applyInPandas(_routed, "pattern_id bigint, want double"), "mix-flow")
+    want = want.repartition("component").sortWithinPartitions("component")
+    want = stored(want.mapInArrow(_routed, "pattern_id bigint, want double"), "mix-flow")
 
     named = patterns.join(want, "pattern_id").select("pattern_id", "want", F.col("__members").alias("__pattern"))
     plan = (
         cells.where("words > 0")
         .join(named, F.col("__members").eqNullSafe(F.col("__pattern")))
         .select("pattern_id", "want", "size_class", "bucket", "words")
-        .groupBy("pattern_id")
-        .applyInPandas(_plan, "size_class int, whole int, last_bucket int, pattern_id bigint")
+        .repartition("pattern_id")
+        .sortWithinPartitions("pattern_id", F.desc("size_class"), "bucket")
+        .mapInArrow(_plan, "pattern_id bigint, size_class int, whole int, last_bucket int")
         .join(named, "pattern_id")
         .select("__pattern", *[F.col(c).alias(f"__{c}") for c in ("size_class", "whole", "last_bucket")])
     )
