@@ -12,6 +12,9 @@ from pagemill.functions import progress as fp
 from pagemill.operators.blocked import id_block, row_numbers
 from pagemill.schemas import JOB_STATUSES, TERMINAL_STATUSES
 
+#: Rows that one task may sort for a top-k.
+SORTED_ROWS = 10_000
+
 
 def method_summary(pages: DataFrame) -> DataFrame:
     """A1: pages and time per job and extraction method."""
@@ -268,18 +271,52 @@ def with_eta(jobs: DataFrame, now: datetime) -> DataFrame:
     )
 
 
+def newest_rows(df: DataFrame, ts: str, row_id: str, keep: int, exact: int = SORTED_ROWS, ranges: int = 4096) -> DataFrame:
+    """The ``keep`` newest rows by (``ts``, ``row_id``), rows without a time last. ``row_id`` is unique and not null.
+
+    The time of the last row is narrowed down by counts over ``ranges`` equal spans, each combined before the shuffle, until at most ``exact`` rows
+    are in doubt. Newer rows need a filter only; those in doubt are sorted. More rows than that at one instant, or without a
+    time, are numbered by id in blocks. No task sorts or holds more than ``exact`` rows.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    if keep <= 0:
+        return df.where("false")
+    if keep <= exact:
+        return df.orderBy(F.desc(ts), F.desc(row_id)).limit(keep)
+    lo, hi, rows, timed = df.agg(F.min(at), F.max(at), F.count(F.lit(1)), F.count(at)).first()
+    if keep >= rows:
+        return df
+    if keep > timed:
+        newer, doubt, count, rest = at.isNotNull(), at.isNull(), rows - timed, keep - timed
+    else:
+        count, rest = timed, keep
+        while count > exact and lo < hi:
+            width = (hi - lo) // ranges + 1
+            spans = df.where(at.between(lo, hi)).groupBy(F.floor((at - lo) / width).alias("span")).count().collect()
+            for span, count in sorted(spans, reverse=True):
+                if rest <= count:
+                    break
+                rest -= count
+            lo, hi = lo + span * width, min(hi, lo + (span + 1) * width - 1)
+        newer, doubt = at > hi, at.between(lo, hi)
+    doubtful = df.where(doubt)
+    if count <= exact:
+        last = doubtful.orderBy(F.desc(ts), F.desc(row_id)).limit(rest)
+    else:
+        numbered = row_numbers(doubtful, [], id_block(doubtful, row_id), [row_id], "__n")
+        last = numbered.where(F.col("__n") > count - rest).drop("__n")
+    return df.where(newer).unionByName(last)
+
+
 def evict_old_batches(batches: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """(remaining, evicted) when only terminal batches beyond the newest ``keep`` go.
 
-    The rank counts all batches. The newest are found by a top-k (each task
-    keeps k rows), and an anti join does the rest; no global window.
+    The rank counts all batches. The newest are found by a top-k, or beyond
+    ``SORTED_ROWS`` by narrowing counts (``newest_rows``), and an anti join does
+    the rest; no global window, however many are kept.
     """
-    newest = (
-        batches.select("batch_job_id", "created_at")
-        .orderBy(F.desc("created_at"), F.desc("batch_job_id"))
-        .limit(keep)
-        .select("batch_job_id")
-    )
+    newest = newest_rows(batches.select("batch_job_id", "created_at"), "created_at", "batch_job_id", keep)
+    newest = newest.select("batch_job_id")
     evicted = batches.where(F.col("status").isin(*TERMINAL_STATUSES)).join(newest, "batch_job_id", "left_anti")
     return batches.join(evicted.select("batch_job_id"), "batch_job_id", "left_anti"), evicted
 
