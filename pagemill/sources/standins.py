@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files."""
+    """The same table as a stream of files, be it one file or a folder of them.
+
+    A file source takes a folder or a pattern, but no single file; the pattern here fits both, and nothing else.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def micro_batches(parts: list[DataFrame]) -> DataFrame:
@@ -274,11 +277,11 @@ def line_chunks(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Document lines as text chunks that arrive 0 to 79 ms apart; the last line is final."""
     n = F.length("text")
     offset_ms = F.col("page_num") * 30 + n % 50
-    lines = read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("job_id"),
-        F.size(F.split("text", "\n", -1)).alias("lines"),
-        F.posexplode(F.split("text", "\n", -1)).alias("__pos", "text"),
+    # Counted ahead of the explode, that is once per document and not once per line.
+    counted = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"), "text", F.size(F.split("text", "\n", -1)).alias("lines")
     )
+    lines = counted.select("job_id", "lines", F.posexplode(F.split("text", "\n", -1)).alias("__pos", "text"))
     return lines.withColumn("page_num", F.col("__pos") + 1).select(
         "job_id",
         F.lit(1).alias("page_num"),
