@@ -41,7 +41,7 @@ def page_upsert_stream(spark, sf_dir):
     """S8 as a stream: page writes in four micro-batches, upserted into a bucketed table."""
     path, checkpoint = _paths(spark, "upserts")
     keys = ["job_id", "page_num"]
-    changes = s.micro_batches(s.split_rows(s.page_changes(spark, sf_dir), "version", 4))
+    changes = s.split_rows(s.page_changes(spark, sf_dir), ["version"], 4)
     known = s.jobs(spark, sf_dir).select("job_id")
     tu.write_upserts(changes, path, checkpoint, keys, F.col("version"), s.PAGE_COLUMNS, known, buckets=16).awaitTermination()
     return tu.upserted_rows(spark, path, keys)
@@ -110,10 +110,9 @@ def stream_rows_resumed(spark, sf_dir):
 
 @query(_STREAM_ROWS)
 def stream_rows_live(spark, sf_dir):
-    """T4: keyed state; the sink keeps the greatest seq."""
+    """T4: a row of state per page, folded per micro-batch; the sink keeps the greatest seq."""
     path, checkpoint = _paths(spark, "rows")
-    rows = tr.current_stream_rows(s.stream_commands(spark, sf_dir, s.stream_table))
-    tt.write_updates(rows, path, checkpoint, mode="update").awaitTermination()
+    tr.write_stream_rows(s.stream_commands(spark, sf_dir, s.stream_table), path, checkpoint).awaitTermination()
     return tt.current_rows(spark, path, tr.KEYS, ["seq"])
 
 
@@ -124,11 +123,11 @@ def stream_rows_recovered(spark, sf_dir):
     path = f"{base}/table"
     commands = s.stream_commands(spark, sf_dir)
     early = F.col("updated_at") < F.lit("2024-01-15").cast("timestamp_ntz")
-    first = s.micro_batches([commands.where(early).coalesce(1)])
-    tt.write_updates(tr.current_stream_rows(first), path, f"{base}/first", mode="update").awaitTermination()
+    first = s.micro_batches([commands.where(early)], tr.KEYS)
+    tr.write_stream_rows(first, path, f"{base}/first").awaitTermination()
     stored = stored_snapshot(tt.current_rows(spark, path, tr.KEYS, ["seq"]), f"{base}/initial")
-    rest = s.micro_batches(_by_time(commands.where(~early), ["2024-01-20", "2024-01-25"]))
-    tt.write_updates(tr.current_stream_rows(rest, initial=stored), path, f"{base}/second", mode="update").awaitTermination()
+    rest = s.micro_batches(_by_time(commands.where(~early), ["2024-01-20", "2024-01-25"]), tr.KEYS)
+    tr.write_stream_rows(rest, path, f"{base}/second", initial=stored).awaitTermination()
     return tt.current_rows(spark, path, tr.KEYS, ["seq"])
 
 
@@ -139,11 +138,11 @@ def stored_snapshot(df, path):
 
 
 def _by_time(commands, days):
-    """Commands in order of time, cut at the given days; one file each."""
+    """Commands in order of time, cut at the given days."""
     cuts = [F.lit(d).cast("timestamp_ntz") for d in days]
     at = F.col("updated_at")
     ranges = [at < cuts[0], *[(at >= a) & (at < b) for a, b in zip(cuts, cuts[1:])], at >= cuts[-1]]
-    return [commands.where(r).coalesce(1) for r in ranges]
+    return [commands.where(r) for r in ranges]
 
 
 _FINISHED = "SELECT c_custkey FROM customer WHERE c_acctbal > 5000"
@@ -168,8 +167,8 @@ def cleared_streams_live(spark, sf_dir):
     )
     others = [F.lit(None).cast(t).alias(c) for c, t in commands.dtypes if c not in ends.columns]
     ends = ends.select("*", *others).select([F.col(c).cast(t).alias(c) for c, t in commands.dtypes])
-    stream = s.micro_batches([*_by_time(commands, ["2024-01-10", "2024-01-20"]), ends.coalesce(1)])
-    tt.write_updates(tr.cleared_stream(stream), path, checkpoint, mode="update").awaitTermination()
+    stream = s.micro_batches([*_by_time(commands, ["2024-01-10", "2024-01-20"]), ends], tr.KEYS)
+    tr.write_cleared(stream, path, checkpoint).awaitTermination()
     removed = tt.stored_rows(spark, path).groupBy("job_id").agg(F.sum("removed").alias("removed"))
     return removed.where("removed > 0")
 
@@ -256,9 +255,9 @@ def completion_stream(spark, sf_dir):
     """T8 as a stream, job level: pages and totals in several micro-batches, each completion given out once."""
     path, checkpoint = _paths(spark, "completions")
     events = latest_rows(_page_events(spark, sf_dir, s.table), ["job_id", "stage", "page_num"], ["timestamp"])
-    pages = s.micro_batches(s.split_rows(events, "page_num", 3))
-    totals = s.micro_batches(s.split_rows(_job_totals(spark, sf_dir).select("job_id", "total_pages"), "job_id", 2))
-    tt.write_updates(tcomp.completion_stream(pages, totals), path, checkpoint).awaitTermination()
+    pages = s.split_rows(events, ["job_id", "page_num"], 3)
+    totals = s.split_rows(_job_totals(spark, sf_dir).select("job_id", "total_pages"), ["job_id"], 2)
+    tcomp.write_completions(pages, totals, path, checkpoint).awaitTermination()
     return tt.stored_rows(spark, path)
 
 

@@ -44,21 +44,27 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def micro_batches(parts: list[DataFrame]) -> DataFrame:
-    """A stream that brings the rows of each frame in turn, in micro-batches of at most one file.
+def micro_batches(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """A stream that brings the rows of each frame in turn, in micro-batches of as many files as there are cores.
 
-    The frames are staged as files one after the other; a file source takes the oldest first.
+    The frames are staged one after the other, each as at most so many files, dealt by ``keys`` so that all tasks write; a file source takes the oldest
+    first. The rows of a key lie in one file of a frame, so they come in the order of the frames wherever a micro-batch ends.
     """
     spark = parts[0].sparkSession
     path = scratch_dir(spark, "micro-batches")
+    files = spark.sparkContext.defaultParallelism
     for part in parts:
-        part.write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files, *keys).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def split_rows(df: DataFrame, by: str, n: int) -> list[DataFrame]:
-    """The rows in ``n`` parts, by a hash of a column; each is one file when staged."""
-    return [df.where(F.pmod(F.xxhash64(by), F.lit(n)) == k).coalesce(1) for k in range(n)]
+def split_rows(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """A stream that brings the rows in ``n`` micro-batches, dealt by a hash of columns. The frame is computed and staged once."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "micro-batches")
+    files = spark.sparkContext.defaultParallelism
+    df.repartition(n * files, *by).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

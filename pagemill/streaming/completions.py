@@ -11,10 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagemill.functions.times import micros
 from pagemill.session import ROCKSDB_PROVIDER
+from pagemill.streaming.tables import write_folded
 
 STAGES = ("ocr", "merge")
 PAGES_PER_ENTRY = 1024
@@ -84,7 +85,48 @@ def completion_stream(
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+    return _events(finished, stages)
+
+
+def _events(finished: DataFrame, stages: Sequence[str]) -> DataFrame:
     of_stage = [F.lit("stage_complete")]
     events = F.when(F.col("stage") == stages[-1], F.array(*of_stage, F.lit("job_complete"))).otherwise(F.array(*of_stage))
     at = F.timestamp_micros("at").cast("timestamp_ntz").alias("timestamp")
     return finished.select("job_id", "stage", at, F.explode(events).alias("event"))
+
+
+def write_completions(
+    pages: DataFrame, totals: DataFrame, path: str, checkpoint: str, stages: Sequence[str] = STAGES, every_s: float | None = None
+) -> StreamingQuery:
+    """T8 for very many jobs: the events of ``completion_stream`` into an update table, without a call of Python per job.
+
+    Repeated pages are dropped by Spark's own keyed state, so a page costs a key there; counts, times and totals are folded per job, stage and
+    micro-batch. Of several totals of a job in one micro-batch the greatest counts. State never expires.
+    """
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    none = F.lit(None).cast("bigint")
+    known = pages.where("job_id IS NOT NULL AND stage IS NOT NULL AND page_num IS NOT NULL")
+    new = known.select("job_id", "stage", "page_num").dropDuplicates(["job_id", "stage", "page_num"])
+    # A repeated page counts no more, but its time does.
+    times = known.select("job_id", "stage", F.lit(0).cast("bigint").alias("n"), micros(F.col("timestamp")).alias("at"), none.alias("total"))
+    counted = new.select("job_id", "stage", F.lit(1).cast("bigint").alias("n"), none.alias("at"), none.alias("total"))
+    sized = totals.where("total_pages > 0 AND job_id IS NOT NULL").select(
+        "job_id", F.explode(F.array(*map(F.lit, stages))).alias("stage"), F.lit(0).cast("bigint").alias("n"), none.alias("at"),
+        F.col("total_pages").cast("bigint").alias("total"),
+    )
+    keys = ["job_id", "stage"]
+
+    def fold(rows: DataFrame | None, batch: DataFrame) -> DataFrame:
+        came = batch.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("at").alias("at"), F.max("total").alias("total"))
+        if rows is not None:
+            old = rows.select(*keys, F.col("n").alias("old_n"), F.col("at").alias("old_at"), F.col("total").alias("old_total"), "done")
+            came = came.join(old, keys, "left").where("done IS NOT TRUE").select(
+                *keys,
+                (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"),
+                F.greatest("at", "old_at").alias("at"),
+                F.coalesce("total", "old_total").alias("total"),
+            )
+        return came.withColumn("done", F.coalesce(F.col("n") >= F.col("total"), F.lit(False)))
+
+    stream = counted.unionByName(times).unionByName(sized)
+    return write_folded(stream, path, checkpoint, keys, fold, lambda changed: _events(changed.where("done"), stages), every_s=every_s)

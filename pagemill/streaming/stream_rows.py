@@ -17,10 +17,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagemill.functions.times import micros
 from pagemill.session import ROCKSDB_PROVIDER
+from pagemill.streaming.tables import write_folded
 
 KEYS = ["job_id", "page_num"]
 COMMANDS_PER_BLOCK = 4096
@@ -295,3 +296,57 @@ def cleared_stream(commands: DataFrame, slots: int = SLOTS, ttl_ms: int | None =
         outputMode="Update",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+def _of_keys(rows: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in the micro-batch; null keys meet as well."""
+    wanted = batch.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(wanted, same, "left_semi")
+
+
+def write_stream_rows(
+    commands: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None, every_s: float | None = None
+) -> StreamingQuery:
+    """T4 for very many pages or commands: the rows of ``current_stream_rows``, folded by ``apply_stream_commands`` per micro-batch.
+
+    No Python per page or command, and a page with endless commands is spread over blocks. ``initial`` as there; state never expires.
+    """
+
+    def fold(rows: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return apply_stream_commands(None if rows is None else _of_keys(rows, batch, KEYS), batch)
+
+    return write_folded(commands, path, checkpoint, KEYS, fold, lambda changed: changed, initial, every_s=every_s)
+
+
+def write_cleared(commands: DataFrame, path: str, checkpoint: str, every_s: float | None = None) -> StreamingQuery:
+    """T5 for very many jobs: (job_id, removed) of the jobs that a micro-batch ends and that had rows; commands as in ``cleared_stream``.
+
+    The ends of a job cut its commands into spans, and the pages of each span are folded apart; state is a row per page, gone or not.
+    """
+
+    def fold(rows: DataFrame | None, batch: DataFrame) -> DataFrame:
+        ends = batch.where("kind = 'finish'").groupBy(F.col("job_id").alias("__job")).agg(
+            F.array_sort(F.collect_set("order_no")).alias("ends")
+        )
+        span = F.when(F.col("ends").isNull(), 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("order_no"))))
+        page = F.struct("page_num", span.alias("span")).alias("page_num")
+        own = batch.where("kind <> 'finish'").join(ends, F.col("job_id").eqNullSafe(F.col("__job")), "left")
+        own = own.select("job_id", page, *[c for c in batch.columns if c not in KEYS])
+        current = None
+        if rows is not None:
+            held = _of_keys(rows.where("live"), batch, ["job_id"])
+            current = held.withColumn("page_num", F.struct("page_num", F.lit(0).alias("span")))
+        row = F.struct("stage", "snapshot_text", "seq", "is_final", "error", "updated_at")
+        spans = apply_stream_commands(current, own).join(ends, F.col("job_id").eqNullSafe(F.col("__job")), "left").select(
+            "job_id", F.col("page_num.page_num").alias("page_num"), F.col("page_num.span").alias("span"), row.alias("row"),
+            (F.col("ends").isNotNull() & (F.col("page_num.span") < F.size("ends"))).alias("over"),
+        )
+        return spans.groupBy(*KEYS).agg(
+            F.max_by("row", "span").alias("row"), (~F.max_by("over", "span")).alias("live"), F.count_if("over").alias("removed")
+        ).select(*KEYS, "row.*", "live", "removed")
+
+    def removed(changed: DataFrame) -> DataFrame:
+        return changed.where("removed > 0").groupBy("job_id").agg(F.sum("removed").alias("removed"))
+
+    return write_folded(commands, path, checkpoint, KEYS, fold, removed, every_s=every_s)

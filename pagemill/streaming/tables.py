@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators.mutations import latest_rows
+from pagemill.session import path_exists
 
 #: Where a stored row came from: the query, its micro-batch, and when that was written.
 ORIGIN = ["query", "batch_id", "stored_us"]
 _WRITTEN = ["stored_us", "batch_id"]
+#: After so many micro-batches the state of ``write_folded`` is written whole, to bound what the next ones read.
+BATCHES_PER_STATE = 8
 
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -76,3 +79,52 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], ve
     """
     newest = latest_rows(read_updates(spark, path), keys, [*version, *_WRITTEN]).drop("query", "batch_id")
     newest.write.mode("overwrite").parquet(f"{target}/query=compacted/batch_id=0")
+
+
+def _folded(
+    spark: SparkSession, path: str, batch_id: int, keys: Sequence[str], initial: DataFrame | None, whole: int | None = None
+) -> DataFrame | None:
+    """The state that ``write_folded`` had after the micro-batch before ``batch_id``, from the one written whole after ``whole``."""
+    if whole is None:
+        whole = batch_id // BATCHES_PER_STATE * BATCHES_PER_STATE - 1
+    batches = {b: f"{path}/batch={b}" for b in range(whole + 1, batch_id)}
+    found = [spark.read.parquet(f).withColumn("__batch", F.lit(b)) for b, f in batches.items() if path_exists(spark, f)]
+    start = spark.read.parquet(f"{path}/upto={whole}") if whole >= 0 else initial
+    if start is not None:
+        found.append(start.withColumn("__batch", F.lit(-1)))
+    if not found:
+        return None
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return latest_rows(rows, keys, ["__batch"]).drop("__batch") if len(found) > 1 else rows.drop("__batch")
+
+
+def write_folded(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    fold: Callable[[DataFrame | None, DataFrame], DataFrame],
+    give: Callable[[DataFrame], DataFrame],
+    initial: DataFrame | None = None,
+    mode: str = "append",
+    every_s: float | None = None,
+) -> StreamingQuery:
+    """Starts a stream with one row of state per key, folded by joins and aggregates of whole micro-batches.
+
+    ``fold`` gets the state, None at first unless there is an ``initial`` one, and the micro-batch, and returns the rows of state that changed; what ``give``
+    makes of these goes into the update table. The state lies beside the update table, in a folder per micro-batch that only later ones read, so a
+    micro-batch that is retried gives the same again. For streams whose keys are too many for a call of Python each.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, query = batch.sparkSession, query_id(batch.sparkSession, checkpoint)
+        at = f"{path}-state/query={query}"
+        fold(_folded(spark, at, batch_id, keys, initial), batch).write.mode("overwrite").parquet(f"{at}/batch={batch_id}")
+        rows = give(spark.read.parquet(f"{at}/batch={batch_id}")).withColumn("stored_us", F.lit(time.time_ns() // 1000))
+        rows.write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
+        if (batch_id + 1) % BATCHES_PER_STATE == 0:
+            _folded(spark, at, batch_id + 1, keys, initial, batch_id - BATCHES_PER_STATE).write.mode("overwrite").parquet(f"{at}/upto={batch_id}")
+
+    return started(stream, store, checkpoint, mode, every_s)
