@@ -182,16 +182,17 @@ def batch_documents(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     return batches.join(docs, "batch_job_id")
 
 
-def finished_documents(jobs: DataFrame, docs: DataFrame) -> DataFrame:
+def finished_documents(jobs: DataFrame, docs: DataFrame, on: str = "job_id") -> DataFrame:
     """A9 as rows: finished jobs with their content part by part, or their error.
 
-    ``docs`` is (job_id, part, content). Other statuses are left out.
+    ``docs`` is (job_id, part, content). Other statuses are left out. Where jobs share contents, hand these in once, as (file_id, part, content) or
+    by whatever column of the jobs ``on`` names: each is then shuffled once and not once per job.
     """
     head = ["parent_batch_id", "job_id", "filename", "status"]
     none = F.lit(None).cast("string")
     completed = (
         jobs.where(F.col("status") == "completed")
-        .join(docs.select("job_id", "part", "content"), "job_id")
+        .join(docs.select(on, "part", "content"), on)
         .select(*head, "part", "content", none.alias("error"))
     )
     failed = jobs.where(F.col("status") == "failed").select(

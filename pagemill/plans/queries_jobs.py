@@ -452,9 +452,10 @@ WHERE status IN ('completed', 'failed')""")
 def batch_result_contents(spark, sf_dir):
     """A9 row form with contents."""
     jobs = oc.job_files(s.jobs(spark, sf_dir), s.files(spark, sf_dir))
-    texts = s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
-    docs = jobs.join(texts, "file_id").select("job_id", F.lit(0).cast("bigint").alias("part"), "content")
-    return oj.finished_documents(jobs, docs)
+    texts = s.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_id"), F.lit(0).cast("bigint").alias("part"), F.col("text").alias("content")
+    )
+    return oj.finished_documents(jobs, texts, on="file_id")
 
 
 @query("""
