@@ -150,8 +150,13 @@ def option_validity(spark, sf_dir):
 SELECT job_id, page_num, completed_at FROM v_pages WHERE job_id IN (SELECT job_id FROM v_jobs WHERE user_id = 42)""")
 def pages_of_user(spark, sf_dir):
     """J3."""
-    pages = s.page_results(spark, sf_dir).select("job_id", "page_num", "completed_at")
-    return oc.rows_for_user(pages, s.jobs(spark, sf_dir), 42)
+    # The user's page writes alone are upserted: a write of another job changes no page of theirs. Their jobs are written first, so that
+    # Spark knows how many they are and shuffles the page writes only if they are too many to broadcast.
+    path = scratch_dir(spark, "jobs-of-user")
+    s.jobs(spark, sf_dir).where("user_id = 42").select("job_id", "user_id").write.parquet(path)
+    changes = oc.rows_for_user(s.page_changes(spark, sf_dir), spark.read.parquet(path), 42)
+    pages = om.upsert(None, changes, ["job_id", "page_num"], F.col("version"), s.PAGE_COLUMNS)
+    return pages.select("job_id", "page_num", "completed_at")
 
 
 def _directories(spark, sf_dir):
