@@ -23,6 +23,7 @@ from pagemill.session import ensure_checkpoint_dir
 Scorer = Callable[[dict], str]
 BatchScorer = Callable[[list[dict]], Sequence]
 LoadFn = Callable[[], Scorer | BatchScorer]
+SLICE_BYTES = 4 << 20
 RESULT_DDL = "text string, model string, success boolean, error string, attempts int, scale double, seconds double"
 RESULTS = {
     "text": pa.string(),
@@ -92,6 +93,14 @@ def _columns(results: list[tuple]) -> dict[str, pa.Array]:
     return {name: pa.array([r[i] for r in results], kind) for i, (name, kind) in enumerate(RESULTS.items())}
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``size`` bytes, by the mean row of each batch, and at least one row."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def score_pages(pages: DataFrame, load_fn: LoadFn, prompt_type: str = "ocr", batched: bool = False) -> DataFrame:
     """M1: adds the result columns; a failed page has empty text and its error.
 
@@ -104,7 +113,8 @@ def score_pages(pages: DataFrame, load_fn: LoadFn, prompt_type: str = "ocr", bat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load_fn()
-        for batch in batches:
+        # A scorer of lists gets whole Arrow batches; rows are taken a slice at a time, so that long texts are not all copied at once.
+        for batch in batches if batched else _slices(batches):
             rows = [{**r, "prompt_type": prompt_type} for r in batch.to_pylist()]
             results = _batch_results(scorer, rows) if batched else [_result(scorer, r) for r in rows]
             yield _with(batch, {"prompt_type": pa.array([prompt_type] * len(rows), pa.string()), **_columns(results)})
