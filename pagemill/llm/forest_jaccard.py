@@ -203,7 +203,7 @@ def similar_documents(
     heads = nodes.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = stored(heads.where("n > 1").select("tree", "prefix", "head"), "heads")
     edges = nodes.join(heads, ["tree", "prefix"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    groups = components(edges.distinct()).withColumnRenamed("id", "node")
+    groups = components(edges).withColumnRenamed("id", "node")
     named = classes.select("node", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("noid"), "hash", "key", "weight")
     wanted = stored(groups.join(named, "node"), "members")
     # The same plan at every size: texts are shuffled once, whether or not the ids would fit a broadcast.

@@ -67,21 +67,25 @@ def _contract(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.Recor
 def components(edges: DataFrame, held: int = EDGES) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); component is the smallest id reachable.
 
-    Every round deals the edges out by both ends and replaces what meets in a task by stars on the smallest node. When no task finds
-    anything but stars, all edges together are stars: a node with two smaller neighbours, or with a smaller and a larger one, would have met both.
-    A task keeps at most ``held`` edges at a time, and gives out at most one edge for each node it saw. A round is one shuffle and one table in the shared folder.
+    Every round deals the edges out twice, by their larger end and then by both ends, and each time replaces what meets in a task by stars on the
+    smallest node. By the first, a node that met many tasks goes on with about one edge and not with one from each. When no task finds anything
+    but stars by the second, all edges together are stars: a node with two smaller neighbours, or with a smaller and a larger one, would have met both.
+    A task keeps at most ``held`` edges at a time, and gives out at most one edge for each node it saw. A round is two shuffles and one table in the shared folder.
 
     Edges with a null end and edges from a node to itself count for nothing; repeated edges count once.
     """
     contract, kinds = partial(_contract, held=held), "a bigint, b bigint, moved boolean"
+
+    def met(dealt: DataFrame) -> DataFrame:
+        return dealt.select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(contract, kinds)
+
     ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     e = ends.mapInArrow(contract, kinds)
     while True:
         both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-        dealt = e.select(both).select("e.a", "e.b").repartition("a").sortWithinPartitions("a", "b")
         seen = Observation()
         moved = F.count_if("moved").alias("moved")
-        e = stored(dealt.mapInArrow(contract, kinds).observe(seen, moved), "edges")
+        e = stored(met(met(e).select(both).select("e.*")).observe(seen, moved), "edges")
         if not seen.get["moved"]:
             break
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()

@@ -44,3 +44,27 @@ def test_components_equal_union_find(spark, name, held):
 def test_no_edges(spark):
     assert L.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
     assert L.components(spark.createDataFrame([(4, 4), (None, None)], "a bigint, b bigint")).count() == 0
+
+
+def test_a_round_keeps_about_one_edge_per_node(spark, monkeypatch):
+    """Nodes with many neighbours, dealt over many tasks: no round stores an edge for every task that a node met."""
+    rnd, sizes, stored = random.Random(2), [], L.stored
+    edges = [(k, rnd.randrange(60)) for k in range(60, 1000) for _ in range(12)]
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = L.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(48)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.component) for r in got) == sorted(brute(edges).items())
+    assert max(sizes) <= 2 * len(got)
