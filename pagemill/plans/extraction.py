@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import documents as od
 from pagemill.operators.jobs import choose_model
-from pagemill.operators.mutations import upsert_page_results
+from pagemill.operators.mutations import upsert
 from pagemill.operators.prompts import resolve_prompts
 from pagemill.operators.scoring import LoadFn, score_pages
 from pagemill.session import path_exists
-from pagemill.sources.cache import KEYS, read_ocr_cache, write_ocr_cache
+from pagemill.sources.cache import KEYS, only_run, read_ocr_cache, write_ocr_cache
+
+
+def _given() -> Column:
+    """Where a model gave a text that can be joined to its page."""
+    return F.col("success") & F.col("job_id").isNotNull() & F.col("page_num").isNotNull()
+
+
+def _passed(run_path: str, pages: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``pages`` with ``values`` where the model succeeded, from a run that scored all of them: its table has their columns, so nothing is joined."""
+    given = pages.sparkSession.read.parquet(run_path)
+    return given.select(*pages.columns, *[F.when(_given(), value).alias(name) for name, value in values.items()])
 
 
 def stage_one(
@@ -28,7 +41,9 @@ def stage_one(
 
     The stage table at ``cache_path`` is the barrier between the stages and the
     point of recovery: a call with a higher ``run`` scores only pages without a
-    success in an earlier run, and repeating a call gives the same again.
+    success in an earlier run, and repeating a call gives the same again. It keeps
+    the columns of the pages too: while there is one run, pages and texts are read
+    from it together, and only further runs join them.
     """
     spark = pages.sparkSession
     routed = od.route_pages(
@@ -39,27 +54,33 @@ def stage_one(
         done = read_ocr_cache(spark, cache_path, before_run=run).where("success")
         scored = od.pages_to_do(scored, done)
     results = score_pages(scored, load_ocr).select(
-        "job_id",
-        "page_num",
+        *scored.columns,
         F.col("text").alias("ocr_text"),
         F.col("seconds").alias("processing_time"),
         "success",
         "error",
     )
     write_ocr_cache(results, cache_path, run)
-    stage1 = read_ocr_cache(spark, cache_path).where("success").drop("success", "error")
-    merged = routed.join(stage1, ["job_id", "page_num"], "left")
+    given = ["ocr_text", "processing_time"]
+    if run == 1 and only_run(spark, cache_path, run):
+        done = _passed(f"{cache_path}/run={run}", scored, {c: F.col(c) for c in given})
+        merged = done.unionByName(routed.where("route = 'embedded'"), allowMissingColumns=True)
+    else:
+        stage1 = read_ocr_cache(spark, cache_path).where("success").select(*KEYS, *given)
+        merged = routed.join(stage1, KEYS, "left")
     missing = merged.where("route <> 'embedded' AND ocr_text IS NULL").select("job_id", "page_num")
     return merged, missing
 
 
 def stage_texts(
-    pages: DataFrame, inputs: list[str], load: LoadFn, prompt_type: str, path: str, run: int, name: str
+    pages: DataFrame, inputs: list[str], load: LoadFn, prompt_type: str, path: str, run: int, name: str, spare: Sequence[str] = ()
 ) -> DataFrame:
     """``pages`` with the model's text as ``name``, null where the model failed, by way of a stage table at ``path``.
 
     The table is a barrier: each page meets the model once, however many results are read from here, and a job that fails later keeps what the
-    model gave. A call with a higher ``run`` leaves out pages with a success in an earlier run on the same ``inputs``.
+    model gave. A call with a higher ``run`` leaves out pages with a success in an earlier run on the same ``inputs``. It keeps the columns of the
+    pages too: while there is one run, pages and texts are read from it together. Columns named in ``spare`` are wanted only where the
+    model failed, and may come back as null elsewhere.
     """
     spark = pages.sparkSession
     asked = pages.withColumn("__asked", F.xxhash64(*inputs))
@@ -68,8 +89,11 @@ def stage_texts(
     if run > 1 and path_exists(spark, path):
         done = read_ocr_cache(spark, path, before_run=run).where("success")
         to_do = asked.join(done.select(keys), keys, "left_anti")
-    given = score_pages(to_do, load, prompt_type).select(*keys, "text", "success", "error")
-    write_ocr_cache(given, path, run)
+    given = score_pages(to_do, load, prompt_type)
+    wanted = [F.when(~_given(), F.col(c)).alias(c) if c in spare else F.col(c) for c in asked.columns]
+    write_ocr_cache(given.select(*wanted, "text", "success", "error"), path, run)
+    if run == 1 and only_run(spark, path, run):
+        return _passed(f"{path}/run={run}", pages, {name: F.col("text")})
     texts = read_ocr_cache(spark, path).where("success").select(*keys, F.col("text").alias(name))
     return asked.join(texts, keys, "left").drop("__asked")
 
@@ -146,18 +170,19 @@ def two_stage_documents(
     asked = resolve_prompts(
         chosen.withColumnRenamed("merge_model", "model").withColumn("prompt_type", F.lit("merge")), catalog
     ).select("job_id", F.col("model").alias("merge_model"), "prompt", "output_format")
-    ready = merged.join(asked, "job_id").withColumn("by_rule", _by_rule())
+    ready = merged.join(asked, "job_id")
 
-    hybrid = F.col("route") == "hybrid"
-    to_merge = ready.where(hybrid).select(*KEYS, "merge_model", "prompt", "embedded_text", "ocr_text", "by_rule", "route", "output_format")
+    # Every page takes one way through each stage, and the ways are put together again by union: no text is joined to its page a second time.
+    kept = [*KEYS, "route", "processing_time", "ocr_text", "output_format"]
+    to_merge = ready.where("route = 'hybrid'").select(*kept, "merge_model", "prompt", "embedded_text")
     merged_texts = stage_texts(
-        to_merge, ["merge_model", "prompt", "embedded_text", "ocr_text"], load_merge, "merge", f"{cache_path}-merge", run, "merged"
-    )
-    keys = [*KEYS, "route", "processing_time", "ocr_text", "output_format"]
-    second = ready.join(merged_texts.select(*KEYS, "merged"), KEYS, "left").select(*keys, F.coalesce("merged", "by_rule").alias("merged"))
-    to_format = second.where("output_format IS DISTINCT FROM 'text'").select(*KEYS, "output_format", "merged", "route", "ocr_text")
-    formatted = stage_texts(to_format, ["output_format", "merged"], load_format, "format", f"{cache_path}-format", run, "formatted")
-    shaped = second.join(formatted.select(*KEYS, "formatted"), KEYS, "left")
+        to_merge, ["merge_model", "prompt", "embedded_text", "ocr_text"], load_merge, "merge", f"{cache_path}-merge", run, "merged",
+        spare=["merge_model", "prompt", "embedded_text"],
+    ).select(*kept, F.coalesce("merged", _by_rule()).alias("merged"))
+    second = merged_texts.unionByName(ready.where("route <> 'hybrid'").select(*kept, _by_rule().alias("merged")))
+    to_format = second.where("output_format IS DISTINCT FROM 'text'")
+    formatted = stage_texts(to_format, ["output_format", "merged"], load_format, "format", f"{cache_path}-format", run, "formatted", spare=["merged"])
+    shaped = formatted.unionByName(second.where("output_format = 'text'"), allowMissingColumns=True)
     final = shaped.select(
         "job_id",
         "page_num",
@@ -166,12 +191,13 @@ def two_stage_documents(
         "ocr_text",
         F.coalesce("formatted", "merged").alias("merge_text"),
     )
-    results = upsert_page_results(
-        final.withColumn("run", F.lit(run)),
-        jobs,
+    # The pages are those of known jobs by their join above; only stored ones have to be looked up.
+    results = upsert(
+        None if current is None else current.join(jobs.select("job_id"), "job_id", "left_semi"),
+        final.where("page_num IS NOT NULL").withColumn("run", F.lit(run)),
+        KEYS,
         F.col("run"),
         ["method", "processing_time", "ocr_text", "merge_text"],
-        current,
     )
     docs = _assembled(results.withColumn("text", F.coalesce("merge_text", F.lit(""))), missing)
     return docs, results, missing

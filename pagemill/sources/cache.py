@@ -19,7 +19,14 @@ KEYS = ["job_id", "page_num"]
 
 def write_ocr_cache(df: DataFrame, path: str, run: int) -> None:
     """S3: stores one run. Repeating it replaces exactly that run."""
-    df.write.mode("overwrite").parquet(f"{path}/run={int(run)}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/run={int(run)}")
+
+
+def only_run(spark: SparkSession, path: str, run: int) -> bool:
+    """True if the table at ``path`` holds this run and no other."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [f.getPath().getName() for f in found] == [f"run={int(run)}"]
 
 
 def read_ocr_cache(
