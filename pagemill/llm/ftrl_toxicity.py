@@ -6,8 +6,8 @@ so that inflected and compound forms of one insult share evidence. Every coordin
 keeps coordinates at exactly zero unless the evidence for them is strong, so the fitted weights are few: they are kept as
 (hash, weight) arrays of at most ``DIMENSIONS`` entries and sent with the function.
 
-The fit runs on a bounded sample: ``SAMPLE_ROWS`` labelled texts of at most ``SAMPLE_CHARS`` characters. Only their hashed features reach the
-driver. Every text is scored whole.
+The fit runs on a bounded sample: ``SAMPLE_ROWS`` labelled texts of at most ``SAMPLE_CHARS`` characters, in one task. Only the fitted weights
+reach the driver. Every text is scored whole.
 
 Cases: a null or empty text has no feature, its score is that of the bias alone. Null labels and labels of unknown documents are
 not used; of several labels of one document the largest counts. Repeated rows get the same score each. Without any label the score is 0.5.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from pagemill.llm.zstd_quality import SAMPLE_CHARS, labelled_sample
+from pagemill.llm.zstd_quality import SAMPLE_CHARS, fitted, labelled_sample
 
 __all__ = ["DIMENSIONS", "SAMPLE_CHARS", "SAMPLE_ROWS", "ToxicityModel", "features", "fit", "train"]
 
@@ -148,25 +148,16 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS) -> Toxi
     return ToxicityModel(index.astype(np.int32), weights(index).astype(np.float32), float(bias))
 
 
-def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The packed features of each row, without copies."""
-    out = []
-    for chunk in column.chunks:
-        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
-        data = np.frombuffer(chunk.buffers()[2], dtype=np.int32) if len(chunk) and ends[-1] else np.empty(0, np.int32)
-        out += [data[a:b] for a, b in zip(ends, ends[1:])]
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id") -> ToxicityModel:
-    """Fits the model on a bounded sample of labelled texts; features are hashed on the executors."""
+    """Fits the model on a bounded sample of labelled texts, on an executor."""
     sample = labelled_sample(docs, labels, "toxic", use, id_col, SAMPLE_ROWS).select("t", "label")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> ToxicityModel:
+        hashes, rows, label = WordHashes(), [], []
         for b in batches:
-            packed = [features(t, hashes).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["x", "label"])
+            rows += [features(t, hashes) for t in b.column(0).to_pylist()]
+            label += b.column(1).to_pylist()
+        return fit(rows, np.array(label, dtype=float))
 
-    rows = sample.mapInArrow(hashed, "x binary, label int").toArrow()
-    return fit(_views(rows.column("x")), np.array(rows.column("label").to_pylist(), dtype=float))
+    model = fitted(sample, fit_all)
+    return ToxicityModel(**model) if model else fit([], np.empty(0))

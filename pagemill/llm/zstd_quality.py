@@ -23,7 +23,8 @@ columns are not looked at and may have any name.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,26 +137,49 @@ def labelled_sample(
     return found.orderBy(F.xxhash64("id", "t"), "id").limit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id") -> QualityModel:
-    """Fits dictionaries on three quarters of the sample and the curve on the rest."""
-    rows = labelled_sample(docs, labels, "quality", use, id_col).withColumn("part", F.crc32(F.sha1("t")) % 4).collect()
-    build = [r for r in rows if r["part"] != 0]
-    good = [r["t"] for r in build if r["label"] == 1]
-    bad = [r["t"] for r in build if r["label"] == 0]
-    share = (sum(r["label"] for r in rows) + 1) / (len(rows) + 2)
+def fitted(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], object]) -> dict | None:
+    """The fields of the model that ``fit`` makes of the rows of a bounded sample, in their order; None if no task ran, as there were none.
+
+    One task fits it, and the driver gets nothing but the model: its memory does not depend on the texts, and what it once took it would keep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(batches)))], pa.binary())], names=["model"])
+
+    rows = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else None
+
+
+def _fit(rows: list[tuple[str, int, int]]) -> QualityModel:
+    """Dictionaries from three quarters of (text, label, part) and the curve from the rest."""
+    build = [(t, label) for t, label, part in rows if part != 0]
+    good = [t for t, label in build if label == 1]
+    bad = [t for t, label in build if label == 0]
+    share = (sum(label for _, label, _ in rows) + 1) / (len(rows) + 2)
     offset = math.log(share / (1 - share))
     if not good or not bad:
         return QualityModel(b"", b"", (0.0, 0.0), offset)
     good_dict, bad_dict = build_dictionary(good), build_dictionary(bad)
-    rest = [r for r in rows if r["part"] == 0]
-    if len({r["label"] for r in rest}) < 2:
-        rest = rows
+    rest = [(t, label) for t, label, part in rows if part == 0]
+    if len({label for _, label in rest}) < 2:
+        rest = [(t, label) for t, label, _ in rows]
     measure = difference_measure(good_dict, bad_dict)
-    x = np.array([measure(r["t"]) for r in rest])
-    slopes, offset = fit_curve(x, np.array([float(r["label"]) for r in rest]))
+    x = np.array([measure(t) for t, _ in rest])
+    slopes, offset = fit_curve(x, np.array([float(label) for _, label in rest]))
     return QualityModel(good_dict, bad_dict, slopes, offset)
 
 
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id") -> QualityModel:
+    """Fits dictionaries on three quarters of the sample and the curve on the rest, on an executor."""
+    sample = labelled_sample(docs, labels, "quality", use, id_col).select("t", "label", (F.crc32(F.sha1("t")) % 4).alias("part"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> QualityModel:
+        return _fit([row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))])
+
+    model = fitted(sample, fit)
+    return QualityModel(**model) if model else _fit([])
+
+
 def score_texts(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every document; ``model`` is anything with a ``scorer``."""
     picked = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
