@@ -1,45 +1,71 @@
 """S8 as a stream: column-wise upserts into a table of hash buckets, copied on write.
 
 The table is a folder per bucket of the key. A micro-batch reads the buckets that its keys fall into, merges them with the changes
-and replaces exactly these folders; all other files stay as they are. Every stored value carries its version, so the merge is a maximum per key and column:
-it gives the same table for any order and any split of the changes, and a repeated micro-batch changes nothing.
+and replaces exactly these folders; all other files stay as they are. Every stored value has its version, so the merge is a maximum per key and column:
+it gives the same table for any order and any split of the changes, and a repeated micro-batch changes nothing. A row is stored and shuffled with its newest
+version once, and with further ones only for columns whose value is older.
 
 A bucket is spread by a hash of the whole key, so a job with very many pages fills all buckets alike. Take as many buckets as make one a few
-hundred MB: a micro-batch rewrites at most the buckets it touches, and a task at most one bucket.
+hundred MB: a micro-batch rewrites at most the buckets it touches. Where two buckets for each core are not to be had, several tasks share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from pagemill.session import path_exists
 from pagemill.streaming.tables import started
 
 BUCKETS = 64
 BUCKET = "__bucket"
+_PIECE = "__piece"
+_VERSION = "__version"
+_OLDER = "__older_"
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def versioned(changes: DataFrame, keys: Sequence[str], version: Column, columns: Sequence[str], buckets: int) -> DataFrame:
-    """(bucket, keys, columns as struct(version, v)): the newest non-null value of each column; combined before the shuffle."""
-    rows = changes.withColumn("__version", version)
-    newest = [
-        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("__version").alias("version"), F.col(c).alias("v")))).alias(c) for c in columns
+def _newest(columns: Sequence[str], version_of: Callable[[str], Column]) -> list[Column]:
+    """Per column the newest non-null value, as struct(version, v)."""
+    return [F.max(F.when(F.col(c).isNotNull(), F.struct(version_of(c).alias("version"), F.col(c).alias("v")))).alias(c) for c in columns]
+
+
+def _packed(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(bucket, keys, newest version, values, versions of the older values) from structs of version and value."""
+    rows = rows.withColumn(_VERSION, F.array_max(F.array(*[F.col(c)["version"] for c in columns])))
+    # Inside a struct, as a version may be null itself.
+    older = [
+        F.when(F.col(c).isNotNull() & ~F.col(c)["version"].eqNullSafe(F.col(_VERSION)), F.struct(F.col(c)["version"].alias("version"))).alias(_OLDER + c)
+        for c in columns
     ]
-    return rows.groupBy(bucket_of(keys, buckets).alias(BUCKET), *keys).agg(*newest)
+    return rows.select(BUCKET, *keys, _VERSION, *[F.col(c)["v"].alias(c) for c in columns], *older)
+
+
+def versioned(changes: DataFrame, keys: Sequence[str], version: Column, columns: Sequence[str], buckets: int) -> DataFrame:
+    """The newest non-null value of each column, as rows of the table; combined before the shuffle."""
+    rows = changes.withColumn(_VERSION, version).groupBy(bucket_of(keys, buckets).alias(BUCKET), *keys)
+    return _packed(rows.agg(*_newest(columns, lambda c: F.col(_VERSION))), keys, columns)
+
+
+def _merged(stored: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int) -> DataFrame:
+    # One shuffle by pieces of buckets serves the grouping and the write, which thus makes one file per piece. A partition each, as a hash of so few would give
+    # several of them to some tasks and none to others.
+    pieces = -(-2 * stored.sparkSession.sparkContext.defaultParallelism // buckets)
+    piece = F.col(BUCKET) * pieces + F.pmod(F.hash(*keys), F.lit(pieces))
+    dealt = stored.withColumn(_PIECE, piece).repartitionById(buckets * pieces, _PIECE)
 
+    def version_of(column: str) -> Column:
+        older = F.col(_OLDER + column)
+        return F.when(older.isNull(), F.col(_VERSION)).otherwise(older["version"])
 
-def _merged(stored: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    # One shuffle by the bucket serves the grouping and the write, which thus makes one file per bucket.
-    return stored.repartition(F.col(BUCKET)).groupBy(BUCKET, *keys).agg(*[F.max(c).alias(c) for c in columns])
+    return _packed(dealt.groupBy(BUCKET, _PIECE, *keys).agg(*_newest(columns, version_of)), keys, columns)
 
 
 def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -63,7 +89,7 @@ def upsert_changes(
         if path_exists(spark, path):
             old = _stored(spark, path, new.schema).where(F.col(BUCKET).isin(touched))
             rows = old.select(new.columns).unionByName(new)
-        writer = _merged(rows, keys, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = _merged(rows, keys, columns, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(BUCKET).parquet(path)
     finally:
         new.unpersist()
@@ -103,9 +129,5 @@ def upserted_rows(spark: SparkSession, path: str, keys: Sequence[str], buckets:
     if only is not None:
         hit = [r[0] for r in only.select(bucket_of(keys, buckets)).distinct().collect()]
         rows = rows.where(F.col(BUCKET).isin(hit)).join(only.select(*keys).distinct(), list(keys), "left_semi")
-    values = [f for f in rows.schema if f.name not in (*keys, BUCKET)]
-    return rows.select(*keys, *[_plain(f) for f in values])
-
-
-def _plain(field: StructField) -> Column:
-    return F.col(field.name)["v"].alias(field.name)
+    inner = (BUCKET, _VERSION)
+    return rows.select(*[c for c in rows.columns if c not in inner and not c.startswith(_OLDER)])
