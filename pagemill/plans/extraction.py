@@ -13,7 +13,7 @@ from pagemill.operators.mutations import upsert
 from pagemill.operators.prompts import resolve_prompts
 from pagemill.operators.scoring import LoadFn, score_pages
 from pagemill.session import path_exists
-from pagemill.sources.cache import KEYS, only_run, read_ocr_cache, write_ocr_cache
+from pagemill.sources.cache import KEYS, last_run, only_run, read_ocr_cache, write_ocr_cache
 
 
 def _given() -> Column:
@@ -22,7 +22,7 @@ def _given() -> Column:
 
 
 def _passed(run_path: str, pages: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """``pages`` with ``values`` where the model succeeded, from a run that scored all of them: its table has their columns, so nothing is joined."""
+    """``pages`` with ``values`` where the model succeeded, from the run that scored them: its table has their columns, so nothing is joined."""
     given = pages.sparkSession.read.parquet(run_path)
     return given.select(*pages.columns, *[F.when(_given(), value).alias(name) for name, value in values.items()])
 
@@ -42,16 +42,18 @@ def stage_one(
     The stage table at ``cache_path`` is the barrier between the stages and the
     point of recovery: a call with a higher ``run`` scores only pages without a
     success in an earlier run, and repeating a call gives the same again. It keeps
-    the columns of the pages too: while there is one run, pages and texts are read
-    from it together, and only further runs join them.
+    the columns of the pages too: those of the last run are read from it together
+    with their texts, and only the texts of earlier runs are joined. The pages
+    without a text are then those that failed in the last run.
     """
     spark = pages.sparkSession
     routed = od.route_pages(
         od.with_has_text(od.select_page_range(pages, start, end)), method, force_ocr
     )
     scored = routed.where("route <> 'embedded'")
+    given = ["ocr_text", "processing_time"]
     if run > 1:
-        done = read_ocr_cache(spark, cache_path, before_run=run).where("success")
+        done = read_ocr_cache(spark, cache_path, before_run=run).where("success").select(*KEYS, *given)
         scored = od.pages_to_do(scored, done)
     results = score_pages(scored, load_ocr).select(
         *scored.columns,
@@ -61,15 +63,16 @@ def stage_one(
         "error",
     )
     write_ocr_cache(results, cache_path, run)
-    given = ["ocr_text", "processing_time"]
-    if run == 1 and only_run(spark, cache_path, run):
-        done = _passed(f"{cache_path}/run={run}", scored, {c: F.col(c) for c in given})
-        merged = done.unionByName(routed.where("route = 'embedded'"), allowMissingColumns=True)
-    else:
-        stage1 = read_ocr_cache(spark, cache_path).where("success").select(*KEYS, *given)
-        merged = routed.join(stage1, KEYS, "left")
-    missing = merged.where("route <> 'embedded' AND ocr_text IS NULL").select("job_id", "page_num")
-    return merged, missing
+    if last_run(spark, cache_path, run):
+        now = _passed(f"{cache_path}/run={run}", scored, {c: F.col(c) for c in given})
+        if run == 1:
+            rest = routed.where("route = 'embedded'")
+        else:
+            rest = routed.join(done.withColumn("__done", F.lit(True)), KEYS, "left").where("route = 'embedded' OR __done").drop("__done")
+        return now.unionByName(rest, allowMissingColumns=True), now.where("ocr_text IS NULL").select(*KEYS)
+    stage1 = read_ocr_cache(spark, cache_path).where("success").select(*KEYS, *given)
+    merged = routed.join(stage1, KEYS, "left")
+    return merged, merged.where("route <> 'embedded' AND ocr_text IS NULL").select(*KEYS)
 
 
 def stage_texts(

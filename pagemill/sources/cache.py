@@ -22,11 +22,21 @@ def write_ocr_cache(df: DataFrame, path: str, run: int) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/run={int(run)}")
 
 
-def only_run(spark: SparkSession, path: str, run: int) -> bool:
-    """True if the table at ``path`` holds this run and no other."""
+def _runs(spark: SparkSession, path: str) -> list[int]:
+    """The runs that the table at ``path`` holds."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
-    return [f.getPath().getName() for f in found] == [f"run={int(run)}"]
+    return [int(f.getPath().getName().removeprefix("run=")) for f in found]
+
+
+def only_run(spark: SparkSession, path: str, run: int) -> bool:
+    """True if the table at ``path`` holds this run and no other."""
+    return _runs(spark, path) == [int(run)]
+
+
+def last_run(spark: SparkSession, path: str, run: int) -> bool:
+    """True if the table at ``path`` holds this run and no later one."""
+    return max(_runs(spark, path), default=None) == int(run)
 
 
 def read_ocr_cache(
