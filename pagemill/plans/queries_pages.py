@@ -266,8 +266,9 @@ SELECT job_id, string_agg(line, chr(10) ORDER BY src, pos) AS merge_text FROM (
       AND lower(trim(regexp_replace(e.known, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(o.line, '\\s+', ' ', 'g'))))
 ) GROUP BY 1""")
 def rule_merged_text(spark, sf_dir):
-    """M3 built-in rule."""
-    return od.merge_texts(s.ocr_lines(spark, sf_dir)).select("job_id", "merge_text")
+    """M3 built-in rule, lines compared as in SQL; a document without an id has no OCR twin there."""
+    pages = s.ocr_lines(spark, sf_dir).withColumn("ocr_text", F.when(F.col("job_id").isNotNull(), F.col("ocr_text")))
+    return od.merge_by_key(pages, ["job_id"])
 
 
 @query("SELECT job_id, page_num, block_type, count(*) AS blocks FROM v_blocks GROUP BY 1, 2, 3")
